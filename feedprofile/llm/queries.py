@@ -12,6 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedprofile.llm.vector_dedup import near_vectors
 
@@ -25,8 +38,10 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_top_k": op9_top_k,
+    "op10_packing": op10_packing,
 }
 
 _OP8_SQL = """
