@@ -19,6 +19,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.text_dedup import near_texts
+
+    return near_texts(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedprofile.llm.packing import pack
 
@@ -39,11 +45,38 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_text_dedup": op2_text_dedup,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_top_k": op9_top_k,
     "op10_packing": op10_packing,
 }
 
+_OP2_SQL = r"""
+WITH RECURSIVE tokens AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::varchar[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s
+  FROM tokens
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM items a JOIN items b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM common WHERE 100 * m >= 80 * (na + nb - m)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), low AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT sets.doc_id, len(s) AS n_shingles, component_id, sets.doc_id = component_id AS kept
+FROM sets JOIN low ON low.a = sets.doc_id
+"""
+
 _OP8_SQL = """
 WITH RECURSIVE sound AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::double) AS v
@@ -81,6 +114,7 @@ SELECT query_id, r::integer AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_text_dedup": _OP2_SQL,
     "op8_vector_dedup": _OP8_SQL,
     "op9_top_k": _OP9_SQL,
 }
