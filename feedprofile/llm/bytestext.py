@@ -131,3 +131,11 @@ def total_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     sums = np.concatenate(([0], np.cumsum(values, dtype=np.float64)))
     ends = np.cumsum(counts)
     return sums[ends] - sums[ends - counts]
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    """Distinct values in ascending order."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    keep[1:] = values[1:] != values[:-1]
+    return values[keep]

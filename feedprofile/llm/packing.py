@@ -16,16 +16,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from feedprofile.llm.bytestext import slices
-from feedprofile.llm.tokens import Encoder, tokenizer_path
+from feedprofile.llm.bytestext import distinct_sorted, slices
+from feedprofile.llm.tokens import encoder, tokenizer_path
 
 WINDOW = 1024
 #: Penalties, in ids of padding, of a cut within a document before a sentence or line, and elsewhere.
-AT_SENTENCE, IN_SENTENCE = 2, 12
+AT_SENTENCE, IN_SENTENCE = 1, 4
 #: Sentences beyond STRIDE ids may be cut at each STRIDE ids.
 STRIDE = 64
-#: Windows of these lengths need no padding (powers of two); each costs SHORT, so that short windows stay rare.
-EXACT, SHORT = (512, 256, 128), 8
 #: About so many bytes of text are packed at once.
 TOGETHER_BYTES = 16 << 20
 END_ID = 0
@@ -34,12 +32,12 @@ END_ID = 0
 def candidates(doc_ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a window may end, ascending, and their penalties; no gap exceeds STRIDE."""
     total = int(doc_ends[-1])
-    marks = np.unique(np.concatenate(([0], doc_ends, sentences)))
+    marks = distinct_sorted(np.concatenate(([0], doc_ends, sentences)))
     gaps = np.diff(marks)
     more = (gaps - 1) // STRIDE
     long = np.flatnonzero(more)
     extra = np.repeat(marks[long], more[long]) + STRIDE * (np.arange(more[long].sum()) - np.repeat(np.cumsum(more[long]) - more[long], more[long]) + 1)
-    places = np.unique(np.concatenate((marks, extra)))
+    places = distinct_sorted(np.concatenate((marks, extra)))
     costs = np.full(len(places), IN_SENTENCE, np.int64)
     costs[np.searchsorted(places, sentences[sentences < total])] = AT_SENTENCE
     costs[np.searchsorted(places, doc_ends)] = 0
@@ -52,23 +50,17 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> np
     n = len(at)
     total, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, index), least first
-    index = {0: 0}
     for j in range(1, n):
         p = at[j]
         while at[queue[0][1]] < p - window:
             queue.popleft()
         key, i = queue[0]
-        least = key + window - p
-        for size in EXACT:
-            k = index.get(p - size)
-            if k is not None and total[k] + SHORT < least:
-                least, i = total[k] + SHORT, k
-        total[j], back[j] = least + price[j], i
-        key = total[j] + p
+        cost = key + window - p + price[j]
+        total[j], back[j] = cost, i
+        key = cost + p
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
-        index[p] = j
     out, j = [], n - 1
     while j:
         out.append(at[j])
@@ -78,13 +70,13 @@ def best_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> np
 
 def _pack(path: str):
     def pack(batches):
-        encoder, task, made = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, task, made = encoder(path).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, doc_ids = batch.column("text"), batch.column("doc_id")
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             first = size = 0
             for piece in slices(texts):
-                held.append(encoder.encode(piece))
+                held.append(encode(piece))
                 size += len(piece.data)
                 upto = piece.first + len(piece.offsets) - 1
                 if size >= TOGETHER_BYTES or upto == len(texts):
@@ -109,7 +101,7 @@ def _pieces(held: list, doc_ids: pa.Array, number: int) -> tuple[pa.RecordBatch,
     plain_ends = ends - np.arange(1, len(ends) + 1)  # positions without the end ids
     sentences = sentences + np.searchsorted(plain_ends, sentences, "right")
     cuts = best_cuts(*candidates(ends, sentences))
-    edges = np.unique(np.concatenate(([0], cuts, ends)))
+    edges = distinct_sorted(np.concatenate(([0], cuts, ends)))
     lo, hi = edges[:-1], edges[1:]
     doc, window = np.searchsorted(ends, lo, "right"), np.searchsorted(cuts, lo, "right")
     raw = memoryview(stream.astype("<u4").tobytes())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedprofile.llm.bytestext import Slice, mix, slices, word_hashes
+from feedprofile.llm.bytestext import Slice, distinct_sorted, mix, slices, word_hashes
 from feedprofile.llm.components import connected_components
 from feedprofile.llm.storage import materialize
 
@@ -95,7 +95,7 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
 def _distinct(piece: Slice, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     every, counts = shingles(piece, size)
     ends = np.cumsum(counts)
-    sets = [np.unique(every[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+    sets = [distinct_sorted(every[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
     return sets, np.array([len(s) for s in sets], np.int64)
 
 

@@ -1,22 +1,29 @@
 """Token ids of whole texts by a public byte-level tokenizer, which encodes each distinct word once.
 
-A text is cut at single blanks and line feeds between other characters. The tokenizer's own splitting always
-breaks there, so the ids of the parts, joined, are the ids of the text.
+A text is cut at single blanks and line feeds between other characters, and where a mark follows a letter. The
+tokenizer's own splitting always breaks there, so the ids of the parts, joined, are the ids of the text.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 
 from feedprofile.llm.bytestext import SPACE, Slice, prefix_hashes, range_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct parts that a task remembers; when more come, it starts anew.
-REMEMBERED = 1 << 21
+#: Distinct parts that a worker remembers (some 120 MB); when more come, it starts anew.
+REMEMBERED = 1 << 20
 
 _BREAK = SPACE.copy()
 _BREAK[0x1C:0x20] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -50,6 +57,11 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut, fresh = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     cut[single] = True
     cut[line + 1] = True
+    # a mark after a letter, of ASCII or of the block with two-byte Latin letters
+    letter = _LETTER[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+    letter[latin[~np.isin(data[latin], (0x97, 0xB7))]] = True
+    cut[1:n] |= letter[:-1] & _MARK[data[1:]]
     fresh[line + 1] = True
     space = single[data[single] == 0x20]
     fresh[space[_STOP[data[space - 1]]]] = True
@@ -59,8 +71,16 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, fresh[starts]
 
 
+def _put(held: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """Write values from a position on, into a longer array where they don't fit."""
+    if at + len(values) > len(held):
+        held = np.concatenate((held[:at], np.zeros(at + 2 * len(values), held.dtype)))
+    held[at : at + len(values)] = values
+    return held
+
+
 class Encoder:
-    """Encodes slices of texts; create one in each task."""
+    """Encodes slices of texts; ``encoder`` gives a Python worker's own."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -77,16 +97,15 @@ class Encoder:
         self._used = 0
 
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, got in zip(hashes, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids, k = got.ids, len(self._index)
-            if k == len(self._at):
-                self._at, self._size = np.resize(self._at, 2 * k), np.resize(self._size, 2 * k)
-            while self._used + len(ids) > len(self._ids):
-                self._ids = np.resize(self._ids, 2 * len(self._ids))
-            self._ids[self._used : self._used + len(ids)] = ids
-            self._at[k], self._size[k] = self._used, len(ids)
-            self._used += len(ids)
-            self._index[h] = k
+        got = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
+        k = len(self._index)
+        self._index.update(zip(hashes, range(k, k + len(got)), strict=True))
+        self._at = _put(self._at, k, self._used + np.cumsum(sizes) - sizes)
+        self._size = _put(self._size, k, sizes)
+        self._ids = _put(self._ids, self._used, ids)
+        self._used += len(ids)
 
     def encode(self, piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts joined, the number of ids of each text, and id positions where a sentence or line begins."""
@@ -112,3 +131,8 @@ class Encoder:
         ids = self._ids[np.repeat(self._at[known] - (after - sizes), sizes) + np.arange(after[-1])]
         upto = np.concatenate(([0], after))
         return ids, np.diff(upto[np.searchsorted(starts, offsets)]), upto[np.flatnonzero(fresh)]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
