@@ -25,6 +25,28 @@ def op2_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_texts(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def fold(n: int):
+    """The fold of a document, by its id as text."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = score_toxicity(docs, labels, learn=fold(5) != 0, keep=["doc_id"])
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.language import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    named = identify(docs, learn=fold(3) != 1, keep=["doc_id"])
+    return named.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedprofile.llm.packing import pack
 
@@ -46,6 +68,8 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_text_dedup": op2_text_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op7_language": op7_language,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_top_k": op9_top_k,
     "op10_packing": op10_packing,
