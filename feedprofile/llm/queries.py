@@ -39,6 +39,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.lm_scoring import score_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_texts(docs, learn=fold(5) != 1, keep=["doc_id"])
+    return scored.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedprofile.llm.language import identify
 
@@ -69,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_text_dedup": op2_text_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_language": op7_language,
     "op8_vector_dedup": op8_vector_dedup,
     "op9_top_k": op9_top_k,
