@@ -30,6 +30,12 @@ def fold(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.pii import digest, find_personal_data
+
+    return digest(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedprofile.llm.toxicity import score_toxicity
 
@@ -76,6 +82,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_text_dedup": op2_text_dedup,
+    "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
     "op6_lm_scoring": op6_lm_scoring,
     "op7_language": op7_language,
