@@ -30,6 +30,12 @@ def fold(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedprofile.llm.pii import digest, find_personal_data
 
@@ -82,6 +88,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_text_dedup": op2_text_dedup,
+    "op3_repeats": op3_repeats,
     "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
     "op6_lm_scoring": op6_lm_scoring,
