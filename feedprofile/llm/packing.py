@@ -23,7 +23,7 @@ WINDOW = 1024
 #: Penalties, in ids of padding, of a cut within a document before a sentence or line, and elsewhere.
 AT_SENTENCE, IN_SENTENCE = 1, 4
 #: Sentences beyond STRIDE ids may be cut at each STRIDE ids.
-STRIDE = 32
+STRIDE = 16
 #: About so many bytes of text are packed at once.
 TOGETHER_BYTES = 16 << 20
 END_ID = 0
