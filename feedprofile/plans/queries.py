@@ -5,6 +5,363 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from feedprofile.functions import lexicon, text, traits
+from feedprofile.operators import distributions, entity, evaluate, features, ranking, stats
+from feedprofile.plans import bindings
+from feedprofile.plans.bindings import DIMENSIONS, table
+from feedprofile.sources import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- shared parts of the SQL forms
+
+_BAND = "CASE WHEN 2020 - birthyear < 20 THEN '<20' WHEN 2020 - birthyear < 30 THEN '20-29' WHEN 2020 - birthyear < 40 THEN '30-39' WHEN 2020 - birthyear < 50 THEN '40-49' WHEN birthyear IS NOT NULL THEN '50+' END"
+_PEOPLE = f"""
+people AS (
+  SELECT *, {_BAND} AS age_band FROM (
+    SELECT doc_id AS id, lang, source, (1940 + n_chars % 70)::integer AS birthyear,
+      list_transform(string_split(text, chr(10)), lambda p, k: p
+        || CASE WHEN (k - 1) % 3 = 0 THEN ' #' || lang || (k - 1) ELSE '' END
+        || CASE WHEN (k - 1) % 4 = 1 THEN ' http://x.io/' || source ELSE '' END
+        || CASE WHEN (k - 1) % 5 = 2 THEN ' \U0001f44d\U0001f3fd❤️' WHEN (k - 1) % 7 = 3 THEN ' \U0001f1e9\U0001f1ea' ELSE '' END
+        || CASE WHEN (k - 1) % 3 = 1 THEN ' @u' || doc_id || ' hi' ELSE '' END
+        || CASE WHEN (k - 1) % 4 = 2 THEN ' 10:30 x' ELSE '' END
+        || CASE WHEN (k - 1) % 5 = 4 THEN ' :) y' ELSE '' END
+        || CASE WHEN (k - 1) % 4 = 3 THEN ' http://x.io/a z' ELSE '' END) AS posts
+    FROM documents)
+)"""
+
+
+def _words(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+def _hits(pattern: str, of: str = "p") -> str:
+    return f"len(regexp_extract_all({of}, '{pattern}'))"
+
+
+_TOKENS = f"list_transform(posts, lambda p: regexp_extract_all(lower(p), '{text.TOKEN}'))"
+_SUM = "coalesce(list_sum(list_transform(posts, lambda p: {})), 0)::bigint"
+_ENTITIES = f"""
+{_PEOPLE}, entities AS (
+  SELECT id, quality::varchar AS quality, source, age_band, birthyear, len(posts) AS posts,
+    {_SUM.format(f"len(list_filter(regexp_extract_all(lower(p), '{text.TOKEN}'), lambda w: w IN ({_words(lexicon.PRONOUNS)})))")} AS pronouns,
+    {_SUM.format(f"len(list_filter(regexp_extract_all(lower(p), '{text.TOKEN}'), lambda w: w IN ({_words(lexicon.DETERMINERS_AND_QUANTIFIERS)})))")} AS det_quant,
+    {_SUM.format(_hits(text.HASHTAG))} AS hashtags, {_SUM.format(_hits(text.LINK))} AS links, {_SUM.format(_hits(text.EMOJI))} AS emojis,
+    len(list_filter(posts, lambda p: regexp_matches(p, '{text.HASHTAG}'))) AS posts_with_hashtag,
+    len(list_filter(posts, lambda p: regexp_matches(p, '{text.LINK}'))) AS posts_with_link,
+    len(list_filter(posts, lambda p: regexp_matches(p, '{text.EMOJI}'))) AS posts_with_emoji
+  FROM people JOIN labels ON labels.doc_id = people.id
+)"""
+
+
+def _grouped(columns: tuple[str, ...], rows: str = "entities") -> str:
+    sums = "".join(f", sum({c})::bigint AS {c}" for c in columns)
+    return " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS \"group\", count(*) AS entities{sums} FROM {rows} GROUP BY {d}" for d in DIMENSIONS)
+
+
+_STATS = f"WITH {_ENTITIES}, stats AS ({_grouped(entity.COUNTS)})"
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity.entity_counts(entity.labelled(bindings.people(spark, sf_dir), bindings.labels(spark, sf_dir)))
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.profile_stats(_entities(spark, sf_dir), DIMENSIONS, entity.COUNTS)
+
+
+# ---- sources, traits and tokens
+
+
+@query("SELECT doc_id AS id, quality::varchar AS gender, (1940 + doc_id % 70)::integer AS birthyear FROM labels")
+def labels_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select(F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("gender"), (F.lit(1940) + F.col("doc_id") % 70).cast("string").alias("birthyear"))).alias("line"))
+    parsed = rows.select(F.inline(F.array(F.from_json("line", feeds.LABELS))))
+    return parsed.select("id", "gender", F.expr("try_cast(birthyear as int)").alias("birthyear"))
+
+
+@query("SELECT conv_id AS id, count(DISTINCT role) AS members, count(*) AS posts FROM conversations GROUP BY conv_id")
+def feed_posts_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = bindings.conversations(spark, sf_dir)
+    return nested.select("id", F.size("text").cast("long").alias("members"), F.size(text.posts_of(F.col("text"))).cast("long").alias("posts"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity.unlabelled(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), bindings.labels(spark, sf_dir).select("id"))
+
+
+@query("SELECT id, doc_id FROM (SELECT doc_id % 50 AS id, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id DESC) AS k FROM labels) WHERE k = 1")
+def label_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("id"), "doc_id")
+    return feeds.last_wins(rows, "id", "doc_id")
+
+
+@query(f"SELECT age_band, count(*) AS n FROM (SELECT {_BAND} AS age_band FROM (SELECT 1940 + n_chars % 70 AS birthyear FROM documents)) GROUP BY age_band")
+def age_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(traits.age_band(bindings.birthyear()).alias("age_band"))
+    return rows.groupBy("age_band").agg(F.count("*").alias("n"))
+
+
+_CLASS = "CASE " + " ".join(f"WHEN birthyear BETWEEN {a} AND {b} THEN {c}" for a, b, c in traits.BIRTHYEAR_CLASSES) + " END"
+
+
+@query(f"SELECT doc_id AS id, birthyear, {_CLASS} AS birthyear_class FROM (SELECT doc_id, (1935 + n_chars % 70)::integer AS birthyear FROM documents)")
+def birthyear_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    year = (F.lit(1935) + F.col("n_chars") % 70).cast("int")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), year.alias("birthyear"), traits.birthyear_class(year).alias("birthyear_class"))
+
+
+@query(
+    "SELECT id, occupation, CASE occupation WHEN 'sports' THEN 0 WHEN 'performer' THEN 1 WHEN 'creator' THEN 2 WHEN 'politics' THEN 3 END AS code, occupation AS decoded "
+    "FROM (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'sports' WHEN 1 THEN 'performer' WHEN 2 THEN 'creator' ELSE 'politics' END AS occupation FROM labels)"
+)
+def class_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*[F.lit(n) for n in traits.OCCUPATION_CODES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    code = traits.encode(F.col("occupation"), traits.OCCUPATION_CODES)
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), name.alias("occupation"))
+    return rows.withColumn("code", code).withColumn("decoded", traits.decode(F.col("code"), traits.OCCUPATION_CODES))
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{text.TOKEN}')) AS token FROM documents) GROUP BY token")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+# ---- statistics by trait
+
+
+def _ratio_sql(names: tuple[str, ...], charts: tuple[str, ...]) -> str:
+    cols = "".join(f", {n}" for n in names) + "".join(f", {stats.CHARTS[c][0]}::double / {stats.CHARTS[c][1]} AS {c}" for c in charts)
+    return f'{_STATS} SELECT dimension, "group", entities{cols} FROM stats WHERE posts > 0'
+
+
+def _report(spark: SparkSession, sf_dir: str, names: tuple[str, ...], charts: tuple[str, ...]) -> DataFrame:
+    sums = stats.profile_stats(_entities(spark, sf_dir), DIMENSIONS, names)
+    return stats.with_ratios(sums, {c: stats.CHARTS[c] for c in charts})
+
+
+_LANGUAGE = (("posts", "pronouns", "det_quant"), ("posts_per_entity", "pronouns_per_post", "det_quant_per_post"))
+_TAGS = (("posts", "hashtags", "links", "posts_with_hashtag", "posts_with_link"), ("hashtags_per_post", "share_with_hashtag", "links_per_post", "share_with_link"))
+_EMOJIS = (("posts", "emojis", "posts_with_emoji"), ("emojis_per_post", "share_with_emoji"))
+
+
+@query(_ratio_sql(*_LANGUAGE))
+def language_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, *_LANGUAGE)
+
+
+@query(_ratio_sql(*_TAGS))
+def hashtag_link_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, *_TAGS)
+
+
+@query(_ratio_sql(*_EMOJIS))
+def emoji_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, *_EMOJIS)
+
+
+_FOUND = f"""WITH {_PEOPLE}, found AS (
+  SELECT id, quality::varchar AS quality, source, age_band, unnest(flatten(list_transform(posts, lambda p: regexp_extract_all(p, '{text.EMOJI}')))) AS emoji
+  FROM people JOIN labels ON labels.doc_id = people.id
+), counts AS (""" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS \"group\", emoji, count(*) AS n FROM found GROUP BY {d}, emoji" for d in DIMENSIONS) + ")"
+
+
+@query(f'{_FOUND} SELECT * FROM (SELECT dimension, "group", emoji, n, row_number() OVER (PARTITION BY dimension, "group" ORDER BY n DESC, emoji)::integer AS rank FROM counts) WHERE rank <= 10')
+def emoji_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = entity.labelled(bindings.people(spark, sf_dir), bindings.labels(spark, sf_dir))
+    return ranking.top_n(ranking.emoji_frequencies(people, DIMENSIONS), 10)
+
+
+@query(f'{_STATS} SELECT dimension, "group", entities, {", ".join(entity.COUNTS)} FROM stats')
+def merge_split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _entities(spark, sf_dir)
+    return stats.merge_stats(*[stats.profile_stats(rows.where(F.col("id") % 2 == k), DIMENSIONS, entity.COUNTS) for k in (0, 1)])
+
+
+@query(f"WITH {_ENTITIES} SELECT id, emojis / posts AS emojis_per_post, hashtags / posts AS hashtags_per_post, links / posts AS links_per_post FROM entities WHERE posts > 0")
+def entity_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity.rates(_entities(spark, sf_dir)).select("id", "emojis_per_post", "hashtags_per_post", "links_per_post")
+
+
+_METRICS = ("emojis_per_post", "hashtags_per_post", "links_per_post")
+_LONG = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS \"group\", '{m}' AS metric, ({m.split('_')[0]} / posts)::double AS value FROM entities WHERE posts > 0" for d in DIMENSIONS for m in _METRICS)
+
+
+@query(f"""WITH {_ENTITIES}, long AS ({_LONG}), boxes AS (
+  SELECT dimension, "group", metric, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med, quantile_cont(value, 0.75) AS q3 FROM long GROUP BY ALL
+), ends AS (
+  SELECT b.dimension, b."group", b.metric, b.n, q1, med, q3,
+    min(value) FILTER (value BETWEEN q1 - 1.5::double * (q3 - q1) AND q3 + 1.5::double * (q3 - q1)) AS lo,
+    max(value) FILTER (value BETWEEN q1 - 1.5::double * (q3 - q1) AND q3 + 1.5::double * (q3 - q1)) AS hi,
+    count(*) FILTER (NOT value BETWEEN q1 - 1.5::double * (q3 - q1) AND q3 + 1.5::double * (q3 - q1)) AS n_outliers
+  FROM long l JOIN boxes b ON l.dimension = b.dimension AND l."group" = b."group" AND l.metric = b.metric GROUP BY ALL
+) SELECT dimension, "group", metric, n, q1, med, q3, least(coalesce(lo, q1), q1) AS whisker_lo, greatest(coalesce(hi, q3), q3) AS whisker_hi, n_outliers FROM ends""")
+def entity_box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distributions.box_stats(entity.rates(_entities(spark, sf_dir)), DIMENSIONS, _METRICS)
+
+
+_SPLIT = "CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'supplement' ELSE 'test' END"
+
+
+@query(" UNION ALL ".join(
+    f"SELECT split, '{c}' AS \"column\", {c}::varchar AS value, count(*) AS n FROM (SELECT {_SPLIT} AS split, quality, toxic, (1940 + n_chars % 70)::integer AS birthyear FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY split, {c}"
+    for c in ("quality", "toxic", "birthyear")
+))
+def trait_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    split = F.when(F.col("doc_id") % 3 == 0, "train").when(F.col("doc_id") % 3 == 1, "supplement").otherwise("test")
+    return distributions.value_counts(docs.select(split.alias("split"), "quality", "toxic", bindings.birthyear().alias("birthyear")), ("quality", "toxic", "birthyear"))
+
+
+@query(f'{_STATS} SELECT dimension, "group", entities, posts, round(coalesce(emojis::double / nullif(posts, 0), 0), 4) AS emojis_per_post, round(coalesce(posts_with_emoji::double / nullif(posts, 0), 0), 4) AS share_with_emoji FROM stats')
+def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.summary(_stats(spark, sf_dir))
+
+
+@query(f"{_STATS} " + " UNION ALL ".join(f"SELECT '{n}' AS chart, dimension, \"group\", {a}::double / {b} AS value FROM stats WHERE {b} > 0" for n, (a, b) in stats.CHARTS.items()))
+def chart_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.chart_table(_stats(spark, sf_dir))
+
+
+@query(f"SELECT page_id, len(regexp_extract_all(url || ' ' || html, '{text.LINK}')) AS links FROM pages")
+def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", text.link_count(F.concat_ws(" ", "url", "html")).cast("long").alias("links"))
+
+
+# ---- features and models
+
+
+def _normal_sql(column: str) -> str:
+    out = f"lower({column})"
+    for kind, what, by in text.NORMALISER:
+        quoted = what.replace("'", "''")
+        out = f"regexp_replace({out}, '{quoted}', '{by}', 'g')" if kind == "re" else f"replace({out}, {'chr(10)' if what == chr(10) else repr(what)}, '{by}')"
+    return f"trim({out})"
+
+
+_NORMAL = f"WITH {_PEOPLE}, normal AS (SELECT id, source, {_normal_sql('array_to_string(posts, chr(10))')} AS document FROM people)"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bindings.people(spark, sf_dir).select("id", "source", text.normalise(F.array_join("posts", "\n")).alias("document"))
+
+
+@query(f"{_NORMAL} SELECT id, document FROM normal")
+def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("id", "document")
+
+
+@query("""WITH posts AS (
+  SELECT conv_id, role, list(text ORDER BY turn, text) AS posts FROM conversations GROUP BY conv_id, role
+), members AS (
+  SELECT conv_id, list(array_to_string(posts[1:10000], ' <eotweet> ') ORDER BY role) AS members FROM posts GROUP BY conv_id
+) SELECT conv_id AS id, array_to_string(members[1:10], ' <eofollower> ') AS document FROM members""")
+def assembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bindings.conversations(spark, sf_dir).select("id", text.assemble(F.col("text")).alias("document"))
+
+
+_TERMS = f"""{_NORMAL}, words AS (
+  SELECT id, regexp_extract_all(document, '{text.WORD}{{2,}}') AS w FROM normal
+), terms AS (
+  SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS term FROM words
+), counts AS (
+  SELECT id, term, count(*) AS tf FROM terms GROUP BY id, term
+), vocabulary AS (
+  SELECT term, sum(tf)::bigint AS tf, count(*) AS df FROM counts GROUP BY term HAVING count(*) >= 3 ORDER BY tf DESC, term LIMIT 10000
+)"""
+
+
+@query(f"{_TERMS} SELECT term, tf, df FROM vocabulary")
+def vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.vocabulary(features.term_counts(_documents(spark, sf_dir)))
+
+
+@query(f"""{_TERMS}, n AS (SELECT count(*) AS n FROM documents), raw AS (
+  SELECT c.id, c.term, c.tf * (ln((1 + n.n)::double / (1 + v.df)) + 1) AS w FROM counts c JOIN vocabulary v ON v.term = c.term, n
+) SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw""")
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    counts = features.term_counts(docs)
+    return features.tfidf(counts, features.vocabulary(counts), table(spark, sf_dir, "documents").count())
+
+
+@query()
+def predicted_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classifiers learned on labelled documents predict the traits of all documents."""
+    from feedprofile.operators.model import fit_profiler
+
+    docs = _documents(spark, sf_dir)
+    known = docs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", traits.birthyear_class(bindings.birthyear()).alias("birthyear")), "id")
+    train = known.join(bindings.labels(spark, sf_dir), "id")
+    profiler = fit_profiler(train.select("id", "document", "quality", "lang", "birthyear"), ("quality", "lang", "birthyear"), max_iter=30)
+    return profiler.predict(docs)
+
+
+# ---- evaluation and previews
+
+_HITS = {"quality": evaluate.exact_hit, "toxic": evaluate.exact_hit, "birthyear": evaluate.window_hit}
+_PRED = """pred AS (
+  SELECT doc_id AS id, n_chars, quality AS true_quality, CASE WHEN n_chars % 4 = 0 THEN 1 - quality ELSE quality END AS pred_quality,
+    toxic AS true_toxic, CASE WHEN n_chars % 5 = 0 THEN 1 - toxic ELSE toxic END AS pred_toxic,
+    1940 + n_chars % 70 AS true_birthyear, 1940 + n_chars % 70 + doc_id % 9 - 4 AS pred_birthyear
+  FROM documents JOIN labels USING (doc_id)
+), pairs AS (
+  SELECT 'quality' AS trait, pred_quality AS p, true_quality AS t, pred_quality = true_quality AS hit FROM pred
+  UNION ALL SELECT 'toxic', pred_toxic, true_toxic, pred_toxic = true_toxic FROM pred
+  UNION ALL SELECT 'birthyear', pred_birthyear, true_birthyear,
+    pred_birthyear BETWEEN trunc(true_birthyear - (-0.1::double * true_birthyear + 202.8::double)) AND trunc(true_birthyear + (-0.1::double * true_birthyear + 202.8::double)) FROM pred
+), truths AS (
+  SELECT trait, t AS c, count(*) AS n_truth, count(*) FILTER (hit) AS n_hit FROM pairs GROUP BY trait, t
+), guesses AS (
+  SELECT trait, CASE WHEN hit THEN t ELSE p END AS c, count(*) AS n_pred FROM pairs GROUP BY ALL
+), classes AS (
+  SELECT trait, c::varchar AS "class", n_truth, coalesce(n_pred, 0) AS n_pred, n_hit, coalesce(n_hit::double / n_pred, 0) AS "precision", n_hit::double / n_truth AS recall
+  FROM truths LEFT JOIN guesses USING (trait, c)
+)"""
+
+
+@query(f'WITH {_PRED} SELECT trait, "class", n_truth, n_pred, n_hit, "precision", recall FROM classes')
+def eval_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.class_counts(bindings.predictions(spark, sf_dir), _HITS)
+
+
+@query(f"""WITH {_PRED}, f AS (
+  SELECT trait, CASE WHEN avg("precision") = 0 OR avg(recall) = 0 THEN 0 ELSE 2 / (1 / avg("precision") + 1 / avg(recall)) END AS f FROM classes GROUP BY trait
+) SELECT 'f1_' || trait AS key, f AS value FROM f
+UNION ALL SELECT 'c_rank', CASE WHEN min(f) = 0 THEN 0 ELSE count(*) / sum(1 / f) END FROM f""")
+def eval_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = evaluate.class_counts(bindings.predictions(spark, sf_dir), _HITS)
+    return evaluate.scores(classes, {t: f"f1_{t}" for t in _HITS})
+
+
+@query("""WITH p AS (SELECT doc_id FROM documents WHERE n_chars % 6 <> 0)
+SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM p)) AS missing_pred,
+  (SELECT count(*) FROM p WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS extra_pred,
+  (SELECT count(*) FROM p WHERE doc_id % 7 = 0) AS bad_keys""")
+def prediction_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("n_chars % 6 <> 0")
+    gender = F.when(F.col("doc_id") % 7 != 0, F.lit("female"))  # null fields leave the record
+    record = F.to_json(F.struct(F.col("doc_id").alias("id"), F.lit("sports").alias("occupation"), bindings.birthyear().alias("birthyear"), gender.alias("gender")))
+    predictions = docs.select(F.col("doc_id").alias("id"), record.alias("record"))
+    return evaluate.validation(predictions, bindings.labels(spark, sf_dir), "record", feeds.PREDICTION_KEYS)
+
+
+@query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars})::varchar AS record FROM documents ORDER BY doc_id LIMIT 100")
+def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.preview_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
