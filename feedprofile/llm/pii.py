@@ -138,18 +138,18 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(told.select("entity", "term"))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` plus ``base`` (pattern spans) and ``all_spans`` (with disclosing terms), arrays sorted by start and kind.
+def find_personal_data(docs: DataFrame, base: str = "base", every: str = "all_spans") -> DataFrame:
+    """``docs`` plus ``base`` (pattern spans) and ``every`` (with disclosing terms), arrays sorted by start and kind.
 
     Null texts are empty and have no spans. Rows with repeated or null ids are documents like any other. Overlapping spans
-    of different kinds all stay. Columns named ``base`` and ``all_spans`` are replaced; an empty table gives no rows.
+    of different kinds all stay. Columns of ``docs`` with the new names are replaced; an empty table gives no rows.
     """
-    docs = docs.drop("base", "all_spans")
-    rows = docs.withColumn("base", base_spans(F.col("text")))
+    docs = docs.drop(base, every)
+    rows = docs.withColumn(base, base_spans(F.col("text")))
     found = materialize(docs.select(F.col("text").alias("_text")).withColumn("_base", base_spans(F.col("_text"))).where(F.size("_base") > 0))
     told = disclosing_terms(found, docs)
     if told.isEmpty():
-        return rows.withColumn("all_spans", F.col("base"))
+        return rows.withColumn(every, F.col(base))
     # terms of each text that holds their entity; a text is known by its hash and its length
     per_text = (
         found.select(F.xxhash64("_text").alias("_h"), F.length("_text").alias("_n"), F.explode("_base").alias("s"))
@@ -157,11 +157,12 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         .join(told, "entity").groupBy("_h", "_n").agg(F.collect_set("term").alias("_terms"))
     )
     per_text = materialize(per_text)
-    rows = rows.withColumn("_h", F.when(F.size("base") > 0, F.xxhash64("text"))).withColumn("_n", F.length("text"))
     if per_text.count() <= BROADCAST_TERMS:
         per_text = F.broadcast(per_text)
-    rows = rows.join(per_text, ["_h", "_n"], "left")
-    return rows.withColumn("all_spans", F.when(F.col("_terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", _term_spans(F.col("text"), F.col("_terms"), F.col("base")))))).drop("_h", "_n", "_terms")
+    same = (F.xxhash64(rows["text"]) == per_text["_h"]) & (F.length(rows["text"]) == per_text["_n"])
+    spans = F.array_sort(F.concat(rows[base], _term_spans(rows["text"], F.col("_terms"), rows[base])))
+    joined = rows.join(per_text, same, "left")
+    return joined.select(*[rows[c] for c in rows.columns], F.when(F.col("_terms").isNull(), rows[base]).otherwise(spans).alias(every))
 
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
@@ -189,7 +190,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all_spans")).alias("spans"))
 
 
-def sanitize(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def sanitize(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` generalised to the name of its kind; of overlapping spans the first counts.
 
     Texts without spans, null ones included, stay as they are.
@@ -204,5 +205,7 @@ def sanitize(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["start"] >= state["at"], out).otherwise(state["out"]).alias("out")
         )
 
-    clean = F.aggregate("all_spans", zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return find_personal_data(docs, id_col).withColumn("text", F.when(F.size("all_spans") > 0, clean).otherwise(text)).select(*docs.columns)
+    spans = F.col("_pii_spans")
+    clean = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    found = find_personal_data(docs, "_pii_base", "_pii_spans")
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)
