@@ -35,7 +35,7 @@ def birthyear_class(birthyear: Column) -> Column:
 
 
 def encode(value: Column, codes: Mapping[str, int]) -> Column:
-    """Code of a class name; null for an unknown one (see ``unknown_classes``)."""
+    """Code of a class name; null for an unknown one, which ``evaluate.unknown_classes`` lists."""
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), value)
 
 

@@ -59,6 +59,11 @@ def scores(classes: DataFrame, names: Mapping[str, str]) -> DataFrame:
     return every.select(F.inline(F.array(*pairs)))
 
 
+def unknown_classes(rows: DataFrame, column: str, codes: Mapping[str, int]) -> DataFrame:
+    """Class names of a column that have no code, with their number of rows."""
+    return rows.where(F.col(column).isNotNull() & ~F.col(column).isin(*codes)).groupBy(column).agg(F.count("*").alias("n"))
+
+
 def join_truth(predictions: DataFrame, truth: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:
     """Predictions with their truth; with ``strict``, a predicted id without truth is an error."""
     if strict and not predictions.join(truth, key, "left_anti").isEmpty():

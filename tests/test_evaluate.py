@@ -46,3 +46,12 @@ def test_validation_and_strict_join(spark):
     assert evaluate.join_truth(p, t).count() == 2
     with pytest.raises(ValueError):
         evaluate.join_truth(p, t, strict=True)
+
+
+def test_unknown_classes(spark):
+    from feedprofile.functions import traits
+
+    rows = spark.createDataFrame([("male",), ("female",), ("other",), ("other",), (None,)], "gender string")
+    assert list(map(tuple, evaluate.unknown_classes(rows, "gender", traits.GENDER_CODES).collect())) == [("other", 2)]
+    codes = rows.select(traits.encode(F.col("gender"), traits.GENDER_CODES).alias("c")).select("c", traits.decode(F.col("c"), traits.GENDER_CODES).alias("d"))
+    assert list(map(tuple, codes.collect())) == [(0, "male"), (1, "female"), (None, None), (None, None), (None, None)]
