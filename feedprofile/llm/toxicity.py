@@ -11,12 +11,14 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from feedprofile.llm.bytestext import LOWER, Slice, distinct_sorted, mix, prefix_hashes, range_hashes, slices
+from feedprofile.llm.storage import materialize
 
 #: Rows of the training sample, labelled and unlabelled, about; voters; features of the classifier.
 LABELLED, UNLABELLED, VOTERS, FEATURES = 12_000, 6_000, 256, 4096
@@ -25,6 +27,8 @@ BEGINNINGS = (4, 5, 6, 7, 8, 10)
 #: Voters whose firings have a Jaccard similarity of this or more share one vote.
 CORRELATED = 0.6
 LEAST_SUPPORT, EM_STEPS, FIT_STEPS = 3, 30, 300
+#: Features whose log odds are less than so many standard errors from 0 are noise; voters' log odds exceed LEAST_ODDS.
+LEAST_SURE, LEAST_ODDS = 3.0, 1.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -113,27 +117,18 @@ def label_model(votes: np.ndarray, given: np.ndarray) -> np.ndarray:
 
 
 class Classifier:
-    def __init__(self, rows: list[np.ndarray], given: np.ndarray) -> None:
+    def __init__(self, rows: list[np.ndarray], given: np.ndarray, columns: np.ndarray, voters: np.ndarray) -> None:
+        """``rows`` hold the features of the sample that are among ``columns`` (ascending); ``voters`` are some of these."""
         known = given >= 0
-        toxic = int((given == 1).sum())
-        values, counts = np.unique(np.concatenate([r for r, k in zip(rows, known, strict=True) if k]), return_counts=True)
-        values = values[counts >= LEAST_SUPPORT]
-        table = Matrix(rows, values)
-        pos, every = table.t_dot((given == 1).astype(float)), table.t_dot(known.astype(float))
-        clean = int(known.sum()) - toxic
-        odds = np.log((pos + 0.5) / (toxic + 1)) - np.log((every - pos + 0.5) / (clean + 1))
-        weight = np.abs(odds) * np.sqrt(every)
-        top = np.sort(np.argsort(-weight, kind="stable")[:FEATURES])
-        self.columns = values[top]
-        lead = np.argsort(-np.where(odds > 1.5, odds * np.sqrt(pos), 0), kind="stable")[:VOTERS]
-        lead = np.sort(lead[odds[lead] > 1.5])
-        labels = label_model(Matrix(rows, values[lead]).dense(), given) if len(lead) else np.where(known, given, toxic / max(known.sum(), 1))
-        self._fit(Matrix(rows, self.columns), labels)
+        share = (given == 1).sum() / max(known.sum(), 1)
+        labels = label_model(Matrix(rows, voters).dense(), given) if len(voters) else np.where(known, given, share)
+        self.columns = columns
+        self._fit(Matrix(rows, columns), labels)
 
     def _fit(self, x: Matrix, y: np.ndarray) -> None:
         """Logistic regression on soft labels, with decay, by accelerated steps scaled by feature counts."""
         seen = x.t_dot(np.ones(x.shape[0]))
-        n, decay = x.shape[0], 1.0
+        n, decay = x.shape[0], 0.1
         w, bias = np.zeros(x.shape[1]), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
         speed, rest = np.zeros(x.shape[1]), 0.0
         for _ in range(FIT_STEPS):
@@ -166,15 +161,37 @@ class Classifier:
         return self
 
 
-def _drawn(batches):
+def _counted(batches):
+    """Texts and toxic texts with each feature, summed within a batch."""
     for batch in batches:
+        toxic = batch.column("toxic").to_numpy()
+        hashes, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for piece in slices(batch.column("text")):
-            rows = text_features(piece)
-            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").slice(piece.first, len(rows)), "f": pa.array([r.tobytes() for r in rows], pa.binary())})
+            for k, row in enumerate(text_features(piece)):
+                hashes.append(row)
+                marks.append(np.full(len(row), toxic[piece.first + k]))
+        codes, distinct = pd.factorize(np.concatenate(hashes))
+        yield pa.RecordBatch.from_pydict({
+            "f": pa.array(distinct.view(np.int64)), "n": pa.array(np.bincount(codes, minlength=len(distinct))),
+            "pos": pa.array(np.bincount(codes, np.concatenate(marks), len(distinct)).astype(np.int64)),
+        })
+
+
+def _matched(columns: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch.column("text")):
+                rows = [r[np.isin(r, columns)].tobytes() for r in text_features(piece)]
+                yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").slice(piece.first, len(rows)), "f": pa.array(rows, pa.binary())})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Classifier | None:
-    """Fit on rows of ``docs(doc_id, text)`` that ``learn`` allows, with ``labels(doc_id, toxic)`` where they have one."""
+    """Fit on rows of ``docs(doc_id, text)`` that ``learn`` allows, with ``labels(doc_id, toxic)`` where they have one.
+
+    Features are counted by Spark over the labelled sample; the driver sees FEATURES of them and, of each sampled text, those.
+    """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id")
     have = marks.join(ids, "doc_id", "left_semi").count()
@@ -184,10 +201,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABEL
     u = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = ids.distinct().join(marks, "doc_id", "left").where(u < F.when(F.col("toxic").isNotNull(), F.lit(labelled / have)).otherwise(F.lit(unlabelled / rest)))
     # the sample is bounded, so its ids may be broadcast
-    rows = docs.where(learn).select("doc_id", "text").join(F.broadcast(drawn.withColumn("toxic", F.coalesce("toxic", F.lit(-1)))), "doc_id")
-    got = rows.select("text", "toxic").mapInArrow(_drawn, "toxic int, f binary").collect()
-    given = np.array([r["toxic"] for r in got])
-    return Classifier([np.frombuffer(r["f"], np.uint64) for r in got], given) if (given >= 0).any() else None
+    rows = materialize(docs.where(learn).select("doc_id", "text").join(F.broadcast(drawn.withColumn("toxic", F.coalesce("toxic", F.lit(-1)))), "doc_id").select("text", "toxic"))
+    known = rows.where("toxic >= 0")
+    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not n:
+        return None
+    counts = known.mapInArrow(_counted, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_SUPPORT)
+    neg = F.col("n") - F.col("pos")
+    odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((neg + 0.5) / (n - toxic + 1))
+    sure = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (neg + 0.5))
+    chosen = counts.select("f", "pos", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") >= LEAST_SURE).orderBy(F.desc("sure"), "f").limit(FEATURES).collect()
+    leads = sorted((r for r in chosen if r["odds"] > LEAST_ODDS), key=lambda r: -r["odds"] * r["pos"] ** 0.5)[:VOTERS]
+    columns, voters = (np.sort(np.array([r["f"] for r in some], np.int64).view(np.uint64)) for some in (chosen, leads))
+    got = rows.mapInArrow(_matched(columns), "toxic int, f binary").collect()
+    return Classifier([np.frombuffer(r["f"], np.uint64) for r in got], np.array([r["toxic"] for r in got]), columns, voters)
 
 
 def _scored(model: bytes, keep: list[str]):
