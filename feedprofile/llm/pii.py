@@ -105,6 +105,15 @@ def _nearby(text: Column, span: Column) -> Column:
     return F.concat(F.slice(F.reverse(last), 1, NEAR_WORDS), F.slice(first, 1, NEAR_WORDS))
 
 
+def _document_frequencies(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """In how many differing texts of ``docs(text)`` each term of ``met(term)`` occurs: ``(term, df_term)``."""
+    candidates = met.select("term").distinct()
+    if candidates.count() <= BROADCAST_TERMS:
+        candidates = F.broadcast(candidates)
+    spoken = docs.select(F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(candidates, "term", "left_semi")
+    return spoken.distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+
+
 def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``(entity, term)`` whose term discloses the entity, from ``found(_text, _base)``, the texts with entities.
 
@@ -119,6 +128,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
     near = materialize(near)
     met = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_TEXTS)
     met = materialize(met)
+    # a term is in at least the texts with entities that hold it, so words of many such texts are out already
+    seen = _document_frequencies(found.select(F.col("_text").alias("text")), met).withColumnRenamed("df_term", "seen")
+    met = materialize(met.join(seen, "term").where(F.col("both") >= CERTAINTY * F.col("seen")).drop("seen"))
     if met.isEmpty():
         return met.select("entity", "term")
     total = docs.count()
@@ -127,11 +139,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
         .select("doc", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
         .groupBy("entity").agg(F.count("*").alias("df_entity"))
     )
-    candidates = met.select("term").distinct()
-    if candidates.count() <= BROADCAST_TERMS:
-        candidates = F.broadcast(candidates)
-    spoken = docs.select(F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(candidates, "term", "left_semi")
-    terms = spoken.distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    terms = _document_frequencies(docs, met)
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("df_entity") * F.col("df_term")))
     own = F.log2(F.lit(float(total)) / F.col("df_entity"))
     told = met.join(entities, "entity").join(terms, "term").where((pmi >= DISCLOSURE * own) & (F.col("both") >= CERTAINTY * F.col("df_term")))
