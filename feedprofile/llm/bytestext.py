@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are worked through in slices of about so many bytes, which bounds memory; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+#: Texts are worked through in slices of about so many bytes and texts at most, which bounds memory; a longer text is a
+#: slice of its own.
+SLICE_BYTES, SLICE_TEXTS = 1 << 19, 2048
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,7 +31,7 @@ class Slice(NamedTuple):
     offsets: np.ndarray
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES, most_texts: int = SLICE_TEXTS) -> Iterator[Slice]:
     """Cut a string column into slices of whole texts; a null text is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -48,7 +49,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterat
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        to = min(to, n)
+        to = min(to, n, at + most_texts)
         yield Slice(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 

@@ -122,7 +122,7 @@ class Identifier:
 
 def _drawn(batches):
     for batch in batches:
-        for piece in slices(batch.column("text")):
+        for piece in slices(batch.column("text"), most_texts=256):
             counts = trigram_counts(piece)
             n = len(counts)
             yield pa.RecordBatch.from_pydict({
@@ -158,7 +158,7 @@ def _named(model: bytes, keep: list[str]):
         identifier = pickle.loads(model)
         for batch in batches:
             tags, scores = [], []
-            for piece in slices(batch.column("text")):
+            for piece in slices(batch.column("text"), most_texts=256):
                 n = len(piece.offsets) - 1
                 names, score = identifier.predict(features(trigram_counts(piece))) if identifier else ([UNKNOWN] * n, np.zeros(n))
                 letters = has_letter(piece)

@@ -25,7 +25,7 @@ AT_SENTENCE, IN_SENTENCE = 1, 4
 #: Sentences beyond STRIDE ids may be cut at each STRIDE ids.
 STRIDE = 16
 #: About so many bytes of text are packed at once.
-TOGETHER_BYTES = 16 << 20
+TOGETHER_BYTES = 2 << 20
 END_ID = 0
 
 
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     A document's ids are its text's, then id 0; a null text is empty and so gives the one id 0. Pieces carry
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. Each input partition is one stream (no
-    shuffle), cut at about 16 MB of text to bound memory. Windows keep the order of rows. Rows with equal or null
+    shuffle), cut at about 2 MB of text to bound memory. Windows keep the order of rows. Rows with equal or null
     ids are packed each on its own; other columns are ignored; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)["doc_id"]

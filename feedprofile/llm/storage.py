@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -18,8 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, and survives lost executors."""
+def materialize(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    ``batch_rows`` bounds the Arrow batches of this one write, for rows that are wide.
+    """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_BATCH)
+    try:
+        if batch_rows is not None:
+            conf.set(_BATCH, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

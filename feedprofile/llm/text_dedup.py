@@ -26,12 +26,16 @@ from feedprofile.llm.storage import materialize
 #: Registers of a band and bands; a pair at 0.8 misses all bands with probability 0.59 ** 32 = 5e-8.
 BAND_ROWS, BANDS = 4, 32
 REGISTERS = BAND_ROWS * BANDS
+#: Points drawn at once, which bounds memory.
+DRAWN = 1 << 19
 #: Base of the exponents and their offset, so that they are positive and fit 16 bits.
 BASE, OFFSET = 1.005, 600
 #: Pairs whose likelihood at the threshold is less than exp(-SURE) of their best are not verified.
 SURE = 20.0
 #: A hub with more partners than this is verified in several parts.
 PART_PAIRS = 256
+#: Pairs with their two sets that are handed over at once.
+WIDE_ROWS = 1000
 #: Ids are broadcast up to this number (some 20 MB), and joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 #: Members of a family in a block, and families verified together, by members.
@@ -66,6 +70,7 @@ def sketch(elements: np.ndarray, counts: np.ndarray, registers: int = REGISTERS)
     alive, time = np.arange(len(elements)), np.zeros(len(elements))
     thrown, step = 0, 1
     while len(alive):
+        step = max(1, min(step, DRAWN // len(alive)))
         ks = np.arange(thrown + 1, thrown + step + 1, dtype=np.uint64) * np.uint64(_GOLD)
         x = mix(elements[alive][:, None] + ks[None, :])
         gaps = -np.log((x >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / registers
@@ -76,8 +81,7 @@ def sketch(elements: np.ndarray, counts: np.ndarray, registers: int = REGISTERS)
         most = least.reshape(sets, registers).max(axis=1)
         alive = alive[time[alive] < most[owner[alive]]]
         thrown += step
-        if thrown >= 2 * step:
-            step = min(2 * step, 256)
+        step = min(2 * step, 256) if thrown >= 2 * step else step
     with np.errstate(divide="ignore"):
         exponent = np.floor(1 - np.log(least) / np.log(BASE)) + OFFSET
     return np.where(np.isfinite(least), np.clip(exponent, 1, 65535), 0).astype(np.uint16).reshape(sets, registers)
@@ -275,7 +279,7 @@ class _Corpus:
         left = parts.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("s").alias("sa"))
         right = dealt.join(sets, F.col("b") == F.col("id")).select("a", "b", "part", F.col("s").alias("sb"))
         both = left.join(right, ["a", "part"]).select("a", "b", "sa", "sb")
-        return materialize(both.mapInArrow(_verified(self.percent), "a long, b long"))
+        return materialize(both.mapInArrow(_verified(self.percent), "a long, b long"), batch_rows=WIDE_ROWS)
 
 
 def _between(held: DataFrame, corpus: _Corpus) -> DataFrame:

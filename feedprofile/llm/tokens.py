@@ -15,8 +15,8 @@ import pandas as pd
 from feedprofile.llm.bytestext import SPACE, Slice, prefix_hashes, range_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct parts that a worker remembers (some 120 MB); when more come, it starts anew.
-REMEMBERED = 1 << 20
+#: Distinct parts that a worker remembers (some 60 MB); when more come, it starts anew.
+REMEMBERED = 1 << 19
 
 _BREAK = SPACE.copy()
 _BREAK[0x1C:0x20] = True
