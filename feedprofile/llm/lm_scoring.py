@@ -1,11 +1,14 @@
 """Language-model scores of texts: prediction by partial matching over bytes, beside a word-unigram base.
 
-A text is coded in units, a word and the one space or end after it; contexts are the up to ORDER bytes before a byte
-within its unit, and the unit's start. The trie of contexts is counted over all training texts. A byte's probability
-comes from the longest known context; where that has not seen it, the model escapes to the next shorter one, with the
-escape estimate "half of the distinct symbols over the total", and symbols of the longer contexts are excluded from the
-shorter ones. After training this is a fixed distribution per context, and a unit's code length depends on the unit
-alone, so each distinct unit is scored once per worker.
+Contexts are the up to ORDER bytes before a byte, across blanks and lines, and the text's start. All contexts of all
+training texts count. A byte's probability comes from the longest known context; where that has not seen it, the model
+escapes to the next shorter one, with the escape estimate "half of the distinct symbols over the total", and symbols of
+the longer contexts are excluded from the shorter ones. After training this is a fixed probability of each gram, a
+context and its byte.
+
+All distinct grams form one table. Those that share the last NEAR bytes of context are brought together, because they
+hold all that the longer contexts of each other need; only contexts of up to DENSE bytes, 65,793 at most, go to every
+worker. The HOT_GRAMS most frequent probabilities are broadcast; rarer grams of a text are joined by shuffle.
 
 Word counts cover all training words. The HOT most frequent are broadcast (a bounded table); the counts of rarer words
 are joined by shuffle.
@@ -13,60 +16,59 @@ are joined by shuffle.
 
 from __future__ import annotations
 
+from copy import copy
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedprofile.llm.bytestext import SPACE, Slice, prefix_hashes, range_hashes, slices, total_by, word_hashes
+from feedprofile.llm.bytestext import Slice, prefix_hashes, range_hashes, slices, total_by, word_hashes
 from feedprofile.llm.storage import materialize
 
-#: Longest context, and the longest of those that have a whole row of 256 numbers.
-ORDER, DENSE = 6, 3
-#: Contexts of DENSE bytes, and leaves of ORDER bytes, that the trie keeps: the most frequent ones.
-CONTEXTS, LEAVES = 1 << 15, 1 << 20
-#: Units whose scores a worker remembers.
-REMEMBERED = 1 << 20
-#: Frequent words that are broadcast, some 12 MB.
-HOT = 1 << 20
-#: About so many bytes of text are counted at once.
-TOGETHER_BYTES = 24 << 20
-WORDS, SHORT, LONG, TEXTS = 0, 1, 2, 3
+#: Longest context; the longest of those that have a whole row of 256 numbers; the bytes by which grams are dealt.
+ORDER, DENSE, NEAR = 6, 2, 3
+#: Frequent words that are broadcast, and frequent grams, some 16 and 32 MB.
+HOT, HOT_GRAMS = 1 << 20, 1 << 21
+#: Grams whose contexts a task works on, about.
+TASK_GRAMS = 1 << 20
+#: About so many bytes of text are counted at once, and sorted at once.
+TOGETHER_BYTES, SORTED_BYTES = 32 << 20, 4 << 20
+#: About so many bytes of text are scored at once.
+SCORED_BYTES = 1 << 20
+WORDS, GRAMS, TEXTS = 0, 1, 2
+#: Marks grams of texts that are not learned from while they are counted.
+_OTHER, _GRAM = np.uint64(1 << 56), np.uint64((1 << 56) - 1)
 
 
 class Units(NamedTuple):
-    """Distinct units of some texts: their bytes joined, their ends there, their hashes; the unit of each occurrence."""
+    """Distinct texts of a slice, each with a zero byte for its end: their bytes joined, their ends there, their hashes; the unit of each text."""
 
     data: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     which: np.ndarray
-    counts: np.ndarray
 
 
 def units(piece: Slice) -> Units:
-    """Units of a slice; a zero byte after each text stands for its end. ``counts`` is by text."""
-    n = len(piece.offsets) - 1
-    data = np.zeros(len(piece.data) + n, np.uint8)
-    data[np.arange(len(piece.data)) + np.repeat(np.arange(n), np.diff(piece.offsets))] = piece.data
-    ends = np.flatnonzero(SPACE[data] | (data == 0)) + 1
-    starts = np.concatenate(([0], ends[:-1]))
-    which, hashes = pd.factorize(range_hashes(prefix_hashes(data), starts, ends))
+    """Distinct texts of a slice."""
+    which, hashes = pd.factorize(range_hashes(prefix_hashes(piece.data), piece.offsets[:-1], piece.offsets[1:]))
     first = np.zeros(len(hashes), np.int64)
     first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-    sizes = ends[first] - starts[first]
-    after = np.cumsum(sizes)
-    joined = data[np.repeat(starts[first] - (after - sizes), sizes) + np.arange(after[-1])] if n else data
-    counts = np.diff(np.searchsorted(ends, np.concatenate(([0], piece.offsets[1:] + np.arange(1, n + 1))), "right"))
-    return Units(joined, after, hashes, which, counts)
+    sizes = np.diff(piece.offsets)[first]
+    ends = np.cumsum(sizes + 1)
+    data = np.zeros(ends[-1] if len(ends) else 0, np.uint8)
+    for at, to, size in zip(piece.offsets[first].tolist(), ends.tolist(), sizes.tolist(), strict=True):
+        data[to - 1 - size : to - 1] = piece.data[at : at + size]
+    return Units(data, ends, hashes, which)
 
 
 def grams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """For each byte its context of ORDER bytes within the unit, zeros before the unit's start, and the byte: 56 bits."""
+    """For each byte its context of ORDER bytes within the text, zeros before the text's start, and the byte: 56 bits."""
     sizes = np.diff(np.concatenate(([0], ends)))
     place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
     out = data.astype(np.uint64)
@@ -83,39 +85,71 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights[order], first) if len(first) else np.zeros(0, weights.dtype)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _merged(held: tuple[np.ndarray, np.ndarray], fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of distinct keys, with those of further keys added."""
+    keys, n = _distinct(np.concatenate(fresh))
+    fresh.clear()
+    return _summed(np.concatenate([held[0], keys]), np.concatenate([held[1], n])) if len(held[0]) else (keys, n)
+
+
 def _counted(batches):
-    words: list[np.ndarray] = []
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    texts = size = 0
+    """Counts ``c`` in texts to learn from and ``n`` in all texts: of words (of the former only), grams and texts."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    held = {WORDS: none, GRAMS: none}
+    fresh: dict[int, list[np.ndarray]] = {WORDS: [], GRAMS: []}
+    texts = size = new = 0
+
+    def rows(kind, keys, c, n):
+        for at in range(0, len(keys), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array(np.full(len(keys[part]), kind, np.int32)), "key": pa.array(keys[part].view(np.int64)), "c": pa.array(c[part].astype(np.int64)), "n": pa.array(n[part].astype(np.int64)),
+            })
+
+    def merge():
+        for kind in held:
+            if fresh[kind]:
+                held[kind] = _merged(held[kind], fresh[kind])
 
     def flush():
-        if held:
-            every = np.concatenate(words)
-            codes, distinct = pd.factorize(every)
-            long = _summed(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            for kind, keys, counts in (
-                (WORDS, distinct, np.bincount(codes, minlength=len(distinct))),
-                (SHORT, *_summed(long[0] & np.uint64((1 << 8 * (DENSE + 1)) - 1), long[1])),
-                (LONG, *long),
-            ):
-                yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array(np.full(len(keys), kind, np.int32)), "key": pa.array(keys.view(np.int64)), "c": pa.array(counts.astype(np.int64)),
-                })
+        merge()
+        yield from rows(WORDS, *held[WORDS], held[WORDS][1])
+        keys, n = held[GRAMS]
+        learned = np.where(keys < _OTHER, n, 0)
+        distinct, c = _summed(keys & _GRAM, learned)
+        yield from rows(GRAMS, distinct, c, _summed(keys & _GRAM, n)[1])
+        held.update({WORDS: none, GRAMS: none})
 
     for batch in batches:
-        for piece in slices(batch.column("text")):
-            words.append(word_hashes(piece)[0])
-            found = units(piece)
-            times = np.bincount(found.which, minlength=len(found.hashes))
-            sizes = np.diff(np.concatenate(([0], found.ends)))
-            held.append(_summed(grams(found.data, found.ends), np.repeat(times, sizes)))
-            texts += len(piece.offsets) - 1
-            size += len(piece.data)
-            if size >= TOGETHER_BYTES:
-                yield from flush()
-                words, held, size = [], [], 0
+        learn = batch.column("_learn")
+        for other, part in ((False, batch.filter(learn)), (True, batch.filter(pc.invert(learn)))):
+            for piece in slices(part.column("text")):
+                n = len(piece.offsets) - 1
+                if not other:
+                    fresh[WORDS].append(word_hashes(piece)[0])
+                    texts += n
+                ends = piece.offsets[1:] + np.arange(1, n + 1)
+                data = np.zeros(len(piece.data) + n, np.uint8)
+                data[np.arange(len(piece.data)) + np.repeat(np.arange(n), np.diff(piece.offsets))] = piece.data
+                keys = grams(data, ends)
+                fresh[GRAMS].append(keys | _OTHER if other else keys)
+                new += len(keys)
+                size += len(keys)
+                if new >= SORTED_BYTES:
+                    merge()
+                    new = 0
+                if size >= TOGETHER_BYTES:
+                    yield from flush()
+                    size = new = 0
     yield from flush()
-    yield pa.RecordBatch.from_pydict({"kind": pa.array([TEXTS], pa.int32()), "key": pa.array([0], pa.int64()), "c": pa.array([texts], pa.int64())})
+    yield from rows(TEXTS, np.zeros(1, np.uint64), np.array([texts]), np.array([texts]))
 
 
 class ByteModel:
@@ -126,7 +160,16 @@ class ByteModel:
     """
 
     def __init__(self, short: tuple[np.ndarray, np.ndarray], long: tuple[np.ndarray, np.ndarray]) -> None:
-        self._dense(*short)
+        self._dense(*_summed(short[0] & np.uint64((1 << 8 * (DENSE + 1)) - 1), short[1]))
+        self._learn(long)
+
+    def with_longer(self, long: tuple[np.ndarray, np.ndarray]) -> ByteModel:
+        """This model with the contexts of other grams in place of its own longer ones."""
+        out = copy(self)
+        out._learn(long)
+        return out
+
+    def _learn(self, long: tuple[np.ndarray, np.ndarray]) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for k in range(DENSE + 1, ORDER + 1):
             keys, counts = _summed(long[0] & np.uint64((1 << 8 * (k + 1)) - 1), long[1].astype(np.float64))
@@ -143,11 +186,7 @@ class ByteModel:
 
     def _dense(self, keys: np.ndarray, counts: np.ndarray) -> None:
         byte, context, counts = (keys & np.uint64(255)).astype(np.int64), (keys >> np.uint64(8)).astype(np.int64), counts.astype(np.float64)
-        tables = [self._table(byte, counts, context & ((1 << 8 * k) - 1)) for k in range(DENSE)]
-        distinct, totals = _summed(context, counts)
-        kept = np.sort(distinct[np.argsort(-totals, kind="stable")[:CONTEXTS]])
-        inside = np.isin(context, kept)
-        tables.append(self._table(byte[inside], counts[inside], context[inside]))
+        tables = [self._table(byte, counts, context & ((1 << 8 * k) - 1)) for k in range(DENSE + 1)]
         rows = []
         for k, (codes, own) in enumerate(tables):
             shorter = [(tables[j][1], np.searchsorted(tables[j][0], codes & ((1 << 8 * j) - 1))) for j in range(k - 1, -1, -1)]
@@ -204,33 +243,44 @@ class ByteModel:
             out = np.where(known[at] == gram, own[at], escaped)
         return out
 
-    def unit_scores(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return total_by(self.log_probabilities(grams(data, ends)), np.diff(np.concatenate(([0], ends))))
-
 
-def _text_scores(model: ByteModel, known: dict[int, float], piece: Slice) -> np.ndarray:
+def _text_scores(hot: tuple[np.ndarray, np.ndarray], piece: Slice) -> tuple[np.ndarray, pa.ListArray]:
+    """Sums of the frequent grams' log10 probabilities by text, and the other grams of each text."""
+    frequent, logs = hot
     found = units(piece)
-    hashes = found.hashes.tolist()
-    if len(known) + len(hashes) > REMEMBERED:
-        known.clear()
-    new = np.array([k for k, h in enumerate(hashes) if h not in known], np.int64)
-    if len(new):
-        sizes = np.diff(np.concatenate(([0], found.ends)))[new]
-        after = np.cumsum(sizes)
-        data = found.data[np.repeat(found.ends[new] - after, sizes) + np.arange(after[-1])]
-        known.update(zip(found.hashes[new].tolist(), model.unit_scores(data, after).tolist(), strict=True))
-    scores = np.fromiter(map(known.__getitem__, hashes), np.float64, len(hashes))
-    return total_by(scores[found.which], found.counts)
-
-
-def _scored(model, hot, keep: list[str]):
+    which, distinct = pd.factorize(grams(found.data, found.ends))
+    at = np.minimum(np.searchsorted(frequent, distinct), max(len(frequent) - 1, 0))
+    hit = frequent[at] == distinct if len(frequent) else np.zeros(len(distinct), bool)
+    value = np.where(hit, logs[at], 0.0) if len(frequent) else np.zeros(len(distinct))
+    rare = np.flatnonzero(~hit[which])
+    ends = np.concatenate(([0], np.searchsorted(rare, found.ends)))
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(distinct[which[rare]].view(np.int64)))
+    return total_by(value[which], np.diff(found.ends, prepend=0))[found.which], lists.take(pa.array(found.which))
+
+
+def _valued(dense):
+    """Log10 probabilities of a task's grams ``(key, c, n)``, which hold all grams with the same last NEAR context bytes."""
+    def run(batches):
+        got = [(b.column("key").to_numpy().view(np.uint64), b.column("c").to_numpy(), b.column("n").to_numpy()) for b in batches]
+        if got:
+            keys, c, n = (np.concatenate(x) for x in zip(*got, strict=True))
+            seen = np.flatnonzero(c > 0)
+            values = dense.value.with_longer((keys[seen], c[seen])).log_probabilities(keys)
+            for at in range(0, len(keys), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[part].view(np.int64)), "n": pa.array(n[part]), "p": pa.array(values[part])})
+
+    return run
+
+
+def _scored(hot_grams, hot, keep: list[str]):
     def run(batches):
         frequent, logs = hot.value
-        seen: dict[int, float] = {}
         made = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for piece in slices(batch.column("text")):
+            for piece in slices(batch.column("text"), SCORED_BYTES):
                 n = len(piece.offsets) - 1
+                sums, grams_left = _text_scores(hot_grams.value, piece)
                 words, counts = word_hashes(piece)
                 which, distinct = pd.factorize(words)
                 at = np.minimum(np.searchsorted(frequent, distinct), max(len(frequent) - 1, 0))
@@ -242,21 +292,41 @@ def _scored(model, hot, keep: list[str]):
                 yield pa.RecordBatch.from_pydict({
                     **{c: batch.column(c).slice(piece.first, n) for c in keep},
                     "_row": pa.array(made + np.arange(n)), "_words": pa.array(counts.astype(np.int64)), "_known": pa.array(n_known),
-                    "_logs": pa.array(total_by(value[which], counts)), "_rare": rare, "score": pa.array(_text_scores(model.value, seen, piece)),
+                    "_logs": pa.array(total_by(value[which], counts)), "_rare": rare, "_sum": pa.array(sums), "_grams": grams_left,
                 })
                 made += n
 
     return run
 
 
-def _most_frequent(counted: DataFrame, kind: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most so many keys of a kind, by a floor on their counts, which doubles until they fit."""
-    rows, floor = counted.where(F.col("kind") == kind), 1
-    sizes = {r["b"]: r["n"] for r in rows.groupBy(F.floor(F.log2("c")).alias("b")).agg(F.count("*").alias("n")).collect()}
-    while sum(n for b, n in sizes.items() if b >= floor - 1) > most:
-        floor += 1
-    got = rows.where(F.col("c") >= 2 ** (floor - 1)).select("key", "c").toArrow()
-    return got["key"].to_numpy().view(np.uint64), got["c"].to_numpy()
+def _least(rows: DataFrame, count: str, most: int) -> int:
+    """The least count from which at most so many rows are left, from how many rows have each count."""
+    steps = rows.groupBy(F.least(count, F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
+    least, so_far = 100_001, 0
+    for step in steps:
+        if so_far + step["count"] > most:
+            break
+        least, so_far = step["c"], so_far + step["count"]
+    return least
+
+
+def _frequent(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and values of a bounded number of rows."""
+    got = rows.select(key, value).toArrow()
+    keys, values = got[key].to_numpy().view(np.uint64), got[value].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def gram_values(counted: DataFrame) -> DataFrame:
+    """Log10 probabilities ``(key, n, p)`` of all grams of ``counted``."""
+    spark, rows = counted.sparkSession, counted.where(F.col("kind") == GRAMS).select("key", "c", "n")
+    short = rows.where("c > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (DENSE + 1)) - 1)).alias("key")).agg(F.sum("c").alias("c"))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    dense = spark.sparkContext.broadcast(ByteModel(_frequent(short, "key", "c"), none))
+    near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * NEAR) - 1))
+    dealt = rows.repartition(1 + rows.count() // TASK_GRAMS, near)
+    return materialize(dealt.mapInArrow(_valued(dense), "key long, n long, p double"))
 
 
 def score_texts(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:
@@ -269,37 +339,34 @@ def score_texts(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:
     bytes are equally likely. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    counted = docs.where(learn).select("text").mapInArrow(_counted, "kind int, key long, c long")
-    counted = materialize(counted.groupBy("kind", "key").agg(F.sum("c").alias("c")))
+    marked = docs.select("text", F.coalesce(learn, F.lit(False)).alias("_learn"))
+    counted = marked.mapInArrow(_counted, "kind int, key long, c long, n long")
+    counted = materialize(counted.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
     texts = counted.where(F.col("kind") == TEXTS).agg(F.sum("c")).first()[0] or 0
     words = counted.where(F.col("kind") == WORDS).select(F.col("key").alias("h"), "c")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + texts, distinct + (texts > 0)
-    # the least count of a hot word, from how many words have each count
-    steps = words.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
-    least, so_far = 100_000, 0
-    for step in steps:
-        if so_far + step["count"] > HOT:
-            break
-        least, so_far = step["c"], so_far + step["count"]
-    got = words.where(F.col("c") >= least).toArrow()
-    hashes, c = got["h"].to_numpy().view(np.uint64), got["c"].to_numpy()
-    order = np.argsort(hashes)
-    hot = spark.sparkContext.broadcast((hashes[order], np.log10(c[order] + 0.5)))
-    model = spark.sparkContext.broadcast(ByteModel(_most_frequent(counted, SHORT, LEAVES), _most_frequent(counted, LONG, LEAVES)))
+    least = _least(words, "c", HOT)
+    hashes, c = _frequent(words.where(F.col("c") >= least), "h", "c")
+    hot = spark.sparkContext.broadcast((hashes, np.log10(c + 0.5)))
+    values = gram_values(counted)
+    least_gram = _least(values, "n", HOT_GRAMS)
+    hot_grams = spark.sparkContext.broadcast(_frequent(values.where(F.col("n") >= least_gram), "key", "p"))
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _row long, _words long, _known long, _logs double, _rare array<long>, score double"
-    drawn = materialize(docs.select(*{*keep, "text"}).mapInArrow(_scored(model, hot, keep), schema))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _row long, _words long, _known long, _logs double, _rare array<long>, _sum double, _grams array<long>"
+    drawn = materialize(docs.select(*{*keep, "text"}).mapInArrow(_scored(hot_grams, hot, keep), schema))
     rare = drawn.select("_row", F.explode("_rare").alias("h")).groupBy("_row", "h").agg(F.count("*").alias("m"))
     cold = words.where(F.col("c") < least)
     found = rare.join(cold, "h").groupBy("_row").agg(F.sum("m").alias("_n"), F.sum(F.col("m") * F.log10(F.col("c") + 0.5)).alias("_l"))
+    left = drawn.select("_row", F.explode("_grams").alias("key")).join(values.where(F.col("n") < least_gram), "key")
+    left = left.groupBy("_row").agg(F.sum("p").alias("_p"))
     none = F.lit(0)
     end = float(np.log10(texts + 0.5))
     below = float(np.log10(total + 0.5 * (distinct + 1)))
     n = F.col("_words") + 1
     seen = F.col("_known") + F.coalesce("_n", none)
     base = F.col("_logs") + F.coalesce("_l", F.lit(0.0)) + (F.col("_words") - seen) * float(np.log10(0.5)) + end - n * below
-    return drawn.join(found, "_row", "left").select(
+    return drawn.join(found, "_row", "left").join(left, "_row", "left").select(
         *keep, n.cast("long").alias("n_tokens"), (seen + (1 if texts else 0)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("_sum") + F.coalesce("_p", F.lit(0.0))).alias("score"),
     )

@@ -232,6 +232,33 @@ def test_lm_base_scores_equal_brute_force(spark, monkeypatch):
     assert score_texts(spark.createDataFrame([], DOCS), F.lit(True), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 21, 30, 0])
+def test_lm_scores_use_every_context_across_words(spark, monkeypatch, hot):
+    """Scores equal one undivided model of all grams of whole texts, however few of them are broadcast."""
+    import pyarrow as pa
+
+    from feedprofile.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "HOT_GRAMS", hot)
+    monkeypatch.setattr(lm_scoring, "TASK_GRAMS", 500)
+    rnd = random.Random(3)
+    texts = [words(rnd, rnd.randint(0, 30)) for _ in range(50)] + [None, "", "one two three", "three two one", "one two three", "one two three", "é\nü"]
+    learn = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 5 != 1]
+
+    def of(text):
+        data = np.frombuffer((text or "").encode() + b"\0", np.uint8)
+        return lm_scoring.grams(data, np.array([len(data)]))
+
+    every = np.concatenate([of(texts[k]) for k in learn])
+    keys, counts = np.unique(every, return_counts=True)
+    model = ByteModel((keys, counts), (keys, counts))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, fold(5) != 1, ["doc_id"]).collect()}
+    for k, text in enumerate(texts):
+        assert got[k] == pytest.approx(model.log_probabilities(of(text)).sum(), rel=1e-6)
+    assert got[52] != pytest.approx(got[53], rel=1e-3)
+
+
 def test_byte_model_is_a_distribution():
     """Probabilities of all bytes after any context add to one."""
     from feedprofile.llm import lm_scoring
