@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
-Voters are words and word beginnings, mined from labelled rows because they point to toxic texts; each votes "toxic"
-or abstains. A generative label model estimates by expectation maximisation how often each voter fires on toxic and
-on clean texts; voters that fire together almost always (a word and its beginnings) are correlated and share one
-vote. The posterior labels of a bounded sample of rows, labelled or not, then train a linear classifier.
+Voters are words and word beginnings, mined from all labelled rows because they point to toxic texts; each votes "toxic"
+or abstains. A generative label model estimates by expectation maximisation, over the vote patterns of all rows, labelled
+or not, how often each voter fires on toxic and on clean texts; voters that fire together almost always (a word and its
+beginnings) are correlated and share one vote. The posterior labels of a bounded sample of rows, of toxic and clean ones
+alike, then train a linear classifier; features that the sample hardly holds keep the weight that all rows' votes give.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BEGINNINGS = (4, 5, 6, 7, 8, 10)
 #: Voters whose firings have a Jaccard similarity of this or more share one vote.
 CORRELATED = 0.6
 LEAST_SUPPORT, EM_STEPS, FIT_STEPS = 3, 30, 300
+#: Labels are broadcast up to this number and joined by shuffle beyond it.
+BROADCAST_LABELS = 1_000_000
 #: Features whose log odds are less than so many standard errors from 0 are noise; voters' log odds exceed LEAST_ODDS.
 LEAST_SURE, LEAST_ODDS = 3.0, 1.5
 
@@ -89,51 +92,126 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def label_model(votes: np.ndarray, given: np.ndarray) -> np.ndarray:
-    """Posterior probability of "toxic" by row, from 0/1 votes and given labels (-1: none).
+class LabelModel:
+    """Rates at which groups of correlated voters fire on toxic and on clean rows, and the share of toxic rows."""
 
-    Correlated voters are merged to one that fires if any does; the rates of firing on toxic and on clean rows and the
-    share of toxic rows are estimated by expectation maximisation, which starts from the given labels.
+    def __init__(self, group: np.ndarray, share: float) -> None:
+        self.group, self.names, self.share = group, np.unique(group), share
+        self.on = self.off = None
+
+    def merged(self, votes: np.ndarray) -> np.ndarray:
+        """Votes of groups: one fires if any of its voters does."""
+        return np.stack([votes[:, self.group == g].max(axis=1) for g in self.names], axis=1)
+
+    def posterior(self, merged: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Posterior probability of "toxic", from 0/1 votes of groups and given labels (-1: none)."""
+        known = given >= 0
+        if self.on is None:
+            return np.where(known, given, self.share).astype(np.float64)
+        score = merged @ (np.log(self.on) - np.log(self.off)) + (1 - merged) @ (np.log1p(-self.on) - np.log1p(-self.off))
+        # a given label is a voter too, right 19 times in 20
+        score += np.log(self.share / (1 - self.share)) + np.where(known, np.where(given == 1, 1, -1) * np.log(19.0), 0.0)
+        return _sigmoid(score)
+
+    def voter_odds(self) -> np.ndarray:
+        """Log odds of each voter: those of its group, shared among its members."""
+        at = np.searchsorted(self.names, self.group)
+        return (np.log(self.on) - np.log(self.off))[at] / np.bincount(at)[at]
+
+
+def _unpacked(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes, given labels and numbers of rows of a batch of vote patterns."""
+    packed = np.frombuffer(b"".join(batch.column("votes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    return np.unpackbits(packed, axis=1, count=n).astype(np.float32), batch.column("toxic").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
+
+
+def _voted(voters: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch.column("text")):
+                votes = Matrix(text_features(piece), voters).dense().astype(bool)
+                packed = [r.tobytes() for r in np.packbits(votes, axis=1)]
+                yield pa.RecordBatch.from_pydict({"votes": pa.array(packed, pa.binary()), "toxic": batch.column("toxic").slice(piece.first, len(packed))})
+
+    return run
+
+
+def _together(n: int):
+    def run(batches):
+        both = np.zeros((n, n))
+        for batch in batches:
+            votes, _, times = _unpacked(batch, n)
+            both += (votes * times[:, None]).T @ votes
+        at = np.flatnonzero(both)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(at), "m": pa.array(both.ravel()[at])})
+
+    return run
+
+
+def _expected(model: LabelModel, n: int):
+    def run(batches):
+        out = np.zeros(2 * len(model.names) + 2)
+        for batch in batches:
+            votes, given, times = _unpacked(batch, n)
+            merged = model.merged(votes)
+            toxic = model.posterior(merged, given) * times
+            out += np.concatenate([merged.T @ toxic, merged.T @ (times - toxic), [toxic.sum(), times.sum()]])
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+
+    return run
+
+
+def label_model(rows: DataFrame, voters: np.ndarray, toxic: int, known: int) -> LabelModel:
+    """Label model of all ``rows(text, toxic)``, by expectation maximisation that starts from the ``known`` labels.
+
+    Rows are brought down to their distinct vote patterns once; each step is one aggregation over these.
     """
-    both = votes.T @ votes
-    fired = votes.sum(axis=0)
+    n = len(voters)
+    patterns = materialize(rows.mapInArrow(_voted(voters), "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n")))
+    both = np.zeros(n * n)
+    for r in patterns.mapInArrow(_together(n), "k long, m double").groupBy("k").agg(F.sum("m").alias("m")).collect():
+        both[r["k"]] = r["m"]
+    both = both.reshape(n, n)
+    fired = np.diag(both)
     alike = both >= CORRELATED * (fired[:, None] + fired[None, :] - both)
-    group = np.arange(len(fired))
-    for k in range(len(fired)):
+    group = np.arange(n)
+    for k in range(n):
         group[k] = group[np.flatnonzero(alike[k])[0]] if alike[k].any() else k
-    merged = np.stack([votes[:, group == g].max(axis=1) for g in np.unique(group)], axis=1)
-    known = given >= 0
-    share = (given[known].sum() + 1) / (known.sum() + 2)
-    posterior = np.where(known, given, share).astype(np.float64)
+    model = LabelModel(group, (toxic + 1) / (known + 2))
     for _ in range(EM_STEPS):
-        on = (merged.T @ posterior + 0.5) / (posterior.sum() + 1)
-        off = (merged.T @ (1 - posterior) + 0.5) / ((1 - posterior).sum() + 1)
-        share = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
-        score = merged @ (np.log(on) - np.log(off)) + (1 - merged) @ (np.log1p(-on) - np.log1p(-off))
-        # a given label is a voter too, right 19 times in 20
-        score += np.log(share / (1 - share)) + np.where(known, np.where(given == 1, 1, -1) * np.log(19.0), 0.0)
-        posterior = _sigmoid(score)
-    return posterior
+        parts = patterns.mapInArrow(_expected(model, n), "sums binary").collect()
+        sums = np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0)
+        on, off, (positive, total) = *np.split(sums[:-2], 2), sums[-2:]
+        before = model.on
+        model.on, model.off = (on + 0.5) / (positive + 1), (off + 0.5) / (total - positive + 1)
+        model.share = np.clip(positive / total, 1e-4, 1 - 1e-4)
+        if before is not None and np.abs(np.log(model.on / before)).max() < 1e-4:
+            break
+    return model
 
 
 class Classifier:
-    def __init__(self, rows: list[np.ndarray], given: np.ndarray, columns: np.ndarray, voters: np.ndarray) -> None:
+    def __init__(self, rows: list[np.ndarray], given: np.ndarray, weights: np.ndarray, columns: np.ndarray, voters: np.ndarray, model: LabelModel | None) -> None:
         """``rows`` hold the features of the sample that are among ``columns`` (ascending); ``voters`` are some of these."""
         known = given >= 0
-        share = (given == 1).sum() / max(known.sum(), 1)
-        labels = label_model(Matrix(rows, voters).dense(), given) if len(voters) else np.where(known, given, share)
+        start = np.zeros(len(columns))
+        if model:
+            labels = model.posterior(model.merged(Matrix(rows, voters).dense()), given)
+            start[np.searchsorted(columns, voters)] = model.voter_odds()
+        else:
+            labels = np.where(known, given, (weights * (given == 1)).sum() / max((weights * known).sum(), 1e-9))
         self.columns = columns
-        self._fit(Matrix(rows, columns), labels)
+        self._fit(Matrix(rows, columns), labels, weights, start)
 
-    def _fit(self, x: Matrix, y: np.ndarray) -> None:
-        """Logistic regression on soft labels, with decay, by accelerated steps scaled by feature counts."""
-        seen = x.t_dot(np.ones(x.shape[0]))
-        n, decay = x.shape[0], 0.1
-        w, bias = np.zeros(x.shape[1]), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    def _fit(self, x: Matrix, y: np.ndarray, weights: np.ndarray, start: np.ndarray) -> None:
+        """Logistic regression on soft labels, with decay to ``start``, by accelerated steps scaled by feature counts."""
+        seen = x.t_dot(weights)
+        n, decay, mean = weights.sum(), 0.1, (weights * y).sum() / weights.sum()
+        w, bias = start.copy(), float(np.log((mean + 1e-6) / (1 - mean + 1e-6)))
         speed, rest = np.zeros(x.shape[1]), 0.0
         for _ in range(FIT_STEPS):
-            gap = _sigmoid(x.dot(w) + bias) - y
-            slope, tilt = x.t_dot(gap) + decay * w, gap.sum()
+            gap = weights * (_sigmoid(x.dot(w) + bias) - y)
+            slope, tilt = x.t_dot(gap) + decay * (w - start), gap.sum()
             speed = 0.9 * speed - 0.05 * slope / np.sqrt(seen + 1)
             rest = 0.9 * rest - 0.2 * tilt / n
             w, bias = w + speed, bias + rest
@@ -182,7 +260,7 @@ def _matched(columns: np.ndarray):
         for batch in batches:
             for piece in slices(batch.column("text")):
                 rows = [r[np.isin(r, columns)].tobytes() for r in text_features(piece)]
-                yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").slice(piece.first, len(rows)), "f": pa.array(rows, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic").slice(piece.first, len(rows)), "w": batch.column("w").slice(piece.first, len(rows)), "f": pa.array(rows, pa.binary())})
 
     return run
 
@@ -190,31 +268,37 @@ def _matched(columns: np.ndarray):
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Classifier | None:
     """Fit on rows of ``docs(doc_id, text)`` that ``learn`` allows, with ``labels(doc_id, toxic)`` where they have one.
 
-    Features are counted by Spark over the labelled sample; the driver sees FEATURES of them and, of each sampled text, those.
+    Features are counted over all labelled rows, and the label model's votes over all rows. The driver sees FEATURES of
+    the features and, of each text in the sample for the linear fit, those. The sample takes toxic and clean rows alike,
+    weighted back to their shares.
     """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    ids = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id")
-    have = marks.join(ids, "doc_id", "left_semi").count()
-    rest = max(ids.count() - have, 1)
-    if not have:
-        return None
-    u = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = ids.distinct().join(marks, "doc_id", "left").where(u < F.when(F.col("toxic").isNotNull(), F.lit(labelled / have)).otherwise(F.lit(unlabelled / rest)))
-    # the sample is bounded, so its ids may be broadcast
-    rows = materialize(docs.where(learn).select("doc_id", "text").join(F.broadcast(drawn.withColumn("toxic", F.coalesce("toxic", F.lit(-1)))), "doc_id").select("text", "toxic"))
+    marks = materialize(marks)
+    told = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
+    rows = docs.where(learn).select("doc_id", "text").join(told, "doc_id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(-1)))
     known = rows.where("toxic >= 0")
-    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, n = sizes.get(1, 0), sizes.get(0, 0) + sizes.get(1, 0)
     if not n:
         return None
-    counts = known.mapInArrow(_counted, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_SUPPORT)
+    counts = known.select("text", "toxic").mapInArrow(_counted, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_SUPPORT)
     neg = F.col("n") - F.col("pos")
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((neg + 0.5) / (n - toxic + 1))
     sure = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (neg + 0.5))
     chosen = counts.select("f", "pos", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") >= LEAST_SURE).orderBy(F.desc("sure"), "f").limit(FEATURES).collect()
     leads = sorted((r for r in chosen if r["odds"] > LEAST_ODDS), key=lambda r: -r["odds"] * r["pos"] ** 0.5)[:VOTERS]
     columns, voters = (np.sort(np.array([r["f"] for r in some], np.int64).view(np.uint64)) for some in (chosen, leads))
-    got = rows.mapInArrow(_matched(columns), "toxic int, f binary").collect()
-    return Classifier([np.frombuffer(r["f"], np.uint64) for r in got], np.array([r["toxic"] for r in got]), columns, voters)
+    model = label_model(rows.select("text", "toxic"), voters, toxic, n) if len(voters) else None
+    shares = {c: min(1.0, most / max(sizes.get(c, 0), 1)) for c, most in ((1, labelled / 2), (0, labelled / 2), (-1, unlabelled))}
+    level = max(shares[0], shares[1]) if min(shares[0], shares[1]) < 1 else 1.0
+    share, weight = (F.when(F.col("toxic") == 1, F.lit(a)).when(F.col("toxic") == 0, F.lit(b)).otherwise(F.lit(c)) for a, b, c in (
+        (shares[1], shares[0], shares[-1]), (level / shares[1], level / shares[0], 1.0),
+    ))
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.where(u < share).select("text", "toxic", weight.alias("w"))
+    got = drawn.mapInArrow(_matched(columns), "toxic int, w double, f binary").collect()
+    given, weights = np.array([r["toxic"] for r in got]), np.array([r["w"] for r in got])
+    return Classifier([np.frombuffer(r["f"], np.uint64) for r in got], given, weights, columns, voters, model) if got else None
 
 
 def _scored(model: bytes, keep: list[str]):

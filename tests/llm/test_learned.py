@@ -2,14 +2,16 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feedprofile.llm import stages
+from feedprofile.llm.bytestext import slices
 from feedprofile.llm.language import identify
 from feedprofile.llm.mixing import mix
-from feedprofile.llm.toxicity import score_toxicity
+from feedprofile.llm.toxicity import fit, score_toxicity
 
 SYLLABLES = {"en": "the and ing er ou th ly", "de": "der sch ich ung keit ein", "fr": "eau le oi tion ê aux", "es": "ción ado os ña el ll"}
 
@@ -60,6 +62,22 @@ def test_toxicity(spark):
     assert score_toxicity(docs.where("doc_id < 0"), labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """A toxic word too rare for the sample of the linear fit is learned from the counts of all rows."""
+    rnd = random.Random(6)
+    rows = []
+    for k in range(1500):
+        words = text(rnd, "en", 12).split()
+        if k % 5 == 1:
+            words[rnd.randrange(12)] = "grobian" if k % 75 == 1 else "numskull"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 5 == 1)) for k in range(1500)], "doc_id long, toxic int")
+    model = fit(docs, labels, F.lit(True), labelled=60, unlabelled=10).ready()
+    new = pa.array([text(rnd, "en", 6) + " grobian " + text(rnd, "en", 5) for _ in range(40)])
+    assert (model.score(next(slices(new))) >= 0.5).mean() >= 0.9
+
+
 def water_fill(sizes, weights, most=3):
     total, capped = sum(sizes), set()
     while True:
