@@ -9,7 +9,7 @@ from feedprofile.llm.language import UNKNOWN, identify
 from feedprofile.llm.mixing import mix
 from feedprofile.llm.pii import sanitize
 from feedprofile.llm.storage import materialize
-from feedprofile.llm.text_dedup import BROADCAST_IDS, near_texts
+from feedprofile.llm.text_dedup import BROADCAST_IDS, text_components
 
 
 def with_language(docs: DataFrame) -> DataFrame:
@@ -19,20 +19,28 @@ def with_language(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least ``doc_id``. Rows without an id stay."""
-    found = materialize(near_texts(docs, size=5, percent=80).select("doc_id", "kept"))
-    dropped = found.where(F.col("doc_id").isNotNull() & ~F.col("kept")).select("doc_id").distinct()
+    """One document of each group of near-duplicates: the one with the least ``doc_id``. Rows without an id stay.
+
+    Rows are told apart by id and text, so that a repeated id with unlike texts stays once for each group of its texts.
+    """
+    found = text_components(docs, 5, 80).where("component is not null")
+    keys = materialize(found.groupBy("component", "component_id", "doc_id", "text_hash").agg(F.count("*").alias("n")))
+    heads = keys.where("doc_id = component_id")
+    first = heads.groupBy("component").agg(F.min("text_hash").alias("first"))
+    others = heads.join(first, "component").where("text_hash <> first")
+    dropped = keys.where("doc_id <> component_id").select("doc_id", "text_hash").unionByName(others.select("doc_id", "text_hash"))
+    dropped = materialize(dropped.select("doc_id", F.col("text_hash").alias("_h")))
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    rest = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = materialize(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    rest = docs.withColumn("_h", F.xxhash64("text")).join(dropped, ["doc_id", "_h"], "left_anti")
+    repeated = materialize(heads.where("n > 1").select("doc_id", F.col("text_hash").alias("_h")))
     if repeated.isEmpty():
-        return rest
+        return rest.select(*docs.columns)
     if repeated.count() <= BROADCAST_IDS:
         repeated = F.broadcast(repeated)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), *[c for c in docs.columns if c != "doc_id"])
-    first = rest.join(repeated, "doc_id", "left_semi").withColumn("_k", F.row_number().over(order)).where("_k = 1")
-    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    order = Window.partitionBy("doc_id", "_h").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    once = rest.join(repeated, ["doc_id", "_h"], "left_semi").withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    return rest.join(repeated, ["doc_id", "_h"], "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def _sketched(size: int):
                 prints = _prints(distinct, sizes)
                 drawn = sketch(distinct, sizes)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(piece.first, len(sizes)),
+                    "doc_id": batch.column("doc_id").slice(piece.first, len(sizes)), "text_hash": batch.column("text_hash").slice(piece.first, len(sizes)),
                     "n_shingles": pa.array(sizes), "f1": pa.array(prints[0]), "f2": pa.array(prints[1]),
                     "sketch": pa.array([r.tobytes() for r in drawn], pa.binary()),
                 })
@@ -254,7 +254,7 @@ def _family_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 class _Corpus:
-    """Classes of a corpus: ``(id, n, sketch)``, with the text of each class's least document at hand."""
+    """Classes of a corpus: ``(id, doc, f1, f2, n, sketch)``, with the text of each class's least document at hand."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, threshold_percent: int) -> None:
         self.docs, self.classes, self.size, self.percent = docs, classes, size, threshold_percent
@@ -262,10 +262,14 @@ class _Corpus:
     def sets(self, needed: DataFrame) -> DataFrame:
         """Whole shingle sets ``(id, s)`` of the classes in ``needed(id)``."""
         needed = materialize(needed.select("id").distinct())
+        # two classes may have the same least document, where a doc_id is repeated
+        which = materialize(self.classes.select("id", "doc", "f1", "f2").join(needed, "id"))
+        wanted = which.select("doc").distinct()
         if needed.count() <= BROADCAST_IDS:
-            needed = F.broadcast(needed)
-        texts = self.docs.select(F.col("doc_id").alias("id"), "text").join(needed, "id")
-        return texts.mapInArrow(_sets(self.size), "id long, f1 long, f2 long, s binary").join(self.classes.select("id", "f1", "f2"), ["id", "f1", "f2"]).dropDuplicates(["id"]).select("id", "s")
+            wanted = F.broadcast(wanted)
+        texts = self.docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc").select(F.col("doc").alias("id"), "text")
+        found = texts.mapInArrow(_sets(self.size), "id long, f1 long, f2 long, s binary").withColumnRenamed("id", "doc")
+        return found.join(which, ["doc", "f1", "f2"]).dropDuplicates(["id"]).select("id", "s")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` of classes that reach the threshold on their whole sets."""
@@ -306,23 +310,20 @@ def _between(held: DataFrame, corpus: _Corpus) -> DataFrame:
     return materialize(found)
 
 
-def near_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Components of near-duplicate texts: ``docs(doc_id, text)`` gives ``(doc_id, n_shingles, component_id, kept)``.
+def text_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Rows ``(doc_id, text_hash, n_shingles, component, component_id)`` of ``docs(doc_id, text)``, for ``near_texts``.
 
-    Words are runs of characters other than space and tab to carriage return, after lower-casing A-Z. A text's set is
-    its distinct shingles of ``size`` words; a text with fewer words is one shingle; without words, or null, the set is
-    empty and the row links with nothing. Texts link if ``100 * common >= percent * union``, decided on whole sets.
-    ``component_id`` is the least ``doc_id`` reachable, the row's own included. Rows with a repeated ``doc_id`` are
-    linked as one document if their texts are; rows with a null id take no part and keep a null component. Other columns
-    are ignored; an empty table gives no rows.
+    ``component`` tells unlinked texts apart even if their least ``doc_id`` is the same; it is null, and ``component_id``
+    is the row's own id, for rows that take no part.
     """
     own = docs.select("doc_id", "text")
-    drawn = materialize(own.mapInArrow(_sketched(size), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"))
+    hashed = own.withColumn("text_hash", F.xxhash64("text"))
+    drawn = materialize(hashed.mapInArrow(_sketched(size), "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, sketch binary"))
     sound = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = materialize(
-        drawn.where(sound).groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        drawn.where(sound).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("id", F.monotonically_increasing_id())
     )
-    members = drawn.where(sound).join(classes.select("f1", "f2", "id"), ["f1", "f2"]).select("doc_id", "id")
     corpus = _Corpus(own, classes, size, percent)
     banded = classes.select("id", "sketch").mapInArrow(_banded, "id long, band long")
     banded = materialize(banded)
@@ -338,11 +339,27 @@ def near_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     if not held.isEmpty():
         again = _between(held, corpus)
         merged = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(again))
-    # a repeated id ties the classes of its rows together only if they link; each row follows its own class
-    named = members.join(merged, members["id"] == merged["node"], "left").select(members["doc_id"], members["id"], F.coalesce("component", "id").alias("component_id"))
-    named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    # each row follows its own class; unlike texts of a repeated id are classes of their own
+    named = classes.join(merged, classes["id"] == merged["node"], "left").select("f1", "f2", "doc", F.coalesce("component", "id").alias("component"))
+    named = materialize(named)
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = named.select("f1", "f2", "component").join(least, "component")
+    rows = drawn.drop("sketch")
     return (
-        drawn.select("doc_id", "n_shingles").join(named, "doc_id", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        rows.where(sound).join(named, ["f1", "f2"]).select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+        .unionByName(rows.where(~sound).select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
     )
+
+
+def near_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """Components of near-duplicate texts: ``docs(doc_id, text)`` gives ``(doc_id, n_shingles, component_id, kept)``.
+
+    Words are runs of characters other than space and tab to carriage return, after lower-casing A-Z. A text's set is
+    its distinct shingles of ``size`` words; a text with fewer words is one shingle; without words, or null, the set is
+    empty and the row links with nothing. Texts link if ``100 * common >= percent * union``, decided on whole sets.
+    ``component_id`` is the least ``doc_id`` reachable, the row's own included. Each row follows its own text, so that
+    rows with a repeated ``doc_id`` are in one component only if their texts are; rows with a null id take no part and keep a null component. Other columns
+    are ignored; an empty table gives no rows.
+    """
+    found = text_components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))

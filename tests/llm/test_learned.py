@@ -11,6 +11,7 @@ from feedprofile.llm import stages
 from feedprofile.llm.bytestext import slices
 from feedprofile.llm.language import identify
 from feedprofile.llm.mixing import mix
+from feedprofile.llm.text_dedup import near_texts
 from feedprofile.llm.toxicity import fit, score_toxicity
 
 SYLLABLES = {"en": "the and ing er ou th ly", "de": "der sch ich ung keit ein", "fr": "eau le oi tion ê aux", "es": "ción ado os ña el ll"}
@@ -121,6 +122,18 @@ def test_stages(spark, docs):
     assert stages.mixed(once).columns == docs.columns
 
 
+def test_repeated_ids_with_unlike_texts_stay(spark):
+    """Of rows with one id, only those go whose text is linked to that of a row that stays."""
+    one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, one), (5, two), (5, one), (5, three), (5, three), (6, three + " more"), (7, two), (5, two + " more"), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in stages.one_of_each_group(docs).collect()]
+    assert len(got) == 4 and {(1, one), (5, three), (None, one)} < set(got)
+    assert len({(5, two), (5, two + " more")} & set(got)) == 1
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in near_texts(docs, 5, 80).collect())
+    assert found == [(0, 0), (1, 1), (5, 1), (5, 5), (5, 5), (5, 5), (5, 5), (6, 5), (7, 5)]
+
+
 def test_pipeline_runs_whole(spark, tmp_path, docs):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path))
