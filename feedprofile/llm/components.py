@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedprofile.llm.storage import materialize
+from feedprofile.llm.storage import discard, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     if before[0] == 0:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
-        edges = materialize(_stars(edges))
+        past, edges = edges, materialize(_stars(edges))
+        discard(past)
         now = _signature(edges)
         if now == before:
             break

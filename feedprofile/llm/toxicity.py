@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from feedprofile.llm.bytestext import LOWER, Slice, distinct_sorted, mix, prefix_hashes, range_hashes, slices
-from feedprofile.llm.storage import materialize
+from feedprofile.llm.storage import mapped, materialize
 
 #: Rows of the training sample, labelled and unlabelled, about; voters; features of the classifier.
 LABELLED, UNLABELLED, VOTERS, FEATURES = 12_000, 6_000, 256, 4096
@@ -167,9 +167,9 @@ def label_model(rows: DataFrame, voters: np.ndarray, toxic: int, known: int) ->
     Rows are brought down to their distinct vote patterns once; each step is one aggregation over these.
     """
     n = len(voters)
-    patterns = materialize(rows.mapInArrow(_voted(voters), "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n")))
+    patterns = materialize(mapped(rows, _voted(voters), "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n")))
     both = np.zeros(n * n)
-    for r in patterns.mapInArrow(_together(n), "k long, m double").groupBy("k").agg(F.sum("m").alias("m")).collect():
+    for r in mapped(patterns, _together(n), "k long, m double").groupBy("k").agg(F.sum("m").alias("m")).collect():
         both[r["k"]] = r["m"]
     both = both.reshape(n, n)
     fired = np.diag(both)
@@ -179,7 +179,7 @@ def label_model(rows: DataFrame, voters: np.ndarray, toxic: int, known: int) ->
         group[k] = group[np.flatnonzero(alike[k])[0]] if alike[k].any() else k
     model = LabelModel(group, (toxic + 1) / (known + 2))
     for _ in range(EM_STEPS):
-        parts = patterns.mapInArrow(_expected(model, n), "sums binary").collect()
+        parts = mapped(patterns, _expected(model, n), "sums binary").collect()
         sums = np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0)
         on, off, (positive, total) = *np.split(sums[:-2], 2), sums[-2:]
         before = model.on
@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABEL
     toxic, n = sizes.get(1, 0), sizes.get(0, 0) + sizes.get(1, 0)
     if not n:
         return None
-    counts = known.select("text", "toxic").mapInArrow(_counted, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_SUPPORT)
+    counts = mapped(known.select("text", "toxic"), _counted, "f long, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_SUPPORT)
     neg = F.col("n") - F.col("pos")
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((neg + 0.5) / (n - toxic + 1))
     sure = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (neg + 0.5))
@@ -296,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABEL
     ))
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = rows.where(u < share).select("text", "toxic", weight.alias("w"))
-    got = drawn.mapInArrow(_matched(columns), "toxic int, w double, f binary").collect()
+    got = mapped(drawn, _matched(columns), "toxic int, w double, f binary").collect()
     given, weights = np.array([r["toxic"] for r in got]), np.array([r["w"] for r in got])
     return Classifier([np.frombuffer(r["f"], np.uint64) for r in got], given, weights, columns, voters, model) if got else None
 
@@ -326,5 +326,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, keep: list
     model = pickle.dumps(fit(docs, labels, learn))
     keep = [c for c in docs.columns if keep is None or c in keep]
     schema = StructType([*docs.select(*keep).schema.fields, StructField("score", DoubleType())])
-    scored = docs.select(*{*keep, "text"}).mapInArrow(_scored(model, keep), schema)
+    scored = mapped(docs.select(*{*keep, "text"}), _scored(model, keep), schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

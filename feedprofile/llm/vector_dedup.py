@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedprofile.llm.components import connected_components
-from feedprofile.llm.storage import materialize
+from feedprofile.llm.storage import mapped, materialize
 
 #: Hash tables, buckets that a vector enters in each, and rows of a block.
 TABLES, PROBES, BLOCK_ROWS = 10, 4, 1024
@@ -150,7 +150,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     sums = rows.where(sound).groupBy("label", "v").agg(F.min("vec").alias("id"), F.count("*").alias("size"))
     # a repeated id may stand for several vectors; the class number keeps them apart
     classes = materialize(sums.select(F.coalesce("id", F.lit(-1)).alias("least"), F.xxhash64("label", "v").alias("id"), "label", "v", "size"))
-    hashed = classes.select("id", "v").mapInArrow(_hashed, "id long, length int, keys array<long>")
+    hashed = mapped(classes.select("id", "v"), _hashed, "id long, length int, keys array<long>")
     entered = materialize(hashed.join(classes, "id").select("id", "label", "length", "size", "v", "keys"))
     at = entered.select("*", F.posexplode("keys").alias("p", "key")).withColumn("tab", (F.col("p") / PROBES).cast("int")).drop("p")
     spot = ["label", "length", "tab", "key"]
