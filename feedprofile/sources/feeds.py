@@ -16,6 +16,15 @@ FILES = {"labels": "labels.ndjson", "members": "follower-feeds.ndjson", "own": "
 PREDICTION_KEYS = ("birthyear", "gender", "id", "occupation")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores, where their files give fewer tasks than there are cores; large tables stay as they are.
+
+    A file of one row group is one task, which would leave the other cores idle throughout the text work.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def last_wins(rows: DataFrame, key: str, position: str) -> DataFrame:
     """One row for each key: the one with the greatest ``position``."""
     order = Window.partitionBy(key).orderBy(F.desc(position))
