@@ -6,9 +6,10 @@ escapes to the next shorter one, with the escape estimate "half of the distinct
 the longer contexts are excluded from the shorter ones. After training this is a fixed probability of each gram, a
 context and its byte.
 
-All distinct grams form one table. Those that share the last NEAR bytes of context are brought together, because they
-hold all that the longer contexts of each other need; only contexts of up to DENSE bytes, 65,793 at most, go to every
-worker. The HOT_GRAMS most frequent probabilities are broadcast; rarer grams of a text are joined by shuffle.
+A task counts the grams of its texts and hands them on as sorted runs, one for each bucket of gram hashes; buckets merge
+the runs. What is then left, the distinct grams, is dealt by the last NEAR bytes of context, because grams that share
+them hold all that the longer contexts of each other need; only contexts of up to DENSE bytes, 65,793 at most, go to
+every worker. The HOT_GRAMS most frequent probabilities are broadcast; rarer grams of a text are joined by shuffle.
 
 Word counts cover all training words. The HOT most frequent are broadcast (a bounded table); the counts of rarer words
 are joined by shuffle.
@@ -27,20 +28,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedprofile.llm.bytestext import Slice, prefix_hashes, range_hashes, slices, total_by, word_hashes
-from feedprofile.llm.storage import materialize
+from feedprofile.llm.bytestext import Slice, mix, prefix_hashes, range_hashes, slices, total_by, word_hashes
+from feedprofile.llm.storage import mapped, materialize, release
 
 #: Longest context; the longest of those that have a whole row of 256 numbers; the bytes by which grams are dealt.
 ORDER, DENSE, NEAR = 6, 2, 3
 #: Frequent words that are broadcast, and frequent grams, some 16 and 32 MB.
 HOT, HOT_GRAMS = 1 << 20, 1 << 21
-#: Grams whose contexts a task works on, about.
-TASK_GRAMS = 1 << 20
+#: A bucket of grams stands for about so many bytes of text.
+BUCKET_BYTES = 4 << 20
 #: About so many bytes of text are counted at once, and sorted at once.
-TOGETHER_BYTES, SORTED_BYTES = 32 << 20, 4 << 20
+TOGETHER_BYTES, SORTED_BYTES = 32 << 20, 2 << 20
 #: About so many bytes of text are scored at once.
 SCORED_BYTES = 1 << 20
-WORDS, GRAMS, TEXTS = 0, 1, 2
+WORDS, SHORT, TEXTS, BYTES = 0, 1, 2, 3
 #: Marks grams of texts that are not learned from while they are counted.
 _OTHER, _GRAM = np.uint64(1 << 56), np.uint64((1 << 56) - 1)
 
@@ -99,57 +100,116 @@ def _merged(held: tuple[np.ndarray, np.ndarray], fresh: list[np.ndarray]) -> tup
     return _summed(np.concatenate([held[0], keys]), np.concatenate([held[1], n])) if len(held[0]) else (keys, n)
 
 
+def _ended(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a slice, each with a zero byte for its end, and where the ends are."""
+    n = len(piece.offsets) - 1
+    data = np.zeros(len(piece.data) + n, np.uint8)
+    data[np.arange(len(piece.data)) + np.repeat(np.arange(n), np.diff(piece.offsets))] = piece.data
+    return data, piece.offsets[1:] + np.arange(1, n + 1)
+
+
 def _counted(batches):
-    """Counts ``c`` in texts to learn from and ``n`` in all texts: of words (of the former only), grams and texts."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    held = {WORDS: none, GRAMS: none}
-    fresh: dict[int, list[np.ndarray]] = {WORDS: [], GRAMS: []}
+    """Counts ``c`` in texts to learn from: of words, of grams of DENSE context bytes, of texts and of bytes."""
+    held = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in (WORDS, SHORT)}
+    words: list[np.ndarray] = []
+    short = np.zeros(1 << 8 * (DENSE + 1), np.int32)
     texts = size = new = 0
 
-    def rows(kind, keys, c, n):
+    def rows(kind, keys, c):
         for at in range(0, len(keys), 1 << 16):
             part = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_pydict({
-                "kind": pa.array(np.full(len(keys[part]), kind, np.int32)), "key": pa.array(keys[part].view(np.int64)), "c": pa.array(c[part].astype(np.int64)), "n": pa.array(n[part].astype(np.int64)),
-            })
-
-    def merge():
-        for kind in held:
-            if fresh[kind]:
-                held[kind] = _merged(held[kind], fresh[kind])
-
-    def flush():
-        merge()
-        yield from rows(WORDS, *held[WORDS], held[WORDS][1])
-        keys, n = held[GRAMS]
-        learned = np.where(keys < _OTHER, n, 0)
-        distinct, c = _summed(keys & _GRAM, learned)
-        yield from rows(GRAMS, distinct, c, _summed(keys & _GRAM, n)[1])
-        held.update({WORDS: none, GRAMS: none})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(keys[part]), kind, np.int32)), "key": pa.array(keys[part].view(np.int64)), "c": pa.array(c[part].astype(np.int64))})
 
     for batch in batches:
-        learn = batch.column("_learn")
-        for other, part in ((False, batch.filter(learn)), (True, batch.filter(pc.invert(learn)))):
-            for piece in slices(part.column("text")):
-                n = len(piece.offsets) - 1
-                if not other:
-                    fresh[WORDS].append(word_hashes(piece)[0])
-                    texts += n
-                ends = piece.offsets[1:] + np.arange(1, n + 1)
-                data = np.zeros(len(piece.data) + n, np.uint8)
-                data[np.arange(len(piece.data)) + np.repeat(np.arange(n), np.diff(piece.offsets))] = piece.data
-                keys = grams(data, ends)
-                fresh[GRAMS].append(keys | _OTHER if other else keys)
-                new += len(keys)
-                size += len(keys)
-                if new >= SORTED_BYTES:
-                    merge()
-                    new = 0
-                if size >= TOGETHER_BYTES:
-                    yield from flush()
-                    size = new = 0
-    yield from flush()
-    yield from rows(TEXTS, np.zeros(1, np.uint64), np.array([texts]), np.array([texts]))
+        for piece in slices(batch.column("text")):
+            data, ends = _ended(piece)
+            words.append(word_hashes(piece)[0])
+            codes, c = np.unique((grams(data, ends) & np.uint64(len(short) - 1)).astype(np.uint32), return_counts=True)
+            short[codes] += c.astype(np.int32)
+            texts, size, new = texts + len(ends), size + len(data), new + len(words[-1])
+            if new >= SORTED_BYTES // 8:
+                held[WORDS], new = _merged(held[WORDS], words), 0
+            if len(held[WORDS][0]) >= TOGETHER_BYTES // 16:
+                yield from rows(WORDS, *held[WORDS])
+                held[WORDS] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if words:
+        yield from rows(WORDS, *_merged(held[WORDS], words))
+    seen = np.flatnonzero(short)
+    yield from rows(SHORT, seen.astype(np.uint64), short[seen])
+    yield from rows(TEXTS, np.zeros(1, np.uint64), np.array([texts]))
+    yield from rows(BYTES, np.zeros(1, np.uint64), np.array([size]))
+
+
+def _run(keys: np.ndarray, c: np.ndarray) -> bytes:
+    """Sorted grams and their counts as byte planes, which compress well."""
+    planes = keys.view(np.uint8).reshape(-1, 8)[:, :7], np.minimum(c, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4)
+    return b"".join(p.T.tobytes() for p in planes)
+
+
+def _read(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(raw, np.uint8).reshape(11, -1)
+    keys, c = np.zeros((planes.shape[1], 8), np.uint8), np.empty((planes.shape[1], 4), np.uint8)
+    keys[:, :7], c[:] = planes[:7].T, planes[7:].T
+    return keys.view(np.uint64).ravel(), c.view(np.uint32).ravel().astype(np.int64)
+
+
+def _runs(keys: np.ndarray, c: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Ascending grams and counts as one run for each bucket that has some."""
+    if not len(keys):
+        return [], []
+    order = np.argsort(bucket, kind="stable")
+    keys, c, bucket = keys[order], c[order], bucket[order]
+    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    ends = np.append(first[1:], len(keys))
+    return bucket[first].tolist(), [_run(keys[a:b], c[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
+
+
+def _tallied(buckets: int):
+    """Runs ``(bucket, run)`` of all grams, counted in texts to learn from (0 for grams of other texts only)."""
+    def run(batches):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held, fresh, size, new = none, [], 0, 0
+
+        def flush():
+            keys, n = _merged(held, fresh) if fresh else held
+            distinct, c = _summed(keys & _GRAM, np.where(keys < _OTHER, n, 0))
+            names, blobs = _runs(distinct, c, (mix(distinct) % np.uint64(buckets)).astype(np.int32))
+            for at in range(0, len(names), 256):
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(names[at : at + 256], pa.int32()), "run": pa.array(blobs[at : at + 256], pa.binary())})
+
+        for batch in batches:
+            learn = batch.column("_learn")
+            for other, part in ((False, batch.filter(learn)), (True, batch.filter(pc.invert(learn)))):
+                for piece in slices(part.column("text")):
+                    keys = grams(*_ended(piece))
+                    fresh.append(keys | _OTHER if other else keys)
+                    new, size = new + len(keys), size + len(keys)
+                    if new >= SORTED_BYTES:
+                        held, new = _merged(held, fresh), 0
+                    if size >= TOGETHER_BYTES:
+                        yield from flush()
+                        held, size, new = none, 0, 0
+                        fresh.clear()
+        yield from flush()
+
+    return run
+
+
+def _gathered(runs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    got = [_read(r) for r in runs]
+    return _summed(*(np.concatenate(x) for x in zip(*got, strict=True)))
+
+
+def _dealt(buckets: int):
+    """Merges the runs of a bucket and deals its grams by their last NEAR context bytes."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, c = _gathered(rows["run"])
+        near = (keys >> np.uint64(8)) & np.uint64((1 << 8 * NEAR) - 1)
+        names, blobs = _runs(keys, c, (mix(near) % np.uint64(buckets)).astype(np.int32))
+        release()
+        return pd.DataFrame({"bucket": np.array(names, np.int32), "run": blobs})
+
+    return run
 
 
 class ByteModel:
@@ -259,16 +319,13 @@ def _text_scores(hot: tuple[np.ndarray, np.ndarray], piece: Slice) -> tuple[np.n
 
 
 def _valued(dense):
-    """Log10 probabilities of a task's grams ``(key, c, n)``, which hold all grams with the same last NEAR context bytes."""
-    def run(batches):
-        got = [(b.column("key").to_numpy().view(np.uint64), b.column("c").to_numpy(), b.column("n").to_numpy()) for b in batches]
-        if got:
-            keys, c, n = (np.concatenate(x) for x in zip(*got, strict=True))
-            seen = np.flatnonzero(c > 0)
-            values = dense.value.with_longer((keys[seen], c[seen])).log_probabilities(keys)
-            for at in range(0, len(keys), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[part].view(np.int64)), "n": pa.array(n[part]), "p": pa.array(values[part])})
+    """Log10 probabilities of a bucket's grams, which are all grams with some last NEAR context bytes."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, c = _gathered(rows["run"])
+        seen = np.flatnonzero(c > 0)
+        values = dense.value.with_longer((keys[seen], c[seen])).log_probabilities(keys)
+        release()
+        return pd.DataFrame({"key": keys.view(np.int64), "c": c, "p": values})
 
     return run
 
@@ -318,15 +375,14 @@ def _frequent(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.nda
     return keys[order], values[order]
 
 
-def gram_values(counted: DataFrame) -> DataFrame:
-    """Log10 probabilities ``(key, n, p)`` of all grams of ``counted``."""
-    spark, rows = counted.sparkSession, counted.where(F.col("kind") == GRAMS).select("key", "c", "n")
-    short = rows.where("c > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (DENSE + 1)) - 1)).alias("key")).agg(F.sum("c").alias("c"))
+def gram_values(marked: DataFrame, short: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
+    """Log10 probabilities ``(key, c, p)`` of all grams of ``marked(text, _learn)``, some ``size`` bytes, with their counts."""
+    buckets = 1 + size // BUCKET_BYTES
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    dense = spark.sparkContext.broadcast(ByteModel(_frequent(short, "key", "c"), none))
-    near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * NEAR) - 1))
-    dealt = rows.repartition(1 + rows.count() // TASK_GRAMS, near)
-    return materialize(dealt.mapInArrow(_valued(dense), "key long, n long, p double"))
+    dense = marked.sparkSession.sparkContext.broadcast(ByteModel(short, none))
+    runs = mapped(marked, _tallied(buckets), "bucket int, run binary")
+    runs = runs.groupBy("bucket").applyInPandas(_dealt(buckets), "bucket int, run binary")
+    return materialize(runs.groupBy("bucket").applyInPandas(_valued(dense), "key long, c long, p double"))
 
 
 def score_texts(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:
@@ -340,25 +396,26 @@ def score_texts(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:
     """
     spark = docs.sparkSession
     marked = docs.select("text", F.coalesce(learn, F.lit(False)).alias("_learn"))
-    counted = marked.mapInArrow(_counted, "kind int, key long, c long, n long")
-    counted = materialize(counted.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")))
-    texts = counted.where(F.col("kind") == TEXTS).agg(F.sum("c")).first()[0] or 0
+    counted = mapped(marked.where("_learn").select("text"), _counted, "kind int, key long, c long")
+    counted = materialize(counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("c").alias("c")))
+    sums = {r["kind"]: r["c"] for r in counted.where(F.col("kind").isin(TEXTS, BYTES)).groupBy("kind").agg(F.sum("c").alias("c")).collect()}
+    texts = sums.get(TEXTS, 0)
     words = counted.where(F.col("kind") == WORDS).select(F.col("key").alias("h"), "c")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = total + texts, distinct + (texts > 0)
     least = _least(words, "c", HOT)
     hashes, c = _frequent(words.where(F.col("c") >= least), "h", "c")
     hot = spark.sparkContext.broadcast((hashes, np.log10(c + 0.5)))
-    values = gram_values(counted)
-    least_gram = _least(values, "n", HOT_GRAMS)
-    hot_grams = spark.sparkContext.broadcast(_frequent(values.where(F.col("n") >= least_gram), "key", "p"))
+    values = gram_values(marked, _frequent(counted.where(F.col("kind") == SHORT), "key", "c"), sums.get(BYTES, 0))
+    least_gram = _least(values, "c", HOT_GRAMS)
+    hot_grams = spark.sparkContext.broadcast(_frequent(values.where(F.col("c") >= least_gram), "key", "p"))
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _row long, _words long, _known long, _logs double, _rare array<long>, _sum double, _grams array<long>"
-    drawn = materialize(docs.select(*{*keep, "text"}).mapInArrow(_scored(hot_grams, hot, keep), schema))
+    drawn = materialize(mapped(docs.select(*{*keep, "text"}), _scored(hot_grams, hot, keep), schema))
     rare = drawn.select("_row", F.explode("_rare").alias("h")).groupBy("_row", "h").agg(F.count("*").alias("m"))
     cold = words.where(F.col("c") < least)
     found = rare.join(cold, "h").groupBy("_row").agg(F.sum("m").alias("_n"), F.sum(F.col("m") * F.log10(F.col("c") + 0.5)).alias("_l"))
-    left = drawn.select("_row", F.explode("_grams").alias("key")).join(values.where(F.col("n") < least_gram), "key")
+    left = drawn.select("_row", F.explode("_grams").alias("key")).join(values.where(F.col("c") < least_gram), "key")
     left = left.groupBy("_row").agg(F.sum("p").alias("_p"))
     none = F.lit(0)
     end = float(np.log10(texts + 0.5))
