@@ -6,6 +6,7 @@ tokenizer's own splitting always breaks there, so the ids of the parts, joined,
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 from itertools import chain
 
@@ -15,7 +16,7 @@ import pandas as pd
 from feedprofile.llm.bytestext import SPACE, Slice, prefix_hashes, range_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct parts that a worker remembers (some 60 MB); when more come, it starts anew.
+#: Distinct parts that an encoder remembers (some 20 MB); when more come, it starts anew.
 REMEMBERED = 1 << 19
 
 _BREAK = SPACE.copy()
@@ -79,34 +80,51 @@ def _put(held: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
     return held
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core already
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = True
+    return made
+
+
 class Encoder:
-    """Encodes slices of texts; ``encoder`` gives a Python worker's own."""
+    """Encodes slices of texts, and remembers the ids of parts until the task that made it ends."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer = _tokenizer(path)
         self._forget()
 
     def _forget(self) -> None:
-        self._index: dict[int, int] = {}
+        self._known = np.zeros(0, np.uint64)  # hashes of parts, ascending, and the numbers of these parts
+        self._number = np.zeros(0, np.int64)
         self._ids = np.zeros(1 << 16, np.uint32)
         self._at = np.zeros(1 << 12, np.int64)
         self._size = np.zeros(1 << 12, np.int64)
         self._used = 0
 
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         got = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         ids = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        k = len(self._index)
-        self._index.update(zip(hashes, range(k, k + len(got)), strict=True))
+        k = len(self._known)
+        known, number = np.concatenate((self._known, hashes)), np.concatenate((self._number, np.arange(k, k + len(got))))
+        order = np.argsort(known, kind="stable")
+        self._known, self._number = known[order], number[order]
         self._at = _put(self._at, k, self._used + np.cumsum(sizes) - sizes)
         self._size = _put(self._size, k, sizes)
         self._ids = _put(self._ids, self._used, ids)
         self._used += len(ids)
 
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is known, and its place among the known ones."""
+        if not len(self._known):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self._known, hashes), len(self._known) - 1)
+        return self._known[at] == hashes, at
+
     def encode(self, piece: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts joined, the number of ids of each text, and id positions where a sentence or line begins."""
         data, offsets = piece.data, piece.offsets
@@ -116,23 +134,17 @@ class Encoder:
         starts, fresh = _parts(data, offsets)
         ends = np.append(starts[1:], len(data))
         codes, distinct = pd.factorize(range_hashes(prefix_hashes(data), starts, ends))
-        first = np.zeros(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if len(self._index) + len(distinct) > REMEMBERED:
+        if len(self._known) + len(distinct) > REMEMBERED:
             self._forget()
-        hashes = distinct.tolist()
-        new = [k for k, h in enumerate(hashes) if h not in self._index]
-        if new:
+        new = np.flatnonzero(~self._find(distinct)[0])
+        if len(new):
+            first = np.zeros(len(distinct), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             raw = data.tobytes()
-            self._learn([hashes[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode() for k in new])
-        known = np.fromiter(map(self._index.__getitem__, hashes), np.int64, len(hashes))[codes]
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+        known = self._number[self._find(distinct)[1]][codes]
         sizes = self._size[known]
         after = np.cumsum(sizes)
         ids = self._ids[np.repeat(self._at[known] - (after - sizes), sizes) + np.arange(after[-1])]
         upto = np.concatenate(([0], after))
         return ids, np.diff(upto[np.searchsorted(starts, offsets)]), upto[np.flatnonzero(fresh)]
-
-
-@lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
