@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedprofile.llm.bytestext import Slice, mix, prefix_hashes, range_hashes, slices
-from feedprofile.llm.storage import materialize
+from feedprofile.llm.storage import mapped, materialize
 
 LENGTH, GRAM, BLOCK = 400, 64, 16
 #: Blocks that any LENGTH bytes hold whole.
@@ -96,7 +96,7 @@ def bloom_filter(keys: DataFrame, n_keys: int) -> tuple[np.ndarray, int]:
             both = np.concatenate(_spots(batch.column("key").to_numpy().view(np.uint64), bits)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"part": pa.array((both // (bits // parts)).astype(np.int32)), "spot": pa.array(both)})
 
-    rows = keys.select("key").mapInArrow(spread, "part int, spot long").distinct().groupBy("part").applyInPandas(build, "part int, bits binary").collect()
+    rows = mapped(keys.select("key"), spread, "part int, spot long").distinct().groupBy("part").applyInPandas(build, "part int, bits binary").collect()
     out = np.zeros(bits // 8, np.uint8)
     size = bits // parts // 8
     for r in rows:
@@ -119,13 +119,17 @@ def _segment_hashes(sums: np.ndarray, x: np.ndarray, first: np.ndarray, last: np
 
 def _candidates(filter_, with_bytes: bool):
     def run(batches):
-        held = filter_.value
+        held, done = filter_.value, set()
         for batch in batches:
             h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
             for piece in slices(batch.column("text")):
                 text, keys, x, first, last, sums = segments(piece)
                 seg = _segment_hashes(sums, x, first, last) if len(x) else keys
                 keep = np.flatnonzero(_may_hold(held, seg if with_bytes else keys))
+                if with_bytes:  # a common segment leaves each task once
+                    new = keep[np.unique(seg[keep], return_index=True)[1]]
+                    keep = np.sort(new[[s not in done for s in seg[new].tolist()]]) if len(new) else new
+                    done.update(seg[keep].tolist())
                 text, keys, x, first, last, seg = (v[keep] for v in (text, keys, x, first, last, seg))
                 begin = piece.offsets[text]
                 out = {
@@ -281,10 +285,10 @@ def _cut(batches):
 def repeated_runs(texts: DataFrame) -> DataFrame:
     """Runs ``(h1, h2, lo, hi)`` of starts of repeated LENGTH-byte strings, from ``texts(h1, h2, text)``."""
     sc = texts.sparkSession.sparkContext
-    anchors = texts.select("text").mapInArrow(_anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    anchors = mapped(texts.select("text"), _anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     anchors = materialize(anchors.select("key"))
     kept = sc.broadcast(bloom_filter(anchors, anchors.count()))
-    found = materialize(texts.mapInArrow(_candidates(kept, False), "key long, seg long, h1 long, h2 long, lo long, hi long"))
+    found = materialize(mapped(texts, _candidates(kept, False), "key long, seg long, h1 long, h2 long, lo long, hi long"))
     counts = found.groupBy("key", "seg").agg(F.count("*").alias("m"))
     crowds = counts.groupBy("key").agg(F.count("*").alias("segs"))
     counts = materialize(counts.join(crowds, "key").where("m > 1 or segs > 1"))
@@ -296,11 +300,11 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     if n == 0:
         return whole
     kept = sc.broadcast(bloom_filter(open_.select(F.col("seg").alias("key")), n))
-    raws = texts.mapInArrow(_candidates(kept, True), "key long, seg long, h1 long, h2 long, lo long, hi long, off long, raw binary")
+    raws = mapped(texts, _candidates(kept, True), "key long, seg long, h1 long, h2 long, lo long, hi long, off long, raw binary")
     raws = materialize(raws.join(open_, ["key", "seg"]).dropDuplicates(["key", "seg"]).withColumn("weight", F.least("m", F.lit(2)).cast("long")))
     home = F.pmod(F.xxhash64("key"), F.lit(max(1, n // TOGETHER)))
     some = raws.where(F.col("segs") <= CROWD).withColumn("home", home).groupBy("home").applyInPandas(_settled, "h1 long, h2 long, lo long, hi long")
-    strings = raws.where(F.col("segs") > CROWD).mapInArrow(_strings, "key long, weight long, h1 long, h2 long, at long, s long")
+    strings = mapped(raws.where(F.col("segs") > CROWD), _strings, "key long, weight long, h1 long, h2 long, at long, s long")
     again = strings.groupBy("key", "s").agg(F.sum("weight").alias("w")).where("w > 1").select("key", "s")
     many = strings.where("weight = 1").join(again, ["key", "s"]).select("h1", "h2", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return whole.unionByName(some).unionByName(many)
@@ -319,4 +323,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     by_text = runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
     joined = known.join(by_text, ["h1", "h2"], "left").select("doc_id", "text", "runs")
     kind = dict(docs.dtypes)["doc_id"]
-    return joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return mapped(joined, _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
