@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from feedprofile.llm.bytestext import Slice, distinct_sorted, mix, slices, word_hashes
 from feedprofile.llm.components import connected_components
-from feedprofile.llm.storage import materialize
+from feedprofile.llm.storage import mapped, materialize
 
 #: Registers of a band and bands; a pair at 0.8 misses all bands with probability 0.59 ** 32 = 5e-8.
 BAND_ROWS, BANDS = 4, 32
@@ -34,8 +34,6 @@ BASE, OFFSET = 1.005, 600
 SURE = 20.0
 #: A hub with more partners than this is verified in several parts.
 PART_PAIRS = 256
-#: Pairs with their two sets that are handed over at once.
-WIDE_ROWS = 1000
 #: Ids are broadcast up to this number (some 20 MB), and joined by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 #: Members of a family in a block, and families verified together, by members.
@@ -258,6 +256,7 @@ class _Corpus:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, size: int, threshold_percent: int) -> None:
         self.docs, self.classes, self.size, self.percent = docs, classes, size, threshold_percent
+        self.kind = dict(docs.dtypes)["doc_id"]
 
     def sets(self, needed: DataFrame) -> DataFrame:
         """Whole shingle sets ``(id, s)`` of the classes in ``needed(id)``."""
@@ -268,14 +267,14 @@ class _Corpus:
         if needed.count() <= BROADCAST_IDS:
             wanted = F.broadcast(wanted)
         texts = self.docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc").select(F.col("doc").alias("id"), "text")
-        found = texts.mapInArrow(_sets(self.size), "id long, f1 long, f2 long, s binary").withColumnRenamed("id", "doc")
+        found = mapped(texts, _sets(self.size), f"id {self.kind}, f1 long, f2 long, s binary").withColumnRenamed("id", "doc")
         return found.join(which, ["doc", "f1", "f2"]).dropDuplicates(["id"]).select("id", "s")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(a, b)`` of classes that reach the threshold on their whole sets."""
         one = self.classes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         two = self.classes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        tried = materialize(pairs.join(two, "b").join(one, "a").mapInArrow(_tried(self.percent / 100), "a long, b long"))
+        tried = materialize(mapped(pairs.join(two, "b").join(one, "a"), _tried(self.percent / 100), "a long, b long"))
         sets = materialize(self.sets(tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id")))))
         # a hub with many partners is dealt out in parts
         parts = tried.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PART_PAIRS)).cast("int").alias("parts"))
@@ -283,7 +282,7 @@ class _Corpus:
         left = parts.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("s").alias("sa"))
         right = dealt.join(sets, F.col("b") == F.col("id")).select("a", "b", "part", F.col("s").alias("sb"))
         both = left.join(right, ["a", "part"]).select("a", "b", "sa", "sb")
-        return materialize(both.mapInArrow(_verified(self.percent), "a long, b long"), batch_rows=WIDE_ROWS)
+        return materialize(mapped(both, _verified(self.percent), "a long, b long"))
 
 
 def _between(held: DataFrame, corpus: _Corpus) -> DataFrame:
@@ -292,10 +291,13 @@ def _between(held: DataFrame, corpus: _Corpus) -> DataFrame:
     members = materialize(held.select("id", "c").distinct().join(families, F.col("id") == F.col("node")).drop("node"))
     sizes = members.groupBy("family", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("family").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("all"))
+    main = materialize(main.where(F.col("all") > F.col("most")))
+    if main.count() <= BROADCAST_IDS:
+        main = F.broadcast(main)
     # parts from 0 are members outside the largest component, parts below 0 those inside
     blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
     placed = (
-        members.join(main, "family").where(F.col("all") > F.col("most"))
+        members.join(main, "family")
         .withColumn("outer", blocks(F.col("all") - F.col("most"))).withColumn("inner", blocks(F.col("most")))
         .withColumn("part", F.when(F.col("c") == F.col("main"), -1 - F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outer"))).cast("int"))
     )
@@ -317,15 +319,16 @@ def text_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     is the row's own id, for rows that take no part.
     """
     own = docs.select("doc_id", "text")
+    kind = dict(own.dtypes)["doc_id"]
     hashed = own.withColumn("text_hash", F.xxhash64("text"))
-    drawn = materialize(hashed.mapInArrow(_sketched(size), "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, sketch binary"))
+    drawn = materialize(mapped(hashed, _sketched(size), f"doc_id {kind}, text_hash long, n_shingles long, f1 long, f2 long, sketch binary"))
     sound = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = materialize(
         drawn.where(sound).groupBy("f1", "f2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
         .withColumn("id", F.monotonically_increasing_id())
     )
     corpus = _Corpus(own, classes, size, percent)
-    banded = classes.select("id", "sketch").mapInArrow(_banded, "id long, band long")
+    banded = mapped(classes.select("id", "sketch"), _banded, "id long, band long")
     banded = materialize(banded)
     hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("top > hub").select("band", "hub")
     met = materialize(banded.join(hubs, "band"))
