@@ -2,7 +2,7 @@
 
 A text is the square roots of its byte-trigram shares, hashed to DIMENSIONS. Families are told apart, and within a
 family its languages, by one-versus-one linear support vector machines whose votes and margins decide. The machines
-are fitted on the driver on a bounded sample (about SAMPLE rows of each language, picked by a hash of the id).
+are fitted on the driver on a bounded sample (about SAMPLE rows of each language, picked by a hash).
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from feedprofile.llm.bytestext import LOWER, Slice, slices
+from feedprofile.llm.storage import mapped
 
 DIMENSIONS = 4096
 #: Rows of each language in the training sample, about.
@@ -133,20 +134,28 @@ def _drawn(batches):
 
 
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Identifier | None:
-    """Fit on rows of ``docs(doc_id, text, lang)`` that ``learn`` allows; None if none has text and language."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 2)).select("doc_id", "lang", "text")
+    """Fit on rows of ``docs(doc_id, text, lang)`` that ``learn`` allows; None if none has text and language.
+
+    Some ``sample`` rows of each language are drawn by a hash of id and text, and at most twice as many reach the driver;
+    a language that the draw misses, because all its rows are alike, gives its first rows in the order of that hash.
+    """
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 2)).select("lang", "text", F.xxhash64("doc_id", "text", F.lit(11)).alias("h"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     share = F.lit(0.0)
     for code, n in sizes.items():
         share = F.when(F.col("lang") == code, F.lit(sample / n)).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30))
-    got = picked.mapInArrow(_drawn, "lang string, at binary, n binary").collect()
-    if {r["lang"] for r in got} != set(sizes):  # a language so rare that the hash left it out
-        got = rows.mapInArrow(_drawn, "lang string, at binary, n binary").collect() if sum(sizes.values()) <= sample else got
-    if not got:
-        return None
+    order = Window.partitionBy("lang").orderBy("h")
+
+    def first(some: DataFrame, most: int) -> list:
+        few = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+        return mapped(few.select("lang", "text"), _drawn, "lang string, at binary, n binary").collect()
+
+    got = first(rows.where(F.pmod(F.col("h"), F.lit(1 << 30)) < share * (1 << 30)), 2 * sample)
+    if missed := sorted(set(sizes) - {r["lang"] for r in got}):
+        got += first(rows.where(F.col("lang").isin(missed)), sample)
+    got.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
     x = np.zeros((len(got), DIMENSIONS), np.float32)
     for k, r in enumerate(got):
         x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
@@ -183,4 +192,4 @@ def identify(docs: DataFrame, learn: Column, sample: int = SAMPLE, keep: list[st
     model = pickle.dumps(fit(docs, learn, sample))
     keep = [c for c in docs.columns if keep is None or c in keep]
     schema = StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.select(*{*keep, "text"}).mapInArrow(_named(model, keep), schema)
+    return mapped(docs.select(*{*keep, "text"}), _named(model, keep), schema)
