@@ -1,9 +1,12 @@
 """Personal data: exact patterns, and terms that disclose a protected entity (information-theoretic sanitisation).
 
-Patterns find e-mail and IP addresses, card and phone numbers, with positions in code points. The values found are the
-protected entities. A word near an entity discloses it if, over the whole corpus, knowing the word makes the entity
-nearly certain: the pointwise mutual information of word and entity is at least DISCLOSURE of the entity's own
-information. Such words become spans too, in the documents that hold the entity. Only DataFrame functions are used.
+Patterns find e-mail and IP addresses, card and phone numbers, with positions in code points. Each span stands for three
+protected entities: the value itself, the group that it shares with others (mail domain, network, card issuer, area code)
+and its kind. The corpus tells how strongly a word discloses an entity: in how many differing texts each occurs, and both
+together, anywhere in the text. A word discloses an entity if knowing it makes the entity likely, by CERTAINTY at least,
+and its pointwise mutual information with the entity is at least DISCLOSURE of the entity's own information; both use the
+smoothed share ``(both + PRIOR * p) / (texts with the word + PRIOR)``, p being the entity's share of all texts. Such words
+become spans too, in the documents that hold the entity. Only DataFrame functions are used.
 
 The patterns are those of the contract, written so that a match needs no backtracking: a run is entered at its start
 only (or where the last match ended), and repeated groups are replaced by character runs with a look-ahead, which
@@ -12,10 +15,12 @@ keeps matches equal and very long texts from exhausting the stack.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedprofile.llm.storage import materialize
+from feedprofile.llm.storage import fresh, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -28,11 +33,13 @@ PATTERNS = {
 #: What a text must hold for a pattern to have a chance; a plain search that spares most texts the patterns.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
-#: Letters of a term, how many words around an entity count as near, and the least number of differing texts in which a
-#: term meets an entity before it is judged.
-LEAST_LETTERS, NEAR_WORDS, LEAST_TEXTS = 4, 3, 3
+#: Letters of a term, and the least number of differing texts in which a term meets an entity.
+LEAST_LETTERS, LEAST_TEXTS = 3, 3
 #: Share of an entity's information from which a term discloses it, and the least certainty that it gives.
 DISCLOSURE, CERTAINTY = 0.8, 0.5
+#: So many texts with the entity's own share count beside those with a term, lest few texts tell much.
+PRIOR = 2.0
+WORD = r"\p{L}{%d,}" % LEAST_LETTERS
 PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", TERM: "<TERM>"}
 #: Candidate terms are broadcast up to this number and joined by shuffle beyond it.
 BROADCAST_TERMS = 200_000
@@ -93,56 +100,64 @@ def _joined(spans: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Lower-case words of LEAST_LETTERS letters or more."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{%d,}" % LEAST_LETTERS), F.lit(0))
+    """Distinct lower-case words of LEAST_LETTERS letters or more."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
-def _nearby(text: Column, span: Column) -> Column:
-    """Words among the NEAR_WORDS before and after a span, on the same line."""
-    before = F.regexp_extract(F.substring(text, F.greatest(span["start"] - 199, F.lit(1)), F.least(span["start"], F.lit(200))), r"[^\n]*\z", 0)
-    after = F.regexp_extract(F.substring(text, span["stop"] + 1, F.lit(200)), r"\A[^\n]*", 0)
-    last, first = _words(before), _words(after)
-    return F.concat(F.slice(F.reverse(last), 1, NEAR_WORDS), F.slice(first, 1, NEAR_WORDS))
+def _entities(span: Column) -> Column:
+    """Names of the entities that a span stands for: its value, the group of its value, its kind."""
+    kind, value = span["kind"], F.lower(span["value"])
+    digits = _digits(value)
+    group = (
+        F.when(kind == "email", F.substring_index(value, "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    )
+    return F.array(F.concat_ws("=", kind, value), F.concat_ws("~", kind, group), kind)
 
 
-def _document_frequencies(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """In how many differing texts of ``docs(text)`` each term of ``met(term)`` occurs: ``(term, df_term)``."""
-    candidates = met.select("term").distinct()
-    if candidates.count() <= BROADCAST_TERMS:
-        candidates = F.broadcast(candidates)
-    spoken = docs.select(F.xxhash64("text").alias("doc"), F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(candidates, "term", "left_semi")
-    return spoken.distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with something else in the place of its spans; of overlapping spans the first counts."""
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    def step(state: Column, s: Column) -> Column:
+        out = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), by(s))
+        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["start"] >= state["at"], out).otherwise(state["out"]).alias("out"))
 
-def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs ``(entity, term)`` whose term discloses the entity, from ``found(_text, _base)``, the texts with entities.
+    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
 
-    Texts count once, however often they are copied. Document frequencies of the candidate terms are taken over all
-    texts of ``docs``.
-    """
-    near = (
-        found.select(F.xxhash64("_text").alias("doc"), "_text", F.explode("_base").alias("s"))
-        .select("doc", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(F.array_distinct(_nearby(F.col("_text"), F.col("s")))).alias("term"))
-        .distinct()
-    )
-    near = materialize(near)
-    met = near.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_TEXTS)
-    met = materialize(met)
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """Marked for broadcast where it has no more than so many rows."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """Pairs ``(h, entity, term)`` of each differing text of ``found(h, words, entities)`` whose entity occurs in several."""
+    each = found.select("h", "words", F.explode("entities").alias("entity"))
+    several = found.select(F.explode("entities").alias("entity")).where(~F.col("entity").isin(*KINDS)).groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    several = _small(materialize(several.select("entity")), BROADCAST_TERMS)
+    # the few kinds are hot keys and need no look-up
+    kept = each.where(F.col("entity").isin(*KINDS)).unionByName(each.where(~F.col("entity").isin(*KINDS)).join(several, "entity", "left_semi"))
+    return kept.select("h", "entity", F.explode("words").alias("term"))
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs ``(entity, term)`` whose term discloses the entity, from ``found(h, words, entities)``, the differing texts
+    with entities, and all ``docs(text)``. Texts count once, however often they are copied."""
+    met = _met(found).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_TEXTS)
+    seen = found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("seen")).where(F.col("seen") >= LEAST_TEXTS)
     # a term is in at least the texts with entities that hold it, so words of many such texts are out already
-    seen = _document_frequencies(found.select(F.col("_text").alias("text")), met).withColumnRenamed("df_term", "seen")
-    met = materialize(met.join(seen, "term").where(F.col("both") >= CERTAINTY * F.col("seen")).drop("seen"))
+    met = materialize(met.join(seen, "term").where(F.col("both") + PRIOR >= CERTAINTY * (F.col("seen") + PRIOR)).drop("seen"))
     if met.isEmpty():
         return met.select("entity", "term")
-    total = docs.count()
-    entities = (
-        found.select(F.xxhash64("_text").alias("doc"), F.explode("_base").alias("s"))
-        .select("doc", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
-        .groupBy("entity").agg(F.count("*").alias("df_entity"))
-    )
-    terms = _document_frequencies(docs, met)
-    pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("df_entity") * F.col("df_term")))
-    own = F.log2(F.lit(float(total)) / F.col("df_entity"))
-    told = met.join(entities, "entity").join(terms, "term").where((pmi >= DISCLOSURE * own) & (F.col("both") >= CERTAINTY * F.col("df_term")))
+    total = float(docs.select(F.xxhash64("text").alias("h")).distinct().count())
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    candidates = _small(materialize(met.select("term").distinct()), BROADCAST_TERMS)
+    spoken = docs.select(F.xxhash64("text").alias("h"), F.explode(_words(F.col("text"))).alias("term")).join(candidates, "term", "left_semi")
+    terms = spoken.distinct().groupBy("term").agg(F.count("*").alias("df_term"))
+    base = F.col("df_entity") / F.lit(total)
+    share = (F.col("both") + PRIOR * base) / (F.col("df_term") + PRIOR)
+    told = met.join(entities, "entity").join(terms, "term").where((share >= CERTAINTY) & (F.log2(share / base) >= DISCLOSURE * F.log2(1 / base)))
     return materialize(told.select("entity", "term"))
 
 
@@ -154,30 +169,26 @@ def find_personal_data(docs: DataFrame, base: str = "base", every: str = "all_sp
     """
     docs = docs.drop(base, every)
     rows = docs.withColumn(base, base_spans(F.col("text")))
-    found = materialize(docs.select(F.col("text").alias("_text")).withColumn("_base", base_spans(F.col("_text"))).where(F.size("_base") > 0))
+    own = docs.select("text").withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
+    outside = _replaced(F.col("text"), F.col("base"), lambda s: F.lit(" "))
+    found = own.select(F.xxhash64("text").alias("h"), _words(outside).alias("words"), F.array_distinct(F.flatten(F.transform("base", _entities))).alias("entities"))
+    found = materialize(found.dropDuplicates(["h"]))
     told = disclosing_terms(found, docs)
     if told.isEmpty():
         return rows.withColumn(every, F.col(base))
-    # terms of each text that holds their entity; a text is known by its hash and its length
-    per_text = (
-        found.select(F.xxhash64("_text").alias("_h"), F.length("_text").alias("_n"), F.explode("_base").alias("s"))
-        .select("_h", "_n", F.concat_ws(":", "s.kind", "s.value").alias("entity")).distinct()
-        .join(told, "entity").groupBy("_h", "_n").agg(F.collect_set("term").alias("_terms"))
-    )
-    per_text = materialize(per_text)
-    if per_text.count() <= BROADCAST_TERMS:
-        per_text = F.broadcast(per_text)
-    same = (F.xxhash64(rows["text"]) == per_text["_h"]) & (F.length(rows["text"]) == per_text["_n"])
-    spans = F.array_sort(F.concat(rows[base], _term_spans(rows["text"], F.col("_terms"), rows[base])))
-    joined = rows.join(per_text, same, "left")
-    return joined.select(*[rows[c] for c in rows.columns], F.when(F.col("_terms").isNull(), rows[base]).otherwise(spans).alias(every))
+    # terms of each text that holds their entity
+    hash_, terms = fresh("_h", rows.columns), fresh("_terms", rows.columns)
+    per_text = _met(found).join(_small(told, BROADCAST_TERMS), ["entity", "term"], "left_semi").groupBy(F.col("h").alias(hash_)).agg(F.collect_set("term").alias(terms))
+    per_text = _small(materialize(per_text), BROADCAST_TERMS)
+    joined = rows.join(per_text, F.xxhash64(rows["text"]) == per_text[hash_], "left")
+    spans = F.array_sort(F.concat(F.col(base), _term_spans(F.col("text"), F.col(terms), F.col(base))))
+    return joined.withColumn(every, F.when(F.col(terms).isNull(), F.col(base)).otherwise(spans)).select(*rows.columns, every)
 
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
     """Spans of the words of a text that are among the terms and outside the pattern spans."""
-    pattern = r"\p{L}{%d,}" % LEAST_LETTERS
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    pieces = F.arrays_zip(F.split(text, WORD, -1).alias("gap"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("hit"))
 
     def step(state: Column, piece: Column) -> Column:
         start = state["at"] + F.length(piece["gap"])
@@ -203,17 +214,8 @@ def sanitize(docs: DataFrame) -> DataFrame:
 
     Texts without spans, null ones included, stay as they are.
     """
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     names = F.create_map(*[F.lit(x) for pair in PLACEHOLDERS.items() for x in pair])
-
-    def step(state: Column, s: Column) -> Column:
-        out = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.element_at(names, s["kind"]))
-        return F.struct(
-            F.greatest(state["at"], s["stop"]).alias("at"), F.when(s["start"] >= state["at"], out).otherwise(state["out"]).alias("out")
-        )
-
-    spans = F.col("_pii_spans")
-    clean = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    found = find_personal_data(docs, "_pii_base", "_pii_spans")
-    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).select(*docs.columns)
+    base, every = fresh("_base", docs.columns), fresh("_every", docs.columns)
+    clean = _replaced(F.col("text"), F.col(every), lambda s: F.element_at(names, s["kind"]))
+    found = find_personal_data(docs, base, every)
+    return found.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
