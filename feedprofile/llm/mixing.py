@@ -18,17 +18,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedprofile.llm.storage import materialize
+from feedprofile.llm.storage import fresh, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No document is taken more than MOST times, so no source exceeds MOST times its size.
 MOST = 3
 #: Size classes of an octave; a class is what a document's rate depends on, so a source has some 64 * 40 at most.
 CLASSES_PER_OCTAVE = 64
-#: Ranks within a size class are taken in so many parts.
-PARTS = 64
+#: Ranks within a size class are taken in so many parts, or one for each PART_ROWS rows of the table if these are more.
+PARTS, PART_ROWS = 64, 1 << 18
+#: Fractional parts of rates are counted in units of 1 / UNIT copies.
+UNIT_BITS = 26
+UNIT = 1 << UNIT_BITS
 #: Starting points of the systematic rounding that are tried; each source takes the one that ends nearest its target.
-SHIFTS = tuple((2 * k + 1) / 32 for k in range(16))
+SHIFTS = tuple((2 * k + 1) * (UNIT // 32) for k in range(16))
 NEWTON_STEPS, STEPS_A_JOB, TOLERANCE = 48, 6, 1e-10
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,7 +82,9 @@ def _rate(lam: Column, x: Column) -> Column:
 
 def _solve(classes: DataFrame, targets: DataFrame) -> DataFrame:
     """Lambda and mean class of each source, from its size classes ``(s, c, words)`` and its target."""
-    mean = classes.groupBy("s").agg((F.sum(F.col("c") * F.col("words")) / F.sum("words")).alias("mean"))
+    # sums of counts and decimals do not depend on their order, so that reruns agree
+    exact = lambda x: F.sum(x.cast("decimal(38,10)")).cast("double")
+    mean = classes.groupBy("s").agg((F.sum((F.col("c") * F.col("words")).cast("decimal(38,0)")) / F.sum("words")).cast("double").alias("mean"))
     points = materialize(classes.join(mean, "s").select("s", (F.col("c") / F.col("mean")).alias("x"), "words"))
     state = materialize(targets.join(mean, "s").select("s", "target", "mean", F.lit(0.0).alias("lam"), F.lit(-40.0).alias("lo"), F.lit(40.0).alias("hi"), F.lit(1.0).alias("off")))
     for step in range(1, NEWTON_STEPS + 1):
@@ -88,7 +93,7 @@ def _solve(classes: DataFrame, targets: DataFrame) -> DataFrame:
         moved = (
             points.join(state, "s")
             .groupBy("s", "target", "mean", "lam", "lo", "hi")
-            .agg(F.sum(rate * F.col("words")).alias("got"), F.sum(rate * (F.lit(1.0) - rate / MOST) * F.col("x") * F.col("words")).alias("slope"))
+            .agg(exact(rate * F.col("words")).alias("got"), exact(rate * (F.lit(1.0) - rate / MOST) * F.col("x") * F.col("words")).alias("slope"))
             .select("s", "target", "mean", "lam", "got", F.when(low, F.col("lam")).otherwise(F.col("lo")).alias("lo"), F.when(low, F.col("hi")).otherwise(F.col("lam")).alias("hi"), (F.col("lam") + F.try_divide(F.col("target") - F.col("got"), F.col("slope"))).alias("to"))
         )
         inside = F.col("to").between(F.col("lo"), F.col("hi"))
@@ -113,16 +118,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_
     with the names of the new ones are replaced. An empty table gives no rows.
     """
     made = ["size", "source_size", "target", "rate", "copies", "taken"]
+    own, kind, part_, mark, rank = (fresh(x, [*docs.columns, *made]) for x in ("_s", "_class", "_part", "_hash", "_rank"))
+    key = [own, kind, part_]
     rows = docs.drop(*[c for c in made if c in docs.columns]).withColumn("size", word_count(F.col("text")))
-    rows = rows.withColumn("_s", source_key(F.col("source")))
-    rows = rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * CLASSES_PER_OCTAVE).cast("long"))
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(PARTS)))
-    slim = materialize(rows.select("_s", "_class", "_part", "size", id_col))
+    rows = rows.withColumn(own, source_key(F.col("source")))
+    rows = rows.withColumn(kind, F.floor(F.log2(F.col("size") + 1.0) * CLASSES_PER_OCTAVE).cast("long"))
+    rows = rows.withColumn(mark, F.xxhash64(F.col(id_col), "text"))
+    slim = materialize(rows.select(own, kind, "size", id_col, mark))
+    parts = max(PARTS, slim.count() // PART_ROWS)
+    in_parts = lambda x: x.withColumn(part_, F.pmod(F.xxhash64(mark), F.lit(parts)))
+    slim, rows = in_parts(slim), in_parts(rows)
     groups = materialize(
-        slim.groupBy(F.col("_s").alias("s"), F.col("_class").alias("c"), F.col("_part").alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+        slim.groupBy(F.col(own).alias("s"), F.col(kind).alias("c"), F.col(part_).alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     )
     targets = materialize(source_targets(groups.groupBy("s").agg(F.sum("words").alias("source_size")), weights))
-    classes = groups.where("c > 0").groupBy("s", "c").agg(F.sum("words").cast("double").alias("words"))
+    classes = groups.where("c > 0").groupBy("s", "c").agg(F.sum("words").alias("words"))
     known = targets.join(_solve(classes, targets), "s", "left")
     full = F.col("target") >= F.col("source_size") * (MOST - 1e-9)
     rate = (
@@ -131,25 +141,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_
         .otherwise(_rate(F.col("lam"), F.col("c") / F.col("mean")))
     )
     part = groups.join(known, "s").select("s", "c", "part", "n", "source_size", "target", rate.alias("rate"))
-    part = part.withColumn("extra", F.col("rate") - F.floor("rate"))
+    # fractional parts are whole numbers of UNIT, whose running sums are exact
+    part = part.withColumn("extra", F.floor((F.col("rate") - F.floor("rate")) * UNIT).cast("long"))
     ahead = Window.partitionBy("s").orderBy(F.desc("c"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    part = materialize(part.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("extra")).over(ahead), F.lit(0.0))))
-    part = part.select(F.col("s").alias("_s"), F.col("c").alias("_class"), F.col("part").alias("_part"), "source_size", "target", "rate", F.col("extra").alias("_extra"), F.col("before").alias("_before"))
-    order = Window.partitionBy("_s", "_class", "_part").orderBy(F.desc("size"), id_col)
-
-    def copies(shift: Column) -> Column:
-        upto = F.col("_before") + F.col("_rank") * F.col("_extra") + shift + 1e-9
-        return F.least(F.floor("rate") + F.floor(upto) - F.floor(upto - F.col("_extra")), F.lit(MOST)).cast("long")
-
-    ranked = slim.withColumn("_rank", F.row_number().over(order)).join(part, ["_s", "_class", "_part"])
-    trials = [F.struct(F.abs(F.sum(copies(F.lit(u)) * F.col("size")) - F.first("target")).alias("off"), F.lit(u).alias("_shift")) for u in SHIFTS]
-    shifts = ranked.groupBy("_s").agg(*[t.alias(f"t{k}") for k, t in enumerate(trials)])
-    shifts = shifts.select("_s", F.least(*[F.col(f"t{k}") for k in range(len(SHIFTS))])["_shift"].alias("_shift"))
-    part = materialize(part.join(shifts, "_s"))
+    part = materialize(part.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("extra")).over(ahead), F.lit(0).cast("long"))))
+    extra, before = fresh("_extra", rows.columns), fresh("_before", rows.columns)
+    part = part.select(F.col("s").alias(own), F.col("c").alias(kind), F.col("part").alias(part_), "source_size", "target", "rate", F.col("extra").alias(extra), F.col("before").alias(before))
+    order = Window.partitionBy(*key).orderBy(F.desc("size"), id_col, mark)
+    shift = fresh("_shift", rows.columns)
+
+    def copies(by: Column) -> Column:
+        upto = F.col(before) + F.col(rank) * F.col(extra) + by
+        steps = F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - F.col(extra), UNIT_BITS)
+        return F.least(F.floor("rate") + steps, F.lit(MOST)).cast("long")
+
+    ranked = slim.withColumn(rank, F.row_number().over(order)).join(part, key)
+    trials = [F.struct(F.abs(F.sum(copies(F.lit(u)) * F.col("size")) - F.first("target")).alias("off"), F.lit(u).alias(shift)) for u in SHIFTS]
+    shifts = ranked.groupBy(own).agg(*[t.alias(f"t{k}") for k, t in enumerate(trials)])
+    shifts = shifts.select(own, F.least(*[F.col(f"t{k}") for k in range(len(SHIFTS))])[shift].alias(shift))
+    part = materialize(part.join(shifts, own))
     return (
-        rows.withColumn("_rank", F.row_number().over(order))
-        .join(part, ["_s", "_class", "_part"])
-        .withColumn("copies", copies(F.col("_shift")))
+        rows.withColumn(rank, F.row_number().over(order))
+        .join(part, key)
+        .withColumn("copies", copies(F.col(shift)))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select(*[c for c in docs.columns if c not in made], *made)
     )
