@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from feedprofile.llm import packing, stages
+from feedprofile.llm.queries import table
 from feedprofile.llm.storage import materialize
 
 
@@ -41,8 +42,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over all documents; each stage's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over all documents; each stage's result is written and read again.
+
+    What the stages do with nulls, repeated rows and clashing column names stands in ``feedprofile.llm.stages``.
+    """
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
