@@ -43,6 +43,8 @@ WORD = r"\p{L}{%d,}" % LEAST_LETTERS
 PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", TERM: "<TERM>"}
 #: Candidate terms are broadcast up to this number and joined by shuffle beyond it.
 BROADCAST_TERMS = 200_000
+#: Hashes are broadcast up to this number (some 30 MB).
+BROADCAST_HASHES = 1_000_000
 
 
 def _digits(text: Column) -> Column:
@@ -131,33 +133,43 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def _met(found: DataFrame) -> DataFrame:
-    """Pairs ``(h, entity, term)`` of each differing text of ``found(h, words, entities)`` whose entity occurs in several."""
+def _met(found: DataFrame, entities: DataFrame) -> DataFrame:
+    """Pairs ``(h, entity, term)`` of each differing text of ``found(h, words, entities)`` whose entity is in ``entities``."""
     each = found.select("h", "words", F.explode("entities").alias("entity"))
-    several = found.select(F.explode("entities").alias("entity")).where(~F.col("entity").isin(*KINDS)).groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    several = _small(materialize(several.select("entity")), BROADCAST_TERMS)
-    # the few kinds are hot keys and need no look-up
-    kept = each.where(F.col("entity").isin(*KINDS)).unionByName(each.where(~F.col("entity").isin(*KINDS)).join(several, "entity", "left_semi"))
+    is_kind = F.col("entity").isin(*KINDS)  # the few kinds are hot keys and need no look-up
+    kept = each.where(is_kind).unionByName(each.where(~is_kind).join(_small(entities.select("entity"), BROADCAST_TERMS), "entity", "left_semi"))
     return kept.select("h", "entity", F.explode("words").alias("term"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
+def _document_frequencies(docs: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """In how many differing texts of ``docs(text)`` the ``terms(t)`` occur: ``(t, df_term)``; ``texts(h, n)`` tells copies.
+
+    Terms are told by their hashes. Texts that occur once are counted within tasks; only those of copies are told apart.
+    """
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    copies = _small(materialize(texts.where("n > 1").select("h")), BROADCAST_HASHES)
+    terms = _small(terms, BROADCAST_HASHES)
+    spoken = lambda rows: rows.select("h", F.explode(F.transform(_words(F.col("text")), lambda w: F.xxhash64(w))).alias("t")).join(terms, "t", "left_semi")
+    once = spoken(hashed.join(copies, "h", "left_anti")).groupBy("t").agg(F.count("*").alias("n"))
+    again = spoken(hashed.join(copies, "h", "left_semi")).distinct().groupBy("t").agg(F.count("*").alias("n"))
+    return once.unionByName(again).groupBy("t").agg(F.sum("n").alias("df_term"))
+
+
+def disclosing_terms(found: DataFrame, entities: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs ``(entity, term)`` whose term discloses the entity, from ``found(h, words, entities)``, the differing texts
-    with entities, and all ``docs(text)``. Texts count once, however often they are copied."""
-    met = _met(found).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_TEXTS)
+    with entities, ``entities(entity, df_entity)`` and all ``docs(text)``. Texts count once, however often they are copied."""
+    texts = materialize(docs.select(F.xxhash64("text").alias("h")).groupBy("h").agg(F.count("*").alias("n")))
+    base = F.col("df_entity") / F.lit(float(texts.count()))
+    share = lambda df: (F.col("both") + PRIOR * base) / (F.col(df) + PRIOR)
+    met = _met(found, entities).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_TEXTS)
     seen = found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("seen")).where(F.col("seen") >= LEAST_TEXTS)
     # a term is in at least the texts with entities that hold it, so words of many such texts are out already
-    met = materialize(met.join(seen, "term").where(F.col("both") + PRIOR >= CERTAINTY * (F.col("seen") + PRIOR)).drop("seen"))
+    met = met.join(seen, "term").join(_small(entities, BROADCAST_TERMS), "entity").where(share("seen") >= CERTAINTY)
+    met = materialize(met.select("entity", "term", "both", "df_entity", F.xxhash64("term").alias("t")))
     if met.isEmpty():
         return met.select("entity", "term")
-    total = float(docs.select(F.xxhash64("text").alias("h")).distinct().count())
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
-    candidates = _small(materialize(met.select("term").distinct()), BROADCAST_TERMS)
-    spoken = docs.select(F.xxhash64("text").alias("h"), F.explode(_words(F.col("text"))).alias("term")).join(candidates, "term", "left_semi")
-    terms = spoken.distinct().groupBy("term").agg(F.count("*").alias("df_term"))
-    base = F.col("df_entity") / F.lit(total)
-    share = (F.col("both") + PRIOR * base) / (F.col("df_term") + PRIOR)
-    told = met.join(entities, "entity").join(terms, "term").where((share >= CERTAINTY) & (F.log2(share / base) >= DISCLOSURE * F.log2(1 / base)))
+    terms = _document_frequencies(docs, texts, materialize(met.select("t").distinct()))
+    told = met.join(terms, "t").where((share("df_term") >= CERTAINTY) & (F.log2(share("df_term") / base) >= DISCLOSURE * F.log2(1 / base)))
     return materialize(told.select("entity", "term"))
 
 
@@ -173,12 +185,14 @@ def find_personal_data(docs: DataFrame, base: str = "base", every: str = "all_sp
     outside = _replaced(F.col("text"), F.col("base"), lambda s: F.lit(" "))
     found = own.select(F.xxhash64("text").alias("h"), _words(outside).alias("words"), F.array_distinct(F.flatten(F.transform("base", _entities))).alias("entities"))
     found = materialize(found.dropDuplicates(["h"]))
-    told = disclosing_terms(found, docs)
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_entity"))
+    entities = materialize(entities.where(F.col("df_entity") >= LEAST_TEXTS))
+    told = disclosing_terms(found, entities, docs)
     if told.isEmpty():
         return rows.withColumn(every, F.col(base))
     # terms of each text that holds their entity
     hash_, terms = fresh("_h", rows.columns), fresh("_terms", rows.columns)
-    per_text = _met(found).join(_small(told, BROADCAST_TERMS), ["entity", "term"], "left_semi").groupBy(F.col("h").alias(hash_)).agg(F.collect_set("term").alias(terms))
+    per_text = _met(found, entities).join(_small(told, BROADCAST_TERMS), ["entity", "term"], "left_semi").groupBy(F.col("h").alias(hash_)).agg(F.collect_set("term").alias(terms))
     per_text = _small(materialize(per_text), BROADCAST_TERMS)
     joined = rows.join(per_text, F.xxhash64(rows["text"]) == per_text[hash_], "left")
     spans = F.array_sort(F.concat(F.col(base), _term_spans(F.col("text"), F.col(terms), F.col(base))))
