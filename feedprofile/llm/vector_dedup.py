@@ -1,7 +1,7 @@
 """Near-duplicate vectors by cross-polytope hashing.
 
 A hash turns a vector by three rounds of random signs and a fast Hadamard transform and names the signed axis
-nearest to it. A table joins two hashes; each vector also enters the next best buckets (multiprobe). Vectors of
+nearest to it. A table joins HASHES of them; each vector also enters the next best buckets (multiprobe). Vectors of
 one bucket and label are compared by cosine in double precision, in square blocks of bounded size. A pair that
 meets in several buckets counts in the first only, and what leaves a block is one row per vector: how many it
 links with there, and the smallest vector of its part of the block. Equal vectors are one class throughout.
@@ -20,6 +20,8 @@ from feedprofile.llm.storage import mapped, materialize
 
 #: Hash tables, buckets that a vector enters in each, and rows of a block.
 TABLES, PROBES, BLOCK_ROWS = 10, 4, 1024
+#: Hashes of a table: with three, vectors that do not resemble each other hardly ever share a bucket.
+HASHES = 3
 #: Small buckets are verified together, about so many rows a task group.
 ROWS_TOGETHER = 4000
 
@@ -45,7 +47,7 @@ def bucket_keys(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES,
     rows = np.arange(n)[:, None]
     for t in range(tables):
         axes, costs = [], []
-        for _ in range(2):
+        for _ in range(HASHES):
             x = padded
             for _ in range(3):
                 x = _hadamard(x * rng.choice((-1.0, 1.0), width)) / np.sqrt(width)
@@ -53,8 +55,10 @@ def bucket_keys(vectors: np.ndarray, tables: int = TABLES, probes: int = PROBES,
             best = np.argsort(-both, axis=1, kind="stable")[:, :probes]
             axes.append(best)
             costs.append((both[rows, best[:, :1]] - both[rows, best]) ** 2)
-        cost = (costs[0][:, :, None] + costs[1][:, None, :]).reshape(n, -1)
-        key = (axes[0][:, :, None] * (2 * width) + axes[1][:, None, :]).reshape(n, -1)
+        cost, key = costs[0], axes[0]
+        for more, axis in zip(costs[1:], axes[1:], strict=True):
+            cost = (cost[:, :, None] + more[:, None, :]).reshape(n, -1)
+            key = (key[:, :, None] * (2 * width) + axis[:, None, :]).reshape(n, -1)
         out[:, t] = np.take_along_axis(key, np.argsort(cost, axis=1, kind="stable")[:, :probes], 1)
     return out
 
