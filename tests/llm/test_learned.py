@@ -112,6 +112,8 @@ def test_mixing(spark):
 
 
 def test_stages(spark, docs):
+    kept = stages.with_language(docs.withColumn("score", F.lit(7)), languages=("de", "fr"))
+    assert kept.columns == [*docs.columns, "score"] and {(r["lang"], r["score"]) for r in kept.select("lang", "score").distinct().collect()} == {("de", 7), ("fr", 7)}
     named = stages.with_language(docs)
     assert named.columns == docs.columns and named.count() == 301
     once = stages.one_of_each_group(named)
@@ -119,7 +121,8 @@ def test_stages(spark, docs):
     rows = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.concat("text", F.lit(" a@b.org"))).otherwise(F.col("text")))
     clean = {r["doc_id"]: r for r in stages.without_personal_data(rows).collect()}
     assert clean[3]["text"].endswith(" <EMAIL>") and clean[3]["n_chars"] == len(clean[3]["text"])
-    assert stages.mixed(once).columns == docs.columns
+    again = stages.mixed(once.withColumns({"_copy": F.lit(3), "_s": F.lit(4), "rate": F.lit("r")}))
+    assert again.columns == [*docs.columns, "_copy", "_s", "rate"] and {tuple(r) for r in again.select("_copy", "_s", "rate").distinct().collect()} == {(3, 4, "r")}
 
 
 def test_repeated_ids_with_unlike_texts_stay(spark):

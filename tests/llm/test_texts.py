@@ -197,18 +197,57 @@ def test_personal_data_equal_plain_patterns(spark):
         assert tuple(r[f"n_{k}"] for k in PATTERNS) == tuple(sum(s[2] == k for s in spans) for k in PATTERNS)
 
 
+def brute_terms(texts):
+    """Term spans of all texts, by counting over differing texts."""
+    from feedprofile.llm import pii
+
+    differing = list(dict.fromkeys(t or "" for t in texts))
+    held, words = {}, {}
+    for t in differing:
+        spans, outside = plain_spans(t), t
+        for a, _, _, b in reversed(spans):
+            outside = outside[:a] + " " + outside[b:]
+        words[t] = {w.lower() for w in re.findall(r"[^\W\d_]{3,}", outside)}
+        held[t] = set()
+        for a, _, kind, b in spans:
+            digits = re.sub("[^0-9]", "", t[a:b])
+            group = {"email": t[a:b].lower().split("@")[1], "ip": ".".join(t[a:b].split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+            held[t] |= {kind, f"{kind}~{group}", f"{kind}={t[a:b].lower()}"}
+    df_entity = collections.Counter(e for t in differing for e in held[t])
+    df_term = collections.Counter(w for t in differing for w in {x.lower() for x in re.findall(r"[^\W\d_]{3,}", t)})
+    both = collections.Counter((e, w) for t in differing for e in held[t] for w in words[t])
+    told = set()
+    for (e, w), n in both.items():
+        base = df_entity[e] / len(differing)
+        share = (n + pii.PRIOR * base) / (df_term[w] + pii.PRIOR)
+        if n >= pii.LEAST_TEXTS and share >= pii.CERTAINTY and math.log2(share / base) >= pii.DISCLOSURE * math.log2(1 / base):
+            told.add((e, w))
+    out = []
+    for t in texts:
+        t = t or ""
+        spans = plain_spans(t)
+        terms = {w for e, w in told if e in held[t] and w in words[t]}
+        out.append({(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", t) if m[0].lower() in terms and not any(a < m.end() and b > m.start() for a, _, _, b in spans)})
+    return out
+
+
 def test_disclosing_terms_and_sanitising(spark):
+    """The name beside an address that recurs, and the word that tells of mail, disclose them, as a count in Python finds."""
     rnd = random.Random(4)
-    texts = [f"{words(rnd, 20)} ask Quibblewick at q@x.org now {k}" for k in range(6)] + [words(rnd, 20) + " plain now" for _ in range(40)] + [None, ""]
-    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], DOCS + ", base int")
-    spans = {r["doc_id"]: r["spans"] for r in digest(find_personal_data(docs)).collect()}
-    for k in range(6):
-        a = texts[k].index("Quibblewick")
-        assert f"term:{a}:{a + 11}" in spans[k] and "now" not in spans[k]
-    assert not any(spans[k] for k in range(6, len(texts)))
+    texts = [f"{words(rnd, 20)} now {k}. Quibblewick of " + words(rnd, 30) + " asks q@x.org" for k in range(6)]
+    texts += [f"{words(rnd, 20)} mailto u{k}@host{k % 2}.org" for k in range(6)] + [words(rnd, 20) + " plain now" for _ in range(400)] + [None, ""]
+    texts += [texts[0], texts[-3], texts[0]]
+    docs = spark.createDataFrame([(k, t, k, 1) for k, t in enumerate(texts)], DOCS + ", base int, _terms int")
+    found = {r["doc_id"]: r for r in find_personal_data(docs).collect()}
+    want = brute_terms(texts)
+    for k, r in found.items():
+        assert {(s["start"], s["stop"]) for s in r["all_spans"] if s["kind"] == "term"} == want[k], texts[k]
+        assert [s for s in r["all_spans"] if s["kind"] != "term"] == r["base"] and r["_terms"] == 1
+    a = texts[0].index("Quibblewick")
+    assert (a, a + 11) in want[0] and sum(map(len, want)) >= 12 and not any(want[12:-3])
     clean = {r["doc_id"]: (r["text"], r["base"]) for r in sanitize(docs).collect()}
-    assert clean[0][0].endswith("ask <TERM> at <EMAIL> now 0") and clean[0][1] == 0
-    assert all(clean[k][0] == texts[k] for k in range(6, len(texts)))
+    assert "<TERM> of " in clean[0][0] and clean[0][0].endswith("<EMAIL>") and clean[0][1] == 0
+    assert all(clean[k][0] == texts[k] for k in range(12, len(texts) - 3))
     assert sanitize(spark.createDataFrame([], DOCS)).count() == 0
 
 
@@ -240,7 +279,7 @@ def test_lm_scores_use_every_context_across_words(spark, monkeypatch, hot):
     from feedprofile.llm import lm_scoring
 
     monkeypatch.setattr(lm_scoring, "HOT_GRAMS", hot)
-    monkeypatch.setattr(lm_scoring, "TASK_GRAMS", 500)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 500)
     rnd = random.Random(3)
     texts = [words(rnd, rnd.randint(0, 30)) for _ in range(50)] + [None, "", "one two three", "three two one", "one two three", "one two three", "é\nü"]
     learn = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 5 != 1]
@@ -307,3 +346,49 @@ def test_packing_round_trip(spark):
             at += r["length"]
         assert 0 < at <= 1024
     assert pack(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def cheapest(places, costs, window, unpadded):
+    """Least cost of all lists of cuts, by trying them all."""
+    best = [0] + [None] * (len(places) - 1)
+    for j in range(1, len(places)):
+        for i in range(j):
+            n = int(places[j] - places[i])
+            if n <= window and best[i] is not None:
+                cost = best[i] + (0 if n in unpadded else window - n) + int(costs[j])
+                best[j] = cost if best[j] is None else min(best[j], cost)
+    return best[-1]
+
+
+def test_cuts_equal_exhaustive_search():
+    from feedprofile.llm.packing import best_cuts, candidates
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        places = np.concatenate(([0], np.cumsum(rng.integers(1, 20, rng.integers(1, 40)))))
+        costs = rng.integers(0, 12, len(places))
+        cuts = best_cuts(places, costs, 32, (8, 16))
+        edges = np.concatenate(([0], cuts))
+        sizes = np.diff(edges)
+        paid = sum(0 if n in (8, 16) else 32 - n for n in sizes.tolist()) + sum(int(costs[np.flatnonzero(places == c)[0]]) for c in cuts.tolist())
+        assert cuts[-1] == places[-1] and sizes.max() <= 32 and paid == cheapest(places, costs, 32, (8, 16))
+    places, costs = candidates(np.array([50, 400]), np.array([20, 150, 160]))
+    assert {20, 50, 150, 160, 400} <= set(places.tolist()) and np.diff(places).max() <= 96 and costs[np.searchsorted(places, [20, 50, 160, 400])].tolist() == [4, 0, 4, 0]
+    assert all(150 > p > 50 or 400 > p > 160 for p in places[1:][costs[1:] == 24].tolist())
+
+
+def test_streams_go_on_over_batches(spark, monkeypatch):
+    """However the rows are batched, a partition is one stream with one tail."""
+    from feedprofile.llm import packing
+
+    rnd = random.Random(8)
+    docs = spark.createDataFrame([(k, words(rnd, 300)) for k in range(60)], DOCS).coalesce(1)
+    monkeypatch.setattr(packing, "TOGETHER_BYTES", 3000)
+    sizes = [r["n"] for r in pack(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(n < 900 and n not in (128, 256, 512) for n in sizes) <= 1 and len(sizes) > 20
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five six"), (None, "x")], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["component_id"]) for r in near_texts(docs).collect()) == [("", None), ("a", "a"), ("b", "a")]
+    assert {r["doc_id"] for r in pack(docs).collect()} == {"a", "b", None}

@@ -49,6 +49,14 @@ def test_top_k_equal_brute_force(spark):
     assert set(got) == {k for k, _ in good if k % 20 == 0}
 
 
+def test_top_k_keeps_repeated_ids_and_sparse_rows(spark):
+    data = [(20, [1.0, 0.0, 0.0]), (1, [0.1, 0.0, 3.0]), (1, [2.0, 0.0, 0.0]), (2, [0.0, 5.0, 0.0]), (20, [3.0, 0.0, 0.0]), (4, [])]
+    got = [tuple(r) for r in top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, 3).collect()]
+    one = [(20, 1, 20, 3 * 64 * 64), (20, 2, 1, 2 * 64 * 64), (20, 3, 1, 6 * 64)]
+    two = [(20, 1, 1, 6 * 64 * 64), (20, 2, 20, 3 * 64 * 64), (20, 3, 1, 18 * 64)]
+    assert sorted(got) == sorted(one + two)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_vectors(empty).count() == 0 and top_k(empty, F.col("id") % 20 == 0).count() == 0
