@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,14 @@ def value_counts(rows: DataFrame, columns: Sequence[str], split: str = "split")
     return rows.select(split, F.inline(pairs)).groupBy(split, "column", "value").agg(F.count("*").alias("n"))
 
 
+def in_order(counts: DataFrame, by: str) -> DataFrame:
+    """Value counts with their ``place`` within split and column: by ``n``, the most frequent first and ties by value, or by ``value``; null last."""
+    if by not in ("n", "value"):
+        raise ValueError(f"order by 'n' or 'value', not {by!r}")
+    order = [F.asc_nulls_last("value")] if by == "value" else [F.desc("n"), F.asc_nulls_last("value")]
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("split", "column").orderBy(*order)))
+
+
 def box_stats(entities: DataFrame, dimensions: Sequence[str], metrics: Sequence[str], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and outlier counts: ``(dimension, group, metric, n, q1, med, q3,
     whisker_lo, whisker_hi, n_outliers)``.

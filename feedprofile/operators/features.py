@@ -10,23 +10,25 @@ from feedprofile.functions import text
 MIN_DF, MAX_FEATURES = 3, 10_000
 
 
-def term_counts(documents: DataFrame, key: str = "id", document: str = "document") -> DataFrame:
-    """Rows ``(id, term, tf)``."""
-    return documents.select(key, F.explode(text.ngrams(F.col(document))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def vocabulary(documents: DataFrame, min_df: int = MIN_DF, most: int = MAX_FEATURES, document: str = "document") -> DataFrame:
+    """The most frequent terms of enough documents, ties by term: ``(term, tf, df)``.
 
-
-def vocabulary(counts: DataFrame, min_df: int = MIN_DF, most: int = MAX_FEATURES) -> DataFrame:
-    """The most frequent terms of enough documents, ties by term: ``(term, tf, df)``."""
-    terms = counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).where(F.col("df") >= min_df)
-    return terms.orderBy(F.desc("tf"), F.asc("term")).limit(most)
+    Each document gives its terms, and once more its differing ones; tasks sum both, so that one row for each term leaves them.
+    """
+    each = documents.select(text.ngrams(F.col(document)).alias("terms"))
+    all_terms = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
+    differing = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
+    terms = each.select(F.inline(F.concat(all_terms, differing))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    return terms.where(F.col("df") >= min_df).orderBy(F.desc("tf"), F.asc("term")).limit(most)
 
 
-def tfidf(counts: DataFrame, terms: DataFrame, n_documents: int, key: str = "id") -> DataFrame:
+def tfidf(documents: DataFrame, terms: DataFrame, n_documents: int, key: str = "id", document: str = "document") -> DataFrame:
     """Rows ``(id, term, weight)``: counts times ln((1 + n) / (1 + df)) + 1, scaled to length one per document.
 
-    The vocabulary has at most MAX_FEATURES rows, so it is broadcast.
+    The vocabulary has at most MAX_FEATURES rows, so it is broadcast; other terms go before anything is shuffled.
     """
     idf = terms.select("term", (F.log((F.lit(1.0) + n_documents) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    found = documents.select(key, F.explode(text.ngrams(F.col(document))).alias("term")).join(F.broadcast(idf), "term")
+    raw = found.groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))

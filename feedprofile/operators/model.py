@@ -4,18 +4,35 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexer
 from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedprofile.functions import text
-from feedprofile.operators.features import MAX_FEATURES, MIN_DF, term_counts, vocabulary
+from feedprofile.functions import text, traits
+from feedprofile.operators.features import MAX_FEATURES, MIN_DF, vocabulary
+
+#: What is done to a document before its terms are taken, by name; a model keeps the name, so that training and
+#: prediction cannot differ.
+PREPROCESSORS: dict[str, Callable[[Column], Column]] = {"none": lambda document: document, "normalise": text.normalise}
+TRAITS = ("gender", "occupation", "birthyear")
+
+
+def register_preprocessor(name: str, preprocessor: Callable[[Column], Column]) -> None:
+    """Make a preprocessor known; a saved model needs it under the same name where it is loaded."""
+    PREPROCESSORS[name] = preprocessor
+
+
+def _terms(preprocessor: str) -> Column:
+    if preprocessor not in PREPROCESSORS:
+        raise ValueError(f"unknown preprocessor {preprocessor!r}")
+    return text.ngrams(PREPROCESSORS[preprocessor](F.col("document"))).alias("terms")
 
 
 @dataclass
@@ -24,10 +41,11 @@ class Profiler:
 
     features: PipelineModel
     traits: dict[str, tuple[object, list[str]]]
+    preprocessor: str = "none"
 
     def predict(self, documents: DataFrame, key: str = "id") -> DataFrame:
         """Rows ``(id, trait...)`` with predicted class names."""
-        rows = self.features.transform(documents.select(key, text.ngrams(F.col("document")).alias("terms")))
+        rows = self.features.transform(documents.select(key, _terms(self.preprocessor)))
         out = rows.select(key, "features")
         for trait, (model, names) in self.traits.items():
             model = model.copy({model.predictionCol: f"_{trait}", model.rawPredictionCol: "_raw", model.probabilityCol: "_p"})
@@ -38,7 +56,7 @@ class Profiler:
     def save(self, path: str) -> None:
         self.features.write().overwrite().save(f"{path}/features")
         spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(t, json.dumps(n)) for t, (_, n) in self.traits.items()], "trait string, names string").write.mode("overwrite").parquet(f"{path}/traits")
+        spark.createDataFrame([(t, json.dumps(n), self.preprocessor) for t, (_, n) in self.traits.items()], "trait string, names string, preprocessor string").write.mode("overwrite").parquet(f"{path}/traits")
         for trait, (model, _) in self.traits.items():
             model.write().overwrite().save(f"{path}/{trait}")
 
@@ -46,14 +64,16 @@ class Profiler:
     def load(spark: SparkSession, path: str) -> Profiler:
         from pyspark.ml.classification import LogisticRegressionModel
 
-        names = {r["trait"]: json.loads(r["names"]) for r in spark.read.parquet(f"{path}/traits").collect()}
-        return Profiler(PipelineModel.load(f"{path}/features"), {t: (LogisticRegressionModel.load(f"{path}/{t}"), n) for t, n in names.items()})
+        rows = spark.read.parquet(f"{path}/traits").collect()
+        models = {r["trait"]: (LogisticRegressionModel.load(f"{path}/{r['trait']}"), json.loads(r["names"])) for r in rows}
+        return Profiler(PipelineModel.load(f"{path}/features"), models, rows[0]["preprocessor"] if rows else "none")
 
 
-def fit_features(documents: DataFrame, min_df: int = MIN_DF, most: int = MAX_FEATURES) -> PipelineModel:
+def fit_features(documents: DataFrame, min_df: int = MIN_DF, most: int = MAX_FEATURES, preprocessor: str = "none") -> PipelineModel:
     """Counts over the vocabulary, times smoothed idf, scaled to length one."""
     n = documents.count()
-    terms = vocabulary(term_counts(documents), min_df, most).collect()  # at most MAX_FEATURES rows
+    ready = documents.select(PREPROCESSORS[preprocessor](F.col("document")).alias("document"))
+    terms = vocabulary(ready, min_df, most).collect()  # at most MAX_FEATURES rows
     names = [r["term"] for r in terms] or [""]
     idf = [math.log((1 + n) / (1 + r["df"])) + 1 for r in terms] or [1.0]
     counts = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="counts", minTF=1)
@@ -61,13 +81,15 @@ def fit_features(documents: DataFrame, min_df: int = MIN_DF, most: int = MAX_FEA
     return PipelineModel([counts, scaled, Normalizer(p=2.0, inputCol="scaled", outputCol="features")])
 
 
-def fit_profiler(documents: DataFrame, traits: Sequence[str], min_df: int = MIN_DF, most: int = MAX_FEATURES, max_iter: int = 100) -> Profiler:
+def fit_profiler(documents: DataFrame, traits: Sequence[str], min_df: int = MIN_DF, most: int = MAX_FEATURES, max_iter: int = 100, preprocessor: str = "none") -> Profiler:
     """Fit one multinomial logistic regression for each trait of ``documents(id, document, trait...)``.
 
     Rows whose trait is null are left out of that trait's training only.
     """
-    features = fit_features(documents, min_df, most)
-    rows = features.transform(documents.select("id", *traits, text.ngrams(F.col("document")).alias("terms"))).select("features", *traits).cache()
+    terms = _terms(preprocessor)
+    features = fit_features(documents, min_df, most, preprocessor)
+    # memory and disk, and made anew from the documents where an executor is lost
+    rows = features.transform(documents.select("id", *traits, terms)).select("features", *traits).persist(StorageLevel.MEMORY_AND_DISK)
     models = {}
     try:
         for trait in traits:
@@ -79,4 +101,17 @@ def fit_profiler(documents: DataFrame, traits: Sequence[str], min_df: int = MIN_
             models[trait] = (learner.fit(index.transform(some)), list(index.labels))
     finally:
         rows.unpersist()
-    return Profiler(features, models)
+    return Profiler(features, models, preprocessor)
+
+
+def profile(labels: DataFrame, feeds: DataFrame, targets: DataFrame, preprocessor: str = "normalise", min_df: int = MIN_DF, max_iter: int = 100) -> tuple[Profiler, DataFrame]:
+    """Learn gender, occupation and birth year from ``feeds(id, text)`` and their ``labels``, and predict them for ``targets``.
+
+    Nested posts become one document each; birth years are learned as centres of their classes. Feeds without a label are
+    not learned from. Predictions have one row for each target: ``(id, gender, occupation, birthyear)``.
+    """
+    document = text.assemble(F.col("text")).alias("document")
+    known = labels.select("id", "gender", "occupation", traits.birthyear_class(F.col("birthyear")).alias("birthyear"))
+    learned = fit_profiler(feeds.select("id", document).join(known, "id"), TRAITS, min_df=min_df, max_iter=max_iter, preprocessor=preprocessor)
+    predicted = learned.predict(targets.select("id", document))
+    return learned, predicted.select("id", "gender", "occupation", F.col("birthyear").cast("int").alias("birthyear"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedprofile.functions.traits import age_band
+from feedprofile.sources.feeds import spread
 
 DIMENSIONS = ("quality", "source", "age_band")
 
@@ -24,7 +25,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as persons with traits; ``posts`` are the lines, decorated so that every text feature occurs."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     lang, source, doc = F.col("lang"), F.col("source"), F.col("doc_id").cast("string")
 
     def decorated(post: Column, i: Column) -> Column:
@@ -46,9 +47,10 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("age_band", age_band(F.col("birthyear")))
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as nested feeds: roles are members, their turns are posts."""
-    turns = table(spark, sf_dir, "conversations")
+def conversations(spark: SparkSession, sf_dir: str, most_posts: int = 10_000) -> DataFrame:
+    """Conversations as nested feeds: roles are members, their turns are posts, of which a member has ``most_posts`` at most."""
+    order = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
+    turns = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(order)).where(F.col("k") <= most_posts)
     members = turns.groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     nested = members.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("role", F.transform("t", lambda x: x["text"]).alias("posts")))).alias("m"))
     return nested.select(F.col("conv_id").alias("id"), F.transform("m", lambda x: x["posts"]).alias("text"))

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedprofile.functions import lexicon, text, traits
+from feedprofile.functions import text, traits
 from feedprofile.operators import distributions, entity, evaluate, features, ranking, stats
-from feedprofile.plans import bindings
+from feedprofile.plans import bindings, sql_literals
 from feedprofile.plans.bindings import DIMENSIONS, table
 from feedprofile.sources import feeds
 
@@ -54,17 +54,17 @@ def _hits(pattern: str, of: str = "p") -> str:
     return f"len(regexp_extract_all({of}, '{pattern}'))"
 
 
-_TOKENS = f"list_transform(posts, lambda p: regexp_extract_all(lower(p), '{text.TOKEN}'))"
+_TOKENS = f"list_transform(posts, lambda p: regexp_extract_all(lower(p), '{sql_literals.TOKEN}'))"
 _SUM = "coalesce(list_sum(list_transform(posts, lambda p: {})), 0)::bigint"
 _ENTITIES = f"""
 {_PEOPLE}, entities AS (
   SELECT id, quality::varchar AS quality, source, age_band, birthyear, len(posts) AS posts,
-    {_SUM.format(f"len(list_filter(regexp_extract_all(lower(p), '{text.TOKEN}'), lambda w: w IN ({_words(lexicon.PRONOUNS)})))")} AS pronouns,
-    {_SUM.format(f"len(list_filter(regexp_extract_all(lower(p), '{text.TOKEN}'), lambda w: w IN ({_words(lexicon.DETERMINERS_AND_QUANTIFIERS)})))")} AS det_quant,
-    {_SUM.format(_hits(text.HASHTAG))} AS hashtags, {_SUM.format(_hits(text.LINK))} AS links, {_SUM.format(_hits(text.EMOJI))} AS emojis,
-    len(list_filter(posts, lambda p: regexp_matches(p, '{text.HASHTAG}'))) AS posts_with_hashtag,
-    len(list_filter(posts, lambda p: regexp_matches(p, '{text.LINK}'))) AS posts_with_link,
-    len(list_filter(posts, lambda p: regexp_matches(p, '{text.EMOJI}'))) AS posts_with_emoji
+    {_SUM.format(f"len(list_filter(regexp_extract_all(lower(p), '{sql_literals.TOKEN}'), lambda w: w IN ({_words(sql_literals.PRONOUNS)})))")} AS pronouns,
+    {_SUM.format(f"len(list_filter(regexp_extract_all(lower(p), '{sql_literals.TOKEN}'), lambda w: w IN ({_words(sql_literals.DETERMINERS_AND_QUANTIFIERS)})))")} AS det_quant,
+    {_SUM.format(_hits(sql_literals.HASHTAG))} AS hashtags, {_SUM.format(_hits(sql_literals.LINK))} AS links, {_SUM.format(_hits(sql_literals.EMOJI))} AS emojis,
+    len(list_filter(posts, lambda p: regexp_matches(p, '{sql_literals.HASHTAG}'))) AS posts_with_hashtag,
+    len(list_filter(posts, lambda p: regexp_matches(p, '{sql_literals.LINK}'))) AS posts_with_link,
+    len(list_filter(posts, lambda p: regexp_matches(p, '{sql_literals.EMOJI}'))) AS posts_with_emoji
   FROM people JOIN labels ON labels.doc_id = people.id
 )"""
 
@@ -97,8 +97,9 @@ def labels_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id AS id, count(DISTINCT role) AS members, count(*) AS posts FROM conversations GROUP BY conv_id")
 def feed_posts_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = bindings.conversations(spark, sf_dir)
-    return nested.select("id", F.size("text").cast("long").alias("members"), F.size(text.posts_of(F.col("text"))).cast("long").alias("posts"))
+    """Counted without gathering a conversation's turns, so that a very long one is no single row."""
+    by_member = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id"), "role").agg(F.count("*").alias("n"))
+    return by_member.groupBy("id").agg(F.count("*").alias("members"), F.sum("n").alias("posts"))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -118,7 +119,8 @@ def age_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("age_band").agg(F.count("*").alias("n"))
 
 
-_CLASS = "CASE " + " ".join(f"WHEN birthyear BETWEEN {a} AND {b} THEN {c}" for a, b, c in traits.BIRTHYEAR_CLASSES) + " END"
+_CLASS = """CASE WHEN birthyear BETWEEN 1940 AND 1955 THEN 1947 WHEN birthyear BETWEEN 1956 AND 1969 THEN 1963 WHEN birthyear BETWEEN 1970 AND 1980 THEN 1975
+  WHEN birthyear BETWEEN 1981 AND 1989 THEN 1985 WHEN birthyear BETWEEN 1990 AND 1999 THEN 1994 END"""
 
 
 @query(f"SELECT doc_id AS id, birthyear, {_CLASS} AS birthyear_class FROM (SELECT doc_id, (1935 + n_chars % 70)::integer AS birthyear FROM documents)")
@@ -138,9 +140,9 @@ def class_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("code", code).withColumn("decoded", traits.decode(F.col("code"), traits.OCCUPATION_CODES))
 
 
-@query(f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{text.TOKEN}')) AS token FROM documents) GROUP BY token")
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{sql_literals.TOKEN}')) AS token FROM documents) GROUP BY token")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return feeds.spread(table(spark, sf_dir, "documents")).select(F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 # ---- statistics by trait
@@ -177,7 +179,7 @@ def emoji_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOUND = f"""WITH {_PEOPLE}, found AS (
-  SELECT id, quality::varchar AS quality, source, age_band, unnest(flatten(list_transform(posts, lambda p: regexp_extract_all(p, '{text.EMOJI}')))) AS emoji
+  SELECT id, quality::varchar AS quality, source, age_band, unnest(flatten(list_transform(posts, lambda p: regexp_extract_all(p, '{sql_literals.EMOJI}')))) AS emoji
   FROM people JOIN labels ON labels.doc_id = people.id
 ), counts AS (""" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS \"group\", emoji, count(*) AS n FROM found GROUP BY {d}, emoji" for d in DIMENSIONS) + ")"
 
@@ -224,11 +226,32 @@ _SPLIT = "CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'supplement' ELSE 'tes
     for c in ("quality", "toxic", "birthyear")
 ))
 def trait_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _value_counts(spark, sf_dir)
+
+
+def _value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     split = F.when(F.col("doc_id") % 3 == 0, "train").when(F.col("doc_id") % 3 == 1, "supplement").otherwise("test")
     return distributions.value_counts(docs.select(split.alias("split"), "quality", "toxic", bindings.birthyear().alias("birthyear")), ("quality", "toxic", "birthyear"))
 
 
+_ORDERED = " UNION ALL ".join(
+    f"SELECT split, '{c}' AS \"column\", {c}::varchar AS value, count(*) AS n FROM (SELECT {_SPLIT} AS split, quality, toxic, (1940 + n_chars % 70)::integer AS birthyear FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY split, {c}"
+    for c in ("quality", "toxic", "birthyear")
+)
+_PLACE = 'SELECT split, "column", value, n, row_number() OVER (PARTITION BY split, "column" ORDER BY {} NULLS LAST)::integer AS place FROM (' + _ORDERED + ")"
+
+
+@query(_PLACE.format("n DESC, value"))
+def value_counts_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distributions.in_order(_value_counts(spark, sf_dir), "n")
+
+
+@query(_PLACE.format("value"))
+def value_counts_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distributions.in_order(_value_counts(spark, sf_dir), "value")
+
+
 @query(f'{_STATS} SELECT dimension, "group", entities, posts, round(coalesce(emojis::double / nullif(posts, 0), 0), 4) AS emojis_per_post, round(coalesce(posts_with_emoji::double / nullif(posts, 0), 0), 4) AS share_with_emoji FROM stats')
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.summary(_stats(spark, sf_dir))
@@ -239,7 +262,7 @@ def chart_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.chart_table(_stats(spark, sf_dir))
 
 
-@query(f"SELECT page_id, len(regexp_extract_all(url || ' ' || html, '{text.LINK}')) AS links FROM pages")
+@query(f"SELECT page_id, len(regexp_extract_all(url || ' ' || html, '{sql_literals.LINK}')) AS links FROM pages")
 def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.link_count(F.concat_ws(" ", "url", "html")).cast("long").alias("links"))
 
@@ -249,7 +272,7 @@ def page_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normal_sql(column: str) -> str:
     out = f"lower({column})"
-    for kind, what, by in text.NORMALISER:
+    for kind, what, by in sql_literals.NORMALISER:
         quoted = what.replace("'", "''")
         out = f"regexp_replace({out}, '{quoted}', '{by}', 'g')" if kind == "re" else f"replace({out}, {'chr(10)' if what == chr(10) else repr(what)}, '{by}')"
     return f"trim({out})"
@@ -258,8 +281,12 @@ def _normal_sql(column: str) -> str:
 _NORMAL = f"WITH {_PEOPLE}, normal AS (SELECT id, source, {_normal_sql('array_to_string(posts, chr(10))')} AS document FROM people)"
 
 
+def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bindings.people(spark, sf_dir).select("id", "source", F.array_join("posts", "\n").alias("document"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.people(spark, sf_dir).select("id", "source", text.normalise(F.array_join("posts", "\n")).alias("document"))
+    return _raw_documents(spark, sf_dir).withColumn("document", text.normalise(F.col("document")))
 
 
 @query(f"{_NORMAL} SELECT id, document FROM normal")
@@ -277,7 +304,7 @@ def assembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TERMS = f"""{_NORMAL}, words AS (
-  SELECT id, regexp_extract_all(document, '{text.WORD}{{2,}}') AS w FROM normal
+  SELECT id, regexp_extract_all(document, '{sql_literals.WORD_OF_TWO}') AS w FROM normal
 ), terms AS (
   SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS term FROM words
 ), counts AS (
@@ -289,7 +316,7 @@ _TERMS = f"""{_NORMAL}, words AS (
 
 @query(f"{_TERMS} SELECT term, tf, df FROM vocabulary")
 def vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.vocabulary(features.term_counts(_documents(spark, sf_dir)))
+    return features.vocabulary(_documents(spark, sf_dir))
 
 
 @query(f"""{_TERMS}, n AS (SELECT count(*) AS n FROM documents), raw AS (
@@ -297,8 +324,7 @@ def vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw""")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    counts = features.term_counts(docs)
-    return features.tfidf(counts, features.vocabulary(counts), table(spark, sf_dir, "documents").count())
+    return features.tfidf(docs, features.vocabulary(docs), table(spark, sf_dir, "documents").count())
 
 
 @query()
@@ -306,10 +332,10 @@ def predicted_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifiers learned on labelled documents predict the traits of all documents."""
     from feedprofile.operators.model import fit_profiler
 
-    docs = _documents(spark, sf_dir)
+    docs = _raw_documents(spark, sf_dir)
     known = docs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", traits.birthyear_class(bindings.birthyear()).alias("birthyear")), "id")
     train = known.join(bindings.labels(spark, sf_dir), "id")
-    profiler = fit_profiler(train.select("id", "document", "quality", "lang", "birthyear"), ("quality", "lang", "birthyear"), max_iter=30)
+    profiler = fit_profiler(train.select("id", "document", "quality", "lang", "birthyear"), ("quality", "lang", "birthyear"), max_iter=30, preprocessor="normalise")
     return profiler.predict(docs)
 
 
