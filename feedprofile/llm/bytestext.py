@@ -73,13 +73,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _kept[base][:n]
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums; ``range_hashes`` reads the hash of any range from them."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers(_BASE, len(data)), out=sums[1:])
+def running_hashes(values: np.ndarray) -> np.ndarray:
+    """Running polynomial sums of 64-bit values; ``range_hashes`` reads the hash of any range from them."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(_BASE, len(values)), out=sums[1:])
     return sums
 
 
+def prefix_hashes(data: np.ndarray) -> np.ndarray:
+    """Running sums over bytes."""
+    return running_hashes(_TABLE[data])
+
+
 def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte ranges ``[start, end)``; equal bytes give equal hashes wherever they stand."""
     back = _powers(pow(_BASE, -1, 1 << 64), len(sums))

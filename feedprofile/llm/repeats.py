@@ -13,6 +13,10 @@ for. Three passes over the texts narrow down what has to be sorted:
    bytes before and after the blocks are then compared exactly.
 
 Anchors with very many differing segments (a line that is everywhere) are settled by counting their strings' hashes.
+
+Beside the bytes to remove, documents that share a passage of PASSAGE words with another document are told, as these may be
+shorter than LENGTH bytes. Passages have anchors too, which join the first pass. Texts without a repeated string that hold
+a repeated anchor are looked at again: the passages with their anchors, in all texts, are counted by hash.
 """
 
 from __future__ import annotations
@@ -22,10 +26,12 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedprofile.llm.bytestext import Slice, mix, prefix_hashes, range_hashes, slices
+from feedprofile.llm.bytestext import Slice, mix, prefix_hashes, range_hashes, running_hashes, slices, word_hashes
+from feedprofile.llm.mixing import word_count
 from feedprofile.llm.storage import mapped, materialize
 
 LENGTH, GRAM, BLOCK = 400, 64, 16
@@ -33,6 +39,10 @@ LENGTH, GRAM, BLOCK = 400, 64, 16
 CORE = LENGTH // BLOCK - 1
 #: Bits of the filter: FILTER_BITS a repeated anchor, but no more than FILTER_MOST (32 MB).
 FILTER_BITS, FILTER_MOST = 16, 1 << 28
+#: Words of a passage that documents may share, and of its anchor.
+PASSAGE, HALF = 50, 25
+#: Hashes of texts are broadcast up to this number (some 30 MB), and joined by shuffle beyond it.
+BROADCAST_TEXTS = 1_000_000
 #: Segments of a group and shards of it; anchors with more differing segments than CROWD are counted instead.
 TOGETHER, SHARDS, CROWD = 4000, 4, 4096
 
@@ -48,29 +58,55 @@ def segments(piece: Slice) -> tuple[np.ndarray, ...]:
     sums = prefix_hashes(data)
     at = np.arange(n - GRAM + 1)
     hashes = range_hashes(sums, at, at + GRAM)
-    bits = np.uint64(max(20, int(n).bit_length()))
-    ranked = (hashes >> bits << bits) | at.astype(np.uint64)
-    full = -(-len(ranked) // width) * width
-    blocks = np.full(full, np.iinfo(np.uint64).max)
+    anchor = least_of(hashes, width)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
+    first, last = _stretches(anchor, owner, offsets, LENGTH)
+    x = anchor[first]
+    return owner[first], hashes[x], x, first, last, sums
+
+
+def least_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least of each ``width`` consecutive hashes, by running minima of blocks."""
+    bits = np.uint64(max(20, len(hashes).bit_length()))
+    ranked = (hashes >> bits << bits) | np.arange(len(hashes)).astype(np.uint64)
+    blocks = np.full(-(-len(ranked) // width) * width, np.iinfo(np.uint64).max)
     blocks[: len(ranked)] = ranked
     blocks = blocks.reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = len(ranked) - width + 1
     least = np.minimum(behind[:starts], ahead[width - 1 : width - 1 + starts])
-    anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:starts]
-    inside = np.arange(starts) + LENGTH <= offsets[owner + 1]
-    place = np.flatnonzero(inside)
+    return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def _stretches(anchor: np.ndarray, owner: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of each run of strings of ``length`` that lie within a text and share an anchor."""
+    place = np.flatnonzero(np.arange(len(anchor)) + length <= offsets[owner + 1])
     edge = np.flatnonzero(np.concatenate(([True], (anchor[place[1:]] != anchor[place[:-1]]) | (owner[place[1:]] != owner[place[:-1]]))))
-    first, last = place[edge], place[np.append(edge[1:], len(place)) - 1]
-    x = anchor[first]
-    return owner[first], hashes[x], x, first, last, sums
+    return place[edge], place[np.append(edge[1:], len(place)) - 1]
+
+
+def passages(piece: Slice) -> tuple[np.ndarray, ...]:
+    """Text number, anchor hash, and first and last start of all runs of PASSAGE words with one anchor; sums over words.
+
+    An anchor is the HALF words with the least hash among a passage's.
+    """
+    hashes, counts = word_hashes(piece, lower=False)
+    none = np.zeros(0, np.int64)
+    if counts.max(initial=0) < PASSAGE:
+        return none, none.astype(np.uint64), none, none, np.zeros(1, np.uint64)
+    sums = running_hashes(hashes)
+    at = np.arange(len(hashes) - HALF + 1)
+    halves = range_hashes(sums, at, at + HALF)
+    anchor = least_of(halves, PASSAGE - HALF + 1)
+    owner = np.repeat(np.arange(len(counts)), counts)[: len(anchor)]
+    first, last = _stretches(anchor, owner, np.concatenate(([0], np.cumsum(counts))), PASSAGE)
+    return owner[first], mix(halves[anchor[first]]), first, last, sums
 
 
 def _anchors(batches):
     for batch in batches:
-        found = [segments(p)[1] for p in slices(batch.column("text"))]
+        found = [keys for p in slices(batch.column("text")) for keys in (segments(p)[1], passages(p)[1])]
         keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
@@ -257,9 +293,50 @@ def _strings(batches):
             })
 
 
+def _passages(filter_, whole: bool):
+    """Anchors ``(key)`` of passages that the filter may hold, or the hashes of these passages, of each text ``(h1, h2)``."""
+    def run(batches):
+        held = filter_.value
+        for batch in batches:
+            h1, h2 = (batch.column(c).to_numpy() for c in ("h1", "h2"))
+            for piece in slices(batch.column("text")):
+                text, keys, first, last, sums = passages(piece)
+                keep = np.flatnonzero(_may_hold(held, keys))
+                text, keys, at = text[keep], keys[keep], first[keep]
+                if whole:
+                    n = last[keep] - at + 1
+                    text, at = np.repeat(text, n), np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    keys = range_hashes(sums, at, at + PASSAGE)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "h1": pa.array(h1[piece.first + text]), "h2": pa.array(h2[piece.first + text])})
+
+    return run
+
+
+def _small(texts: DataFrame) -> DataFrame:
+    return F.broadcast(texts) if texts.count() <= BROADCAST_TEXTS else texts
+
+
+def shared_passages(texts: DataFrame, quiet: DataFrame, repeated: Broadcast) -> DataFrame:
+    """Texts ``(h1, h2)`` of ``quiet`` that share PASSAGE words with a differing text of ``texts(h1, h2, text)``.
+
+    ``repeated`` is the filter of repeated anchors.
+    """
+    schema = "key long, h1 long, h2 long"
+    some = materialize(mapped(quiet, _passages(repeated, False), schema).distinct())
+    keys = materialize(some.select("key").distinct())
+    n = keys.count()
+    some = some.select("h1", "h2").distinct()
+    if n == 0:
+        return some
+    wanted = texts.sparkSession.sparkContext.broadcast(bloom_filter(keys, n))
+    each = materialize(mapped(texts, _passages(wanted, True), schema).distinct())
+    shared = each.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
+    return each.join(shared, "key").select("h1", "h2").distinct().join(some, ["h1", "h2"], "left_semi")
+
+
 def _cut(batches):
     for batch in batches:
-        texts, runs = batch.column("text"), batch.column("runs")
+        texts, runs, shared = batch.column("text"), batch.column("runs"), batch.column("shared")
         out = []
         for k in range(len(batch)):
             raw = (texts[k].as_py() or "").encode()
@@ -274,20 +351,20 @@ def _cut(batches):
                 digest.update(raw[at:a])
                 at = b
             digest.update(raw[at:])
-            out.append((len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [x for s in spans for x in s]))
+            out.append((len(raw), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), int(bool(spans) or shared[k].as_py() is not None), [x for s in spans for x in s]))
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "n_bytes": pa.array([o[0] for o in out], pa.int64()), "n_removed": pa.array([o[1] for o in out], pa.int64()),
             "n_spans": pa.array([o[2] for o in out], pa.int64()), "kept_sha256": pa.array([o[3] for o in out], pa.string()),
-            "spans": pa.array([o[4] for o in out], pa.list_(pa.int64())),
+            "has_passage": pa.array([o[4] for o in out], pa.int32()), "spans": pa.array([o[5] for o in out], pa.list_(pa.int64())),
         })
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
-    """Runs ``(h1, h2, lo, hi)`` of starts of repeated LENGTH-byte strings, from ``texts(h1, h2, text)``."""
+def repeated_runs(texts: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """Runs ``(h1, h2, lo, hi)`` of starts of repeated LENGTH-byte strings, from ``texts(h1, h2, text)``; the filter of repeated anchors."""
     sc = texts.sparkSession.sparkContext
     anchors = mapped(texts.select("text"), _anchors, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     anchors = materialize(anchors.select("key"))
-    kept = sc.broadcast(bloom_filter(anchors, anchors.count()))
+    kept = every = sc.broadcast(bloom_filter(anchors, anchors.count()))
     found = materialize(mapped(texts, _candidates(kept, False), "key long, seg long, h1 long, h2 long, lo long, hi long"))
     counts = found.groupBy("key", "seg").agg(F.count("*").alias("m"))
     crowds = counts.groupBy("key").agg(F.count("*").alias("segs"))
@@ -298,7 +375,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     open_ = materialize(counts.join(mixed, "key").where("segs > 1").select("key", "seg", "m", "segs"))
     n = open_.count()
     if n == 0:
-        return whole
+        return whole, every
     kept = sc.broadcast(bloom_filter(open_.select(F.col("seg").alias("key")), n))
     raws = mapped(texts, _candidates(kept, True), "key long, seg long, h1 long, h2 long, lo long, hi long, off long, raw binary")
     raws = materialize(raws.join(open_, ["key", "seg"]).dropDuplicates(["key", "seg"]).withColumn("weight", F.least("m", F.lit(2)).cast("long")))
@@ -307,20 +384,28 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
     strings = mapped(raws.where(F.col("segs") > CROWD), _strings, "key long, weight long, h1 long, h2 long, at long, s long")
     again = strings.groupBy("key", "s").agg(F.sum("weight").alias("w")).where("w > 1").select("key", "s")
     many = strings.where("weight = 1").join(again, ["key", "s"]).select("h1", "h2", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return whole.unionByName(some).unionByName(many)
+    return whole.unionByName(some).unionByName(many), every
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Cut every byte that a LENGTH-byte string covers which also starts elsewhere: ``docs(doc_id, text)`` gives
-    ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans)``; ``spans`` lists starts and ends of removed runs.
+    ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_passage, spans)``; ``spans`` lists starts and ends of removed runs.
 
     Strings are judged on the input, within texts only; overlapping occurrences count. A null text is empty; texts under
-    LENGTH bytes stay whole. Rows with equal texts repeat each other, whatever their ids. Other columns are ignored; an
-    empty table gives no rows.
+    LENGTH bytes stay whole. ``has_passage`` is 1 for documents with such a string, or with PASSAGE words in a row that
+    another document has too, however they are spaced; these are told, not cut. Rows with equal texts repeat each other,
+    whatever their ids. Other columns are ignored; an empty table gives no rows.
     """
     known = docs.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    runs = materialize(repeated_runs(known.select("h1", "h2", "text").where(F.octet_length("text") >= LENGTH)))
+    texts = known.select("h1", "h2", "text").where(F.octet_length("text") >= 2 * PASSAGE - 1)
+    runs, repeated = repeated_runs(texts)
+    runs = materialize(runs)
+    # of texts without a repeated string, only short ones have copies
+    copies = texts.where(F.octet_length("text") < LENGTH).select("h1", "h2", (word_count(F.col("text")) >= PASSAGE).alias("long"))
+    copies = copies.where("long").groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    told = _small(materialize(runs.select("h1", "h2").distinct()))
+    shared = shared_passages(texts, texts.join(told, ["h1", "h2"], "left_anti"), repeated).unionByName(copies).distinct()
     by_text = runs.groupBy("h1", "h2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    joined = known.join(by_text, ["h1", "h2"], "left").select("doc_id", "text", "runs")
+    joined = known.join(by_text, ["h1", "h2"], "left").join(_small(materialize(shared.withColumn("shared", F.lit(1)))), ["h1", "h2"], "left").select("doc_id", "text", "runs", "shared")
     kind = dict(docs.dtypes)["doc_id"]
-    return mapped(joined, _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return mapped(joined, _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, has_passage int, spans array<long>")
