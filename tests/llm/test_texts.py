@@ -131,6 +131,31 @@ def test_repeats_equal_brute_force(spark, monkeypatch, crowd):
     assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in texts])))
 
 
+def test_shared_passages_equal_brute_force(spark):
+    """Runs of fifty words that another document has too, whatever the spacing and however short their bytes."""
+    rnd = random.Random(12)
+    draw = lambda n: [f"{rnd.choice('abcdefgh')}{rnd.randint(0, 99)}" for _ in range(n)]
+    held = [draw(n) for n in (25, 49, 50, 51, 70)]
+    texts = []
+    for k in range(80):
+        own = draw(rnd.randint(0, 120))
+        if k % 2:
+            at = rnd.randint(0, len(own))
+            own[at:at] = rnd.choice(held)
+        texts.append(rnd.choice((" ", "\n", "  ")).join(own))
+    twice, short = draw(60), draw(55)
+    texts += [" ".join(twice + draw(3) + twice), " ".join(short), " ".join(short), None, "", "a b", " ".join(w.upper() for w in held[4])]
+    parts = [t.split() for t in map(lambda t: t or "", texts)]
+    where = collections.defaultdict(set)
+    for k, ws in enumerate(parts):
+        for at in range(len(ws) - 49):
+            where[tuple(ws[at : at + 50])].add(k)
+    want = {k for ks in where.values() if len(ks) > 1 for k in ks}
+    got = {r["doc_id"]: (r["has_passage"], r["n_spans"]) for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert {k for k, (p, n) in got.items() if p and not n} == {k for k in want if not got[k][1]} and all(p for p, n in got.values() if n)
+    assert any(not n and p for p, n in got.values()) and sum(p for p, _ in got.values()) < 60
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
