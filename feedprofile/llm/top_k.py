@@ -18,6 +18,8 @@ from feedprofile.llm.storage import materialize
 
 #: Candidates of a chunk and queries of a block; one score array holds their product.
 CHUNK_ROWS, BLOCK_ROWS, SCORED_AT_ONCE = 8192, 1024, 128
+#: Dimensions that at least 1 / DENSE of the scores need are added as whole rows.
+DENSE = 10
 
 
 def quantized(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -52,8 +54,10 @@ def _accumulate(queries: list[tuple[np.ndarray, np.ndarray]], n_queries: int, po
     part = np.empty_like(scores)
     for (asking, weights), (at, held) in zip(queries, postings, strict=True):
         weights, held = weights.astype(kind), held.astype(kind)
-        if len(asking) == n_queries and len(at) == n:  # a dimension that every row has
-            np.multiply(weights[:, None], held[None, :], out=part)
+        if DENSE * len(asking) * len(at) >= n_queries * n:  # scattering weights into whole rows is cheaper than into the scores
+            whole, every = np.zeros(n_queries, kind), np.zeros(n, kind)
+            whole[asking], every[at] = weights, held
+            np.multiply(whole[:, None], every[None, :], out=part)
             scores += part
         elif len(asking) and len(at):
             scores[np.ix_(asking, at)] += weights[:, None] * held[None, :]
