@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
-Voters are words and word beginnings, mined from all labelled rows because they point to toxic texts; each votes "toxic"
-or abstains. A generative label model estimates by expectation maximisation, over the vote patterns of all rows, labelled
-or not, how often each voter fires on toxic and on clean texts; voters that fire together almost always (a word and its
-beginnings) are correlated and share one vote. The posterior labels of a bounded sample of rows, of toxic and clean ones
-alike, then train a linear classifier; features that the sample hardly holds keep the weight that all rows' votes give.
+Voters are words and word beginnings, mined from all labelled rows because they point to toxic or to clean texts; each
+votes for its side or abstains. A generative label model estimates by expectation maximisation, over the vote patterns of
+all rows, labelled or not, how often each voter fires on toxic and on clean texts, how right given labels are, and how
+strongly voters are correlated within a class (a word and its beginnings are); correlated voters count for less. The
+posterior labels of a bounded sample of rows, of toxic and clean ones alike, then train a linear classifier; features
+that the sample hardly holds keep the weight that all rows' votes give.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from feedprofile.llm.bytestext import LOWER, Slice, distinct_sorted, mix, prefix_hashes, range_hashes, slices
 from feedprofile.llm.storage import mapped, materialize
 
-#: Rows of the training sample, labelled and unlabelled, about; voters; features of the classifier.
-LABELLED, UNLABELLED, VOTERS, FEATURES = 12_000, 6_000, 256, 4096
+#: Rows of the training sample, labelled and unlabelled, about; voters for toxic and for clean; features of the classifier.
+LABELLED, UNLABELLED, VOTERS, CLEAN_VOTERS, FEATURES = 12_000, 6_000, 256, 64, 4096
 #: Word beginnings of so many bytes are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
-#: Voters whose firings have a Jaccard similarity of this or more share one vote.
-CORRELATED = 0.6
+#: Correlations within a class below this, or below so many standard errors, are noise; rounds of their estimation.
+CORRELATED, SURE_CORRELATED, CORRELATION_ROUNDS = 0.5, 4.0, 2
+#: What is known of given labels beforehand: as if so many had been seen right and wrong.
+LABEL_RIGHT, LABEL_WRONG = 95.0, 5.0
 LEAST_SUPPORT, EM_STEPS, FIT_STEPS = 3, 30, 300
 #: Labels are broadcast up to this number and joined by shuffle beyond it.
 BROADCAST_LABELS = 1_000_000
-#: Features whose log odds are less than so many standard errors from 0 are noise; voters' log odds exceed LEAST_ODDS.
-LEAST_SURE, LEAST_ODDS = 3.0, 1.5
+#: Features whose log odds are less than so many standard errors from 0 are noise; voters' log odds exceed
+#: LEAST_ODDS for toxic, CLEAN_ODDS for clean.
+LEAST_SURE, LEAST_ODDS, CLEAN_ODDS = 3.0, 1.5, 0.5
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -93,30 +97,80 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Rates at which groups of correlated voters fire on toxic and on clean rows, and the share of toxic rows."""
+    """Rates at which voters fire on toxic and on clean rows, their correlations, and the share of toxic rows.
 
-    def __init__(self, group: np.ndarray, share: float) -> None:
-        self.group, self.names, self.share = group, np.unique(group), share
-        self.on = self.off = None
+    A voter that fires votes for its side (1: toxic, -1: clean), else it abstains. Given labels are a voter too, right as
+    often as ``trust`` says. Voters that fire together more than their rates within a class explain are correlated: a vote
+    counts 1 / (1 + its correlations with the others that fire), so that k copies of a voter speak with one voice.
+    """
 
-    def merged(self, votes: np.ndarray) -> np.ndarray:
-        """Votes of groups: one fires if any of its voters does."""
-        return np.stack([votes[:, self.group == g].max(axis=1) for g in self.names], axis=1)
+    def __init__(self, side: np.ndarray, share: float) -> None:
+        self.side, self.share, self.trust = side, share, LABEL_RIGHT / (LABEL_RIGHT + LABEL_WRONG)
+        self.on = self.off = None
+        self.rho, self.weights = np.zeros((len(side), len(side)), np.float32), np.ones(len(side))
 
-    def posterior(self, merged: np.ndarray, given: np.ndarray) -> np.ndarray:
-        """Posterior probability of "toxic", from 0/1 votes of groups and given labels (-1: none)."""
+    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
+        """Posterior probability of "toxic", from 0/1 firings of voters and given labels (-1: none)."""
         known = given >= 0
         if self.on is None:
             return np.where(known, given, self.share).astype(np.float64)
-        score = merged @ (np.log(self.on) - np.log(self.off)) + (1 - merged) @ (np.log1p(-self.on) - np.log1p(-self.off))
-        # a given label is a voter too, right 19 times in 20
-        score += np.log(self.share / (1 - self.share)) + np.where(known, np.where(given == 1, 1, -1) * np.log(19.0), 0.0)
-        return _sigmoid(score)
-
-    def voter_odds(self) -> np.ndarray:
-        """Log odds of each voter: those of its group, shared among its members."""
-        at = np.searchsorted(self.names, self.group)
-        return (np.log(self.on) - np.log(self.off))[at] / np.bincount(at)[at]
+        quiet = self.weights * (np.log1p(-self.on) - np.log1p(-self.off))
+        score = (votes / (1 + votes @ self.rho)) @ (np.log(self.on) - np.log(self.off)) + (1 - votes) @ quiet + np.log(self.share / (1 - self.share))
+        return _sigmoid(score + np.where(known, np.where(given == 1, 1, -1) * np.log(self.trust / (1 - self.trust)), 0.0))
+
+    def odds(self) -> np.ndarray:
+        """Log odds that each voter's firing adds, with as many of its correlated voters as then fire usually."""
+        return self.weights * (np.log(self.on) - np.log(self.off))
+
+    def counted(self, given: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Rows that count: until rates are known, those with a label."""
+        return times if self.on is not None else times * (given >= 0)
+
+    def sums(self, votes: np.ndarray, given: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """What ``update`` needs of some rows; sums of several lots add up."""
+        toxic, times = self.posterior(votes, given), self.counted(given, times)
+        known = times * (given >= 0)
+        agreed = known * np.where(given == 1, toxic, 1 - toxic)
+        return np.concatenate([votes.T @ (toxic * times), votes.T @ ((1 - toxic) * times), [(toxic * times).sum(), times.sum(), agreed.sum(), known.sum()]])
+
+    def update(self, sums: np.ndarray) -> float:
+        """Take rates, trust and share from all rows' sums; the largest change of a log rate."""
+        on, off = np.split(sums[:-4], 2)
+        positive, total, agreed, known = sums[-4:]
+        before = self.on
+        self.on, self.off = (on + 0.5) / (positive + 1), (off + 0.5) / (total - positive + 1)
+        # a voter does not speak against its own side
+        against = self.side * (self.on - self.off) < 0
+        self.on[against] = self.off[against] = ((on + off + 0.5) / (total + 1))[against]
+        self.share = float(np.clip(positive / total, 1e-4, 1 - 1e-4))
+        self.trust = float((agreed + LABEL_RIGHT) / (known + LABEL_RIGHT + LABEL_WRONG))
+        return np.inf if before is None else float(np.abs(np.log(self.on / before)).max())
+
+    def together(self, votes: np.ndarray, given: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Toxic and clean rows in which both of two voters fire, and all rows of a class at the end."""
+        toxic, times = self.posterior(votes, given), self.counted(given, times)
+        sides = [toxic * times, (1 - toxic) * times]
+        return np.concatenate([((votes * w[:, None]).T @ votes).ravel() for w in sides] + [[w.sum() for w in sides]])
+
+    def correlate(self, together: np.ndarray) -> None:
+        """Correlations within classes from all rows' ``together``, averaged by how often the voters fire in a class."""
+        n = len(self.side)
+        rho, fires = np.zeros((n, n)), np.full((n, n), 1e-9)
+        for both, rows in zip(together[:-2].reshape(2, n, n), together[-2:], strict=True):
+            if rows <= 0:
+                continue
+            fired = np.diag(both)
+            rate = fired / rows
+            spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-12))
+            phi = (both / rows - rate[:, None] * rate[None, :]) / (spread[:, None] * spread[None, :])
+            weight = fired[:, None] + fired[None, :]
+            rho += np.where(phi >= max(CORRELATED, SURE_CORRELATED / np.sqrt(rows)), np.minimum(phi, 1.0), 0.0) * weight
+            fires += weight
+        rho /= fires
+        np.fill_diagonal(rho, 0.0)
+        both = together[:-2].reshape(2, n, n).sum(axis=0)
+        self.rho = rho.astype(np.float32)
+        self.weights = 1 / (1 + (rho * both).sum(axis=1) / np.maximum(np.diag(both), 1e-9))
 
 
 def _unpacked(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,57 +190,41 @@ def _voted(voters: np.ndarray):
     return run
 
 
-def _together(n: int):
+def _summed(what: str, model: LabelModel):
+    """Sums over a task's rows of one of the model's statistics, where they are not zero."""
+
     def run(batches):
-        both = np.zeros((n, n))
+        out = 0.0
         for batch in batches:
-            votes, _, times = _unpacked(batch, n)
-            both += (votes * times[:, None]).T @ votes
-        at = np.flatnonzero(both)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(at), "m": pa.array(both.ravel()[at])})
+            out = out + getattr(model, what)(*_unpacked(batch, len(model.side)))
+        out = np.atleast_1d(out)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_pydict({"k": pa.array(at), "m": pa.array(out[at])})
 
     return run
 
 
-def _expected(model: LabelModel, n: int):
-    def run(batches):
-        out = np.zeros(2 * len(model.names) + 2)
-        for batch in batches:
-            votes, given, times = _unpacked(batch, n)
-            merged = model.merged(votes)
-            toxic = model.posterior(merged, given) * times
-            out += np.concatenate([merged.T @ toxic, merged.T @ (times - toxic), [toxic.sum(), times.sum()]])
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
-
-    return run
+def _statistic(what: str, model: LabelModel, patterns: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size)
+    for r in mapped(patterns, _summed(what, model), "k long, m double").groupBy("k").agg(F.sum("m").alias("m")).collect():
+        out[r["k"]] = r["m"]
+    return out
 
 
-def label_model(rows: DataFrame, voters: np.ndarray, toxic: int, known: int) -> LabelModel:
-    """Label model of all ``rows(text, toxic)``, by expectation maximisation that starts from the ``known`` labels.
+def label_model(rows: DataFrame, voters: np.ndarray, side: np.ndarray, share: float) -> LabelModel:
+    """Label model of all ``rows(text, toxic)``, by expectation maximisation that starts from the given labels.
 
-    Rows are brought down to their distinct vote patterns once; each step is one aggregation over these.
+    Rows are brought down to their distinct vote patterns once; each step is one aggregation over these. Correlations
+    come from the given labels first, and once more from the posteriors that the first run ends with.
     """
     n = len(voters)
     patterns = materialize(mapped(rows, _voted(voters), "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n")))
-    both = np.zeros(n * n)
-    for r in mapped(patterns, _together(n), "k long, m double").groupBy("k").agg(F.sum("m").alias("m")).collect():
-        both[r["k"]] = r["m"]
-    both = both.reshape(n, n)
-    fired = np.diag(both)
-    alike = both >= CORRELATED * (fired[:, None] + fired[None, :] - both)
-    group = np.arange(n)
-    for k in range(n):
-        group[k] = group[np.flatnonzero(alike[k])[0]] if alike[k].any() else k
-    model = LabelModel(group, (toxic + 1) / (known + 2))
-    for _ in range(EM_STEPS):
-        parts = mapped(patterns, _expected(model, n), "sums binary").collect()
-        sums = np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0)
-        on, off, (positive, total) = *np.split(sums[:-2], 2), sums[-2:]
-        before = model.on
-        model.on, model.off = (on + 0.5) / (positive + 1), (off + 0.5) / (total - positive + 1)
-        model.share = np.clip(positive / total, 1e-4, 1 - 1e-4)
-        if before is not None and np.abs(np.log(model.on / before)).max() < 1e-4:
-            break
+    model = LabelModel(side, share)
+    for _ in range(CORRELATION_ROUNDS):
+        model.correlate(_statistic("together", model, patterns, 2 * n * n + 2))
+        for _ in range(EM_STEPS):
+            if model.update(_statistic("sums", model, patterns, 2 * n + 4)) < 1e-3:
+                break
     return model
 
 
@@ -196,8 +234,8 @@ class Classifier:
         known = given >= 0
         start = np.zeros(len(columns))
         if model:
-            labels = model.posterior(model.merged(Matrix(rows, voters).dense()), given)
-            start[np.searchsorted(columns, voters)] = model.voter_odds()
+            labels = model.posterior(Matrix(rows, voters).dense(), given)
+            start[np.searchsorted(columns, voters)] = model.odds()
         else:
             labels = np.where(known, given, (weights * (given == 1)).sum() / max((weights * known).sum(), 1e-9))
         self.columns = columns
@@ -285,10 +323,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABEL
     neg = F.col("n") - F.col("pos")
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((neg + 0.5) / (n - toxic + 1))
     sure = F.abs(odds) / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (neg + 0.5))
-    chosen = counts.select("f", "pos", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") >= LEAST_SURE).orderBy(F.desc("sure"), "f").limit(FEATURES).collect()
-    leads = sorted((r for r in chosen if r["odds"] > LEAST_ODDS), key=lambda r: -r["odds"] * r["pos"] ** 0.5)[:VOTERS]
-    columns, voters = (np.sort(np.array([r["f"] for r in some], np.int64).view(np.uint64)) for some in (chosen, leads))
-    model = label_model(rows.select("text", "toxic"), voters, toxic, n) if len(voters) else None
+    chosen = counts.select("f", "n", "pos", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") >= LEAST_SURE).orderBy(F.desc("sure"), "f").limit(FEATURES).collect()
+    leads = [
+        *sorted((r for r in chosen if r["odds"] > LEAST_ODDS), key=lambda r: -r["odds"] * r["pos"] ** 0.5)[:VOTERS],
+        *sorted((r for r in chosen if r["odds"] < -CLEAN_ODDS), key=lambda r: r["odds"] * (r["n"] - r["pos"]) ** 0.5)[:CLEAN_VOTERS],
+    ]
+    columns, voters = (np.array([r["f"] for r in some], np.int64).view(np.uint64) for some in (chosen, leads))
+    order = np.argsort(voters)
+    columns, voters, side = np.sort(columns), voters[order], np.array([1 if r["odds"] > 0 else -1 for r in leads])[order]
+    model = label_model(rows.select("text", "toxic"), voters, side, (toxic + 1) / (n + 2)) if len(voters) else None
     shares = {c: min(1.0, most / max(sizes.get(c, 0), 1)) for c, most in ((1, labelled / 2), (0, labelled / 2), (-1, unlabelled))}
     level = max(shares[0], shares[1]) if min(shares[0], shares[1]) < 1 else 1.0
     share, weight = (F.when(F.col("toxic") == 1, F.lit(a)).when(F.col("toxic") == 0, F.lit(b)).otherwise(F.lit(c)) for a, b, c in (

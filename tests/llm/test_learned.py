@@ -1,7 +1,9 @@
 """Classifiers, mixing, and the pipeline."""
 
+import math
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,7 @@ from feedprofile.llm.bytestext import slices
 from feedprofile.llm.language import identify
 from feedprofile.llm.mixing import mix
 from feedprofile.llm.text_dedup import near_texts
-from feedprofile.llm.toxicity import fit, score_toxicity
+from feedprofile.llm.toxicity import CORRELATED, EM_STEPS, SURE_CORRELATED, fit, label_model, score_toxicity, text_features
 
 SYLLABLES = {"en": "the and ing er ou th ly", "de": "der sch ich ung keit ein", "fr": "eau le oi tion ê aux", "es": "ción ado os ña el ll"}
 
@@ -79,6 +81,99 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert (model.score(next(slices(new))) >= 0.5).mean() >= 0.9
 
 
+def plain_label_model(rows, side, share):
+    """The label model row by row, in plain Python: ``rows`` are (fired, given or -1)."""
+    n, on, off, trust = len(side), None, None, 0.95
+    rho = [[0.0] * n for _ in side]
+    weight = [1.0] * n
+
+    def posterior(fired, given):
+        if on is None:
+            return share if given < 0 else float(given)
+        score = math.log(share / (1 - share))
+        for i in range(n):
+            if fired[i]:
+                score += math.log(on[i] / off[i]) / (1 + sum(rho[i][j] for j in range(n) if fired[j]))
+            else:
+                score += weight[i] * math.log((1 - on[i]) / (1 - off[i]))
+        if given >= 0:
+            score += (1 if given else -1) * math.log(trust / (1 - trust))
+        return 1 / (1 + math.exp(-score))
+
+    for _ in range(2):
+        used = [(f, g, posterior(f, g)) for f, g in rows if on is not None or g >= 0]
+        for i in range(n):
+            for j in range(n):
+                top = below = 0.0
+                for side_of in (lambda p: p, lambda p: 1 - p):
+                    mass = sum(side_of(p) for _, _, p in used)
+                    a, b, c = (sum(side_of(p) for f, _, p in used if f[x] and f[y]) for x, y in ((i, i), (j, j), (i, j)))
+                    spread = math.sqrt(max(a / mass * (1 - a / mass), 1e-12) * max(b / mass * (1 - b / mass), 1e-12))
+                    phi = (c / mass - a * b / mass**2) / spread
+                    if phi >= max(CORRELATED, SURE_CORRELATED / math.sqrt(mass)):
+                        top += min(phi, 1.0) * (a + b)
+                    below += a + b
+                rho[i][j] = top / below if i != j and below else 0.0
+        meet = lambda i, j: sum(1 for f, _, _ in used if f[i] and f[j])
+        weight = [1 / (1 + sum(rho[i][j] * meet(i, j) for j in range(n)) / meet(i, i)) for i in range(n)]
+        for _ in range(EM_STEPS):
+            used = [(f, g, posterior(f, g)) for f, g in rows if on is not None or g >= 0]
+            total, positive = len(used), sum(p for _, _, p in used)
+            fired = [(sum(p for f, _, p in used if f[i]), sum(1 - p for f, _, p in used if f[i])) for i in range(n)]
+            known = [p if g else 1 - p for _, g, p in used if g >= 0]
+            before, on, off = on, [(a + 0.5) / (positive + 1) for a, _ in fired], [(b + 0.5) / (total - positive + 1) for _, b in fired]
+            for i in range(n):
+                if side[i] * (on[i] - off[i]) < 0:
+                    on[i] = off[i] = (sum(fired[i]) + 0.5) / (total + 1)
+            share, trust = positive / total, (sum(known) + 95) / (len(known) + 100)
+            if before and max(abs(math.log(x / y)) for x, y in zip(on, before, strict=True)) < 1e-3:
+                break
+    return on, off, share, trust, rho
+
+
+def test_label_model_is_that_of_plain_python(spark):
+    """Voters of both sides, copies of a voter, one that fires at random, rows without labels, empty and null texts."""
+    rnd = random.Random(4)
+    words = ["bad", "badly", "nice", "kind", "vile", "noise"]
+    rows = []
+    for k in range(240):
+        toxic = rnd.random() < 0.3
+        bad = rnd.random() < (0.7 if toxic else 0.05)
+        fires = [bad, bad and rnd.random() < 0.95, rnd.random() < (0.1 if toxic else 0.6), rnd.random() < (0.2 if toxic else 0.5), rnd.random() < (0.4 if toxic else 0.02), rnd.random() < 0.3]
+        given = -1 if k % 3 == 0 else int(toxic if rnd.random() < 0.97 else not toxic)
+        rows.append((" ".join(w for w, f in zip(words, fires, strict=True) if f), given))
+    rows += [("", -1), (None, -1), ("x " * 40_000 + "bad", 1)]
+    hashes = [text_features(next(slices(pa.array([w]))))[0] for w in words]
+    # a hash that no other word has stands for the word
+    own = np.array([next(int(h) for h in x if all(h not in y for y in hashes if y is not x)) for x in hashes], np.uint64)
+    order = np.argsort(own)
+    side = np.array([1, 1, -1, -1, 1, 1])[order]
+    table = spark.createDataFrame(rows, "text string, toxic int").repartition(3)
+    model = label_model(table, own[order], side, 0.3)
+    plain = [([words[i] in (t or "").split() for i in order], g) for t, g in rows]
+    on, off, share, trust, rho = plain_label_model(plain, side, 0.3)
+    assert model.on == pytest.approx(on, rel=1e-4) and model.off == pytest.approx(off, rel=1e-4)
+    assert (model.share, model.trust) == pytest.approx((share, trust), rel=1e-4)
+    assert model.rho == pytest.approx(np.array(rho), abs=1e-4)
+    at = {words[i]: k for k, i in enumerate(order)}
+    assert model.rho[at["bad"], at["badly"]] > 0.5 and model.rho[at["nice"], at["vile"]] == 0
+    assert model.odds()[at["nice"]] < -0.5 < 0.5 < model.odds()[at["vile"]]
+
+
+def test_toxicity_has_voters_for_clean_texts(spark):
+    """Where some words mark clean texts, they vote for these; columns named as the new ones are replaced."""
+    rnd = random.Random(12)
+    rows = []
+    for k in range(600):
+        words = text(rnd, "en", 12).split()
+        words[rnd.randrange(12)] = "numskull" if k % 3 == 0 else "please"
+        rows.append((k, " ".join(words), 5.0))
+    docs = spark.createDataFrame(rows + [(600, "word " * 50_000 + "please", 5.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(0, 600, 2)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(docs, labels, F.lit(True)).collect()}
+    assert len(got) == 601 and all((got[k] >= 0.5) == (k % 3 == 0) for k in range(600)) and got[600] < 0.5
+
+
 def water_fill(sizes, weights, most=3):
     total, capped = sum(sizes), set()
     while True:
