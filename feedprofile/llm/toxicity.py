@@ -127,16 +127,16 @@ class LabelModel:
         return times if self.on is not None else times * (given >= 0)
 
     def sums(self, votes: np.ndarray, given: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """What ``update`` needs of some rows; sums of several lots add up."""
+        """What ``update`` needs of some rows, as one line; those of several lots add up."""
         toxic, times = self.posterior(votes, given), self.counted(given, times)
         known = times * (given >= 0)
         agreed = known * np.where(given == 1, toxic, 1 - toxic)
-        return np.concatenate([votes.T @ (toxic * times), votes.T @ ((1 - toxic) * times), [(toxic * times).sum(), times.sum(), agreed.sum(), known.sum()]])
+        return np.concatenate([votes.T @ (toxic * times), votes.T @ ((1 - toxic) * times), [(toxic * times).sum(), times.sum(), agreed.sum(), known.sum()]])[None, :]
 
     def update(self, sums: np.ndarray) -> float:
         """Take rates, trust and share from all rows' sums; the largest change of a log rate."""
-        on, off = np.split(sums[:-4], 2)
-        positive, total, agreed, known = sums[-4:]
+        on, off = np.split(sums[0, :-4], 2)
+        positive, total, agreed, known = sums[0, -4:]
         before = self.on
         self.on, self.off = (on + 0.5) / (positive + 1), (off + 0.5) / (total - positive + 1)
         # a voter does not speak against its own side
@@ -147,16 +147,18 @@ class LabelModel:
         return np.inf if before is None else float(np.abs(np.log(self.on / before)).max())
 
     def together(self, votes: np.ndarray, given: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """Toxic and clean rows in which both of two voters fire, and all rows of a class at the end."""
+        """For each voter a line with the toxic, then the clean rows in which it fires with each voter; all rows' lines at the end."""
         toxic, times = self.posterior(votes, given), self.counted(given, times)
         sides = [toxic * times, (1 - toxic) * times]
-        return np.concatenate([((votes * w[:, None]).T @ votes).ravel() for w in sides] + [[w.sum() for w in sides]])
+        every = np.concatenate([votes, np.ones((len(votes), 1), np.float32)], axis=1)
+        return np.concatenate([(every * w[:, None]).T @ votes for w in sides] + [(every * w[:, None]).sum(axis=0)[:, None] for w in sides], axis=1)
 
     def correlate(self, together: np.ndarray) -> None:
         """Correlations within classes from all rows' ``together``, averaged by how often the voters fire in a class."""
         n = len(self.side)
         rho, fires = np.zeros((n, n)), np.full((n, n), 1e-9)
-        for both, rows in zip(together[:-2].reshape(2, n, n), together[-2:], strict=True):
+        sides = np.stack([together[:n, :n], together[:n, n : 2 * n]])
+        for both, rows in zip(sides, together[n, -2:], strict=True):
             if rows <= 0:
                 continue
             fired = np.diag(both)
@@ -168,7 +170,7 @@ class LabelModel:
             fires += weight
         rho /= fires
         np.fill_diagonal(rho, 0.0)
-        both = together[:-2].reshape(2, n, n).sum(axis=0)
+        both = sides.sum(axis=0)
         self.rho = rho.astype(np.float32)
         self.weights = 1 / (1 + (rho * both).sum(axis=1) / np.maximum(np.diag(both), 1e-9))
 
@@ -191,24 +193,28 @@ def _voted(voters: np.ndarray):
 
 
 def _summed(what: str, model: LabelModel):
-    """Sums over a task's rows of one of the model's statistics, where they are not zero."""
+    """One of the model's statistics over a task's rows, a row for each of its lines."""
 
     def run(batches):
-        out = 0.0
+        out = None
         for batch in batches:
-            out = out + getattr(model, what)(*_unpacked(batch, len(model.side)))
-        out = np.atleast_1d(out)
-        at = np.flatnonzero(out)
-        yield pa.RecordBatch.from_pydict({"k": pa.array(at), "m": pa.array(out[at])})
+            more = getattr(model, what)(*_unpacked(batch, len(model.side)))
+            out = more if out is None else out + more
+        if out is not None:
+            yield pa.RecordBatch.from_pydict({"line": pa.array(np.arange(len(out))), "m": pa.array([x.tobytes() for x in out], pa.binary())})
 
     return run
 
 
-def _statistic(what: str, model: LabelModel, patterns: DataFrame, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    for r in mapped(patterns, _summed(what, model), "k long, m double").groupBy("k").agg(F.sum("m").alias("m")).collect():
-        out[r["k"]] = r["m"]
-    return out
+def _added(lines: pd.DataFrame) -> pd.DataFrame:
+    out = np.sum([np.frombuffer(x) for x in lines["m"]], axis=0)
+    return pd.DataFrame({"line": lines["line"].iloc[:1], "m": [out.tobytes()]})
+
+
+def _statistic(what: str, model: LabelModel, patterns: DataFrame) -> np.ndarray:
+    """One of the model's statistics over all rows; tasks' lines are added up in Spark, so the driver gets each once."""
+    added = mapped(patterns, _summed(what, model), "line long, m binary").groupBy("line").applyInPandas(_added, "line long, m binary")
+    return np.stack([np.frombuffer(r["m"]) for r in sorted(added.collect())])
 
 
 def label_model(rows: DataFrame, voters: np.ndarray, side: np.ndarray, share: float) -> LabelModel:
@@ -217,13 +223,12 @@ def label_model(rows: DataFrame, voters: np.ndarray, side: np.ndarray, share: fl
     Rows are brought down to their distinct vote patterns once; each step is one aggregation over these. Correlations
     come from the given labels first, and once more from the posteriors that the first run ends with.
     """
-    n = len(voters)
     patterns = materialize(mapped(rows, _voted(voters), "votes binary, toxic int").groupBy("votes", "toxic").agg(F.count("*").alias("n")))
     model = LabelModel(side, share)
     for _ in range(CORRELATION_ROUNDS):
-        model.correlate(_statistic("together", model, patterns, 2 * n * n + 2))
+        model.correlate(_statistic("together", model, patterns))
         for _ in range(EM_STEPS):
-            if model.update(_statistic("sums", model, patterns, 2 * n + 4)) < 1e-3:
+            if model.update(_statistic("sums", model, patterns)) < 1e-3:
                 break
     return model
 
