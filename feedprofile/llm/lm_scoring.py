@@ -42,6 +42,7 @@ TOGETHER_BYTES, SORTED_BYTES = 32 << 20, 2 << 20
 #: About so many bytes of text are scored at once.
 SCORED_BYTES = 1 << 20
 WORDS, SHORT, TEXTS, BYTES = 0, 1, 2, 3
+MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Marks grams of texts that are not learned from while they are counted.
 _OTHER, _GRAM = np.uint64(1 << 56), np.uint64((1 << 56) - 1)
 
@@ -392,9 +393,10 @@ def score_texts(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:
     A text's tokens are its words, A-Z lower-cased, and one end. ``base_score`` adds log10((c + 0.5) / (N + 0.5 (V + 1)))
     over them; ``score`` is the byte model's log10 probability of the text as it stands and its end. A null text is
     empty, that is one end. Repeated rows count and are scored each. Without training rows every token is unknown and
-    bytes are equally likely. An empty table gives no rows.
+    bytes are equally likely. Columns in ``keep`` that are named as the new ones are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    own = {c: f"_keep{k}" for k, c in enumerate(keep) if c not in MADE}
     marked = docs.select("text", F.coalesce(learn, F.lit(False)).alias("_learn"))
     counted = mapped(marked.where("_learn").select("text"), _counted, "kind int, key long, c long")
     counted = materialize(counted.repartition("kind", "key").groupBy("kind", "key").agg(F.sum("c").alias("c")))
@@ -410,8 +412,8 @@ def score_texts(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:
     least_gram = _least(values, "c", HOT_GRAMS)
     hot_grams = spark.sparkContext.broadcast(_frequent(values.where(F.col("c") >= least_gram), "key", "p"))
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _row long, _words long, _known long, _logs double, _rare array<long>, _sum double, _grams array<long>"
-    drawn = materialize(mapped(docs.select(*{*keep, "text"}), _scored(hot_grams, hot, keep), schema))
+    schema = "".join(f"{k} {kinds[c]}, " for c, k in own.items()) + "_row long, _words long, _known long, _logs double, _rare array<long>, _sum double, _grams array<long>"
+    drawn = materialize(mapped(docs.select("text", *[F.col(c).alias(k) for c, k in own.items()]), _scored(hot_grams, hot, list(own.values())), schema))
     rare = drawn.select("_row", F.explode("_rare").alias("h")).groupBy("_row", "h").agg(F.count("*").alias("m"))
     cold = words.where(F.col("c") < least)
     found = rare.join(cold, "h").groupBy("_row").agg(F.sum("m").alias("_n"), F.sum(F.col("m") * F.log10(F.col("c") + 0.5)).alias("_l"))
@@ -424,6 +426,6 @@ def score_texts(docs: DataFrame, learn: Column, keep: list[str]) -> DataFrame:
     seen = F.col("_known") + F.coalesce("_n", none)
     base = F.col("_logs") + F.coalesce("_l", F.lit(0.0)) + (F.col("_words") - seen) * float(np.log10(0.5)) + end - n * below
     return drawn.join(found, "_row", "left").join(left, "_row", "left").select(
-        *keep, n.cast("long").alias("n_tokens"), (seen + (1 if texts else 0)).cast("long").alias("n_known"),
+        *[F.col(k).alias(c) for c, k in own.items()], n.cast("long").alias("n_tokens"), (seen + (1 if texts else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("_sum") + F.coalesce("_p", F.lit(0.0))).alias("score"),
     )
