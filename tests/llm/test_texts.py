@@ -236,7 +236,7 @@ def brute_terms(texts):
         held[t] = set()
         for a, _, kind, b in spans:
             digits = re.sub("[^0-9]", "", t[a:b])
-            group = {"email": t[a:b].lower().split("@")[1], "ip": ".".join(t[a:b].split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
+            group = {"email": t[a:b].lower().split("@")[-1], "ip": ".".join(t[a:b].split(".")[:2]), "card": digits[:6], "phone": digits[:4]}[kind]
             held[t] |= {kind, f"{kind}~{group}", f"{kind}={t[a:b].lower()}"}
     df_entity = collections.Counter(e for t in differing for e in held[t])
     df_term = collections.Counter(w for t in differing for w in {x.lower() for x in re.findall(r"[^\W\d_]{3,}", t)})
