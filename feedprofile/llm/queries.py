@@ -88,6 +88,27 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.quality import score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = score_quality(docs, labels, learn=fold(4) != 2, keep=["doc_id"])
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedprofile.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_text_dedup": op2_text_dedup,
@@ -99,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vector_dedup": op8_vector_dedup,
     "op9_top_k": op9_top_k,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_quality": op12_quality,
+    "op13_whitening": op13_whitening,
 }
 
 _OP2_SQL = r"""
