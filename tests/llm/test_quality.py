@@ -11,7 +11,9 @@ from feedprofile.llm import quality
 from feedprofile.llm.bytestext import slices
 from feedprofile.llm.quality import Bags, encode, minimise, score_quality
 
-LEARN = F.col("doc_id") % 4 != 2
+def learn():
+    return F.col("doc_id") % 4 != 2
+
 
 
 def test_gradient_equals_finite_differences():
@@ -83,7 +85,7 @@ def test_held_out_accuracy_and_edges(spark):
     rows, labels = documents()
     odd = [(1000, None), (1001, ""), (1002, "word " * 30_000), (None, rows[0][1]), (rows[5][0], rows[5][1])]
     docs = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("y", "h", "weight", "x", "score")})
-    got = score_quality(docs, spark.createDataFrame([*labels, (0, 1), (3, None), (None, 1)], "doc_id long, quality int"), LEARN).collect()
+    got = score_quality(docs, spark.createDataFrame([*labels, (0, 1), (3, None), (None, 1)], "doc_id long, quality int"), learn()).collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
     truth = dict(labels)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] % 4 == 2 and r["doc_id"] < 420]
@@ -95,6 +97,6 @@ def test_tables_that_teach_nothing(spark):
     rows, labels = documents()
     docs = spark.createDataFrame(rows[:8], "doc_id long, text string")
     marks = lambda some: spark.createDataFrame(some, "doc_id long, quality int")
-    assert {r["score"] for r in score_quality(docs, marks([]), LEARN).collect()} == {0.5}
-    assert {r["score"] for r in score_quality(docs, marks([(k, 1) for k in range(8)]), LEARN).collect()} == {6.5 / 7}
-    assert score_quality(docs.limit(0), marks(labels), LEARN).count() == 0
+    assert {r["score"] for r in score_quality(docs, marks([]), learn()).collect()} == {0.5}
+    assert {r["score"] for r in score_quality(docs, marks([(k, 1) for k in range(8)]), learn()).collect()} == {6.5 / 7}
+    assert score_quality(docs.limit(0), marks(labels), learn()).count() == 0

@@ -58,6 +58,7 @@ def docs():
     for k in range(150):
         words = rnd.choices(stems, [1 / (i + 1) for i in range(60)], k=rnd.randint(0, 120))
         out.append((k, rnd.choice(" ,-\n7").join(w.title() if rnd.random() < 0.2 else w for w in words)))
+    out += [(300 + k, "chainaaa " * 40 + "chainaab " * 6 + "chainabb") for k in range(40)]
     return [*out, out[7], out[7], (None, "ababab " * 9), (200, None), (201, ""), (202, "ab" * 50_000), (203, " ".join(["ab" * 900] * 6 + ["ab" * 900 + "c"] * 30))]
 
 
