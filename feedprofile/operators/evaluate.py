@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedprofile.sources.feeds import last_wins
+
 Hit = Callable[[Column, Column], Column]
 
 
@@ -64,8 +66,14 @@ def unknown_classes(rows: DataFrame, column: str, codes: Mapping[str, int]) -> D
     return rows.where(F.col(column).isNotNull() & ~F.col(column).isin(*codes)).groupBy(column).agg(F.count("*").alias("n"))
 
 
-def join_truth(predictions: DataFrame, truth: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:
-    """Predictions with their truth; with ``strict``, a predicted id without truth is an error."""
+def join_truth(predictions: DataFrame, truth: DataFrame, key: str = "id", strict: bool = False, position: str | None = None) -> DataFrame:
+    """Predictions with their truth; with ``strict``, a predicted id without truth is an error.
+
+    Ids are unique on both sides, as readers of files make them; where they aren't, ``position`` names the column of both
+    sides by which the last row of an id wins.
+    """
+    if position is not None:
+        predictions, truth = (last_wins(rows, key, position).drop(position) for rows in (predictions, truth))
     if strict and not predictions.join(truth, key, "left_anti").isEmpty():
         raise ValueError("predictions hold ids that the truth lacks")
     return predictions.join(truth, key)

@@ -11,7 +11,7 @@ from feedprofile.functions import text, traits
 from feedprofile.operators import distributions, entity, evaluate, features, ranking, stats
 from feedprofile.plans import bindings, sql_literals
 from feedprofile.plans.bindings import DIMENSIONS, table
-from feedprofile.sources import feeds
+from feedprofile.sources import feeds, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,6 +113,46 @@ def label_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.last_wins(rows, "id", "doc_id")
 
 
+def _as_files(rows: DataFrame, order: str, line) -> str:
+    """Rows as JSON lines in several files, whose names and lines follow ``order``."""
+    path = shared.scratch(rows.sparkSession)
+    rows.repartitionByRange(8, order).sortWithinPartitions(order).select(line.alias("value")).write.text(path)
+    return path
+
+
+_REPEATED = "doc_id // 4 * 2 + doc_id % 2"
+
+
+@query(f"""SELECT id, gender, birthyear FROM (
+  SELECT {_REPEATED} AS id, quality::varchar AS gender, (1940 + n_chars % 70)::integer AS birthyear, row_number() OVER (PARTITION BY {_REPEATED} ORDER BY doc_id DESC) AS k
+  FROM labels JOIN documents USING (doc_id)) WHERE k = 1""")
+def labels_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as files with repeated ids, read back: the last line of an id wins, across files too."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    line = F.to_json(F.struct(F.expr("doc_id DIV 4 * 2 + doc_id % 2").alias("id"), F.col("quality").cast("string").alias("gender"), bindings.birthyear().alias("birthyear")))
+    return feeds.read_labels(spark, _as_files(rows, "doc_id", line)).select("id", "gender", "birthyear")
+
+
+@query(f"""WITH lines AS (
+  SELECT doc_id, {_REPEATED} AS id, quality AS truth, CASE WHEN n_chars % 4 = 0 THEN 1 - quality ELSE quality END AS pred FROM labels JOIN documents USING (doc_id)
+), truth AS (
+  SELECT id, arg_max(truth, doc_id) AS t FROM lines GROUP BY id
+), pred AS (
+  SELECT id, arg_max(pred, -doc_id) AS p FROM lines GROUP BY id
+), pairs AS (SELECT t, p FROM truth JOIN pred USING (id))
+SELECT 'gender' AS trait, c::varchar AS "class", n_truth, coalesce(n_pred, 0) AS n_pred, n_hit, coalesce(n_hit::double / n_pred, 0) AS "precision", n_hit::double / n_truth AS recall
+FROM (SELECT t AS c, count(*) AS n_truth, count(*) FILTER (p = t) AS n_hit FROM pairs GROUP BY t) LEFT JOIN (SELECT p AS c, count(*) AS n_pred FROM pairs GROUP BY p) USING (c)""")
+def eval_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions and truth as files with repeated ids; predictions are written in the opposite order."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").withColumn("back", -F.col("doc_id"))
+    known = F.expr("doc_id DIV 4 * 2 + doc_id % 2").alias("id")
+    guess = F.when(F.col("n_chars") % 4 == 0, 1 - F.col("quality")).otherwise(F.col("quality")).cast("string")
+    truth = feeds.read_predictions(spark, _as_files(rows, "doc_id", F.to_json(F.struct(known, F.col("quality").cast("string").alias("gender")))))
+    guesses = feeds.read_predictions(spark, _as_files(rows, "back", F.to_json(F.struct(known, guess.alias("gender")))))
+    pairs = evaluate.join_truth(guesses.select("id", F.col("gender").alias("pred_gender")), truth.select("id", F.col("gender").alias("true_gender")), strict=True)
+    return evaluate.class_counts(pairs, {"gender": evaluate.exact_hit})
+
+
 @query(f"SELECT age_band, count(*) AS n FROM (SELECT {_BAND} AS age_band FROM (SELECT 1940 + n_chars % 70 AS birthyear FROM documents)) GROUP BY age_band")
 def age_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(traits.age_band(bindings.birthyear()).alias("age_band"))

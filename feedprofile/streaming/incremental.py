@@ -12,6 +12,7 @@ from feedprofile.functions.text import posts_of
 from feedprofile.operators.entity import COUNTS, entity_counts, labelled
 from feedprofile.operators.stats import profile_stats
 from feedprofile.sources.feeds import MEMBER_FEED
+from feedprofile.sources.shared import kept
 
 
 def stream_feeds(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -19,9 +20,9 @@ def stream_feeds(spark: SparkSession, folder: str, files_per_trigger: int = 100)
 
 
 def streaming_stats(feeds: DataFrame, labels: DataFrame, dimensions: Sequence[str]) -> DataFrame:
-    """Grouped sums of a stream of feeds; state is one row for each group."""
+    """Grouped sums of a stream of feeds; state is one row for each group. Labels are read once, as the stream is set up."""
     posts = feeds.select("id", posts_of(F.col("text")).alias("posts"))
-    return profile_stats(entity_counts(labelled(posts, labels)), dimensions, COUNTS)
+    return profile_stats(entity_counts(labelled(posts, kept(labels))), dimensions, COUNTS)
 
 
 def run_available(stats: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
