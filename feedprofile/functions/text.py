@@ -88,9 +88,13 @@ def assemble(members: Column, most_members: int = 10, most_posts: int = 10_000)
     return F.array_join(joined, " <eofollower> ")
 
 
-def ngrams(text: Column) -> Column:
-    """Words of two characters or more, and pairs of neighbours among them."""
-    words = F.regexp_extract_all(text, F.lit(WORD + "{2,}"), F.lit(0))
+def long_words(text: Column) -> Column:
+    """Words of two characters or more, in order."""
+    return F.regexp_extract_all(text, F.lit(WORD + "{2,}"), F.lit(0))
+
+
+def ngrams_of(words: Column) -> Column:
+    """Words, and pairs of neighbours among them."""
     n = F.size(words)
     pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.concat(words, pairs)

@@ -2,33 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedprofile.functions import text
+from feedprofile.sources.shared import kept
 
 MIN_DF, MAX_FEATURES = 3, 10_000
+#: Buckets of the filter, which bounds what it broadcasts, and the documents that suggest frequent terms: a share, and some at least.
+BUCKETS, SAMPLE_SHARE, SAMPLE_DOCUMENTS = 1 << 20, 0.01, 500
+#: Documents from which on the filter is used by default.
+FILTERED_FROM = 1_000_000
 
 
-def vocabulary(documents: DataFrame, min_df: int = MIN_DF, most: int = MAX_FEATURES, document: str = "document") -> DataFrame:
-    """The most frequent terms of enough documents, ties by term: ``(term, tf, df)``.
+def word_table(documents: DataFrame, document: Column | None = None) -> DataFrame:
+    """``documents`` with the words of their text, ``words``, in its place. The text work is done once and kept for all passes that follow."""
+    given = F.col("document") if document is None else document
+    return kept(documents.withColumn("words", text.long_words(given)).drop("document"))
 
-    Each document gives its terms, and once more its differing ones; tasks sum both, so that one row for each term leaves them.
-    """
-    each = documents.select(text.ngrams(F.col(document)).alias("terms"))
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def term_counts(rows: DataFrame) -> DataFrame:
+    """Rows ``(term, tf, df)``: each row of ``rows(words)`` gives its terms, and once more its differing ones; tasks sum both first."""
+    each = rows.select(text.ngrams_of(F.col("words")).alias("terms"))
     all_terms = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
     differing = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-    terms = each.select(F.inline(F.concat(all_terms, differing))).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    return terms.where(F.col("df") >= min_df).orderBy(F.desc("tf"), F.asc("term")).limit(most)
+    return each.select(F.inline(F.concat(all_terms, differing)))
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
+def _top(counts: DataFrame, min_df: int, most: int) -> DataFrame:
+    return counts.where(F.col("df") >= min_df).orderBy(F.desc("tf"), F.asc("term")).limit(most)
+
+
+def heavy_buckets(words: DataFrame, min_df: int, most: int, seed: int = 5) -> DataFrame:
+    """Buckets of terms, ``(bucket)``, outside of which no term can be among the most frequent ``most``.
+
+    A sample suggests terms. One pass then counts these exactly and of all others only sums by bucket, so that a task
+    shuffles a number for each bucket and suggested term, however many terms there are. The count of the last of the
+    best ``most`` suggested terms is a floor: the true last one is at least as frequent, and a bucket below the floor,
+    or with fewer documents than ``min_df``, can't hold it.
+    """
+    n = words.count()
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCUMENTS / max(n, 1)))
+    likely = _top(_summed(term_counts(words.sample(share, seed) if share < 1 else words)), 1, 2 * most)
+    known = kept(likely.select("term", F.lit(True).alias("known")))  # at most twice the vocabulary
+    marked = term_counts(words).join(F.broadcast(known), "term", "left").select(_bucket(F.col("term")).alias("bucket"), F.when(F.col("known"), F.col("term")).alias("term"), "tf", "df")
+    sums = kept(marked.groupBy("bucket", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")))
+    least = _top(sums.where("term IS NOT NULL"), min_df, most).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
+    floor = least["tf"] if least["n"] == most else min_df
+    return sums.groupBy("bucket").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).where((F.col("tf") >= floor) & (F.col("df") >= min_df)).select("bucket")
+
+
+def vocabulary(words: DataFrame, min_df: int = MIN_DF, most: int = MAX_FEATURES, filtered: bool | None = None) -> DataFrame:
+    """The most frequent terms of enough documents, ties by term: ``(term, tf, df)``.
+
+    With ``filtered``, terms that can't be among them are left out before terms are shuffled (``heavy_buckets``), which
+    costs a pass and pays where a task holds more differing terms than there are buckets; by default that is done from
+    FILTERED_FROM documents on. The result is exact either way.
+    """
+    if words.limit(FILTERED_FROM).count() == FILTERED_FROM if filtered is None else filtered:
+        heavy = kept(heavy_buckets(words, min_df, most))
+        # at most BUCKETS whole numbers
+        some = term_counts(words).withColumn("bucket", _bucket(F.col("term"))).join(F.broadcast(heavy), "bucket", "left_semi")
+        return _top(_summed(some), min_df, most)
+    return _top(_summed(term_counts(words)), min_df, most)
 
 
-def tfidf(documents: DataFrame, terms: DataFrame, n_documents: int, key: str = "id", document: str = "document") -> DataFrame:
+def tfidf(words: DataFrame, terms: DataFrame, n_documents: int, key: str = "id") -> DataFrame:
     """Rows ``(id, term, weight)``: counts times ln((1 + n) / (1 + df)) + 1, scaled to length one per document.
 
-    The vocabulary has at most MAX_FEATURES rows, so it is broadcast; other terms go before anything is shuffled.
+    The vocabulary has at most MAX_FEATURES rows, so it is broadcast; other terms go before anything is shuffled. One
+    exchange by document serves the counts and the lengths.
     """
     idf = terms.select("term", (F.log((F.lit(1.0) + n_documents) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-    found = documents.select(key, F.explode(text.ngrams(F.col(document))).alias("term")).join(F.broadcast(idf), "term")
-    raw = found.groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("w"))
+    found = words.select(key, F.explode(text.ngrams_of(F.col("words"))).alias("term")).join(F.broadcast(idf), "term")
+    raw = found.repartition(key).groupBy(key, "term").agg((F.count("*") * F.first("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))

@@ -356,15 +356,33 @@ _TERMS = f"""{_NORMAL}, words AS (
 
 @query(f"{_TERMS} SELECT term, tf, df FROM vocabulary")
 def vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.vocabulary(_documents(spark, sf_dir))
+    return features.vocabulary(features.word_table(_documents(spark, sf_dir)))
+
+
+@query(f"{_TERMS} SELECT term, tf, df FROM vocabulary")
+def vocabulary_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vocabulary by the way of large corpora: terms of light buckets go before any term is shuffled."""
+    return features.vocabulary(features.word_table(_documents(spark, sf_dir)), filtered=True)
 
 
 @query(f"""{_TERMS}, n AS (SELECT count(*) AS n FROM documents), raw AS (
   SELECT c.id, c.term, c.tf * (ln((1 + n.n)::double / (1 + v.df)) + 1) AS w FROM counts c JOIN vocabulary v ON v.term = c.term, n
 ) SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw""")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return features.tfidf(docs, features.vocabulary(docs), table(spark, sf_dir, "documents").count())
+    words = features.word_table(_documents(spark, sf_dir))
+    return features.tfidf(words, features.vocabulary(words), words.count())
+
+
+_LEARNED = ("quality", "lang", "birthyear")
+
+
+def _taught(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as words, and the labelled ones with their traits."""
+    from feedprofile.operators.model import prepared
+
+    words = prepared(_raw_documents(spark, sf_dir).select("id", "document"), "normalise")
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", traits.birthyear_class(bindings.birthyear()).alias("birthyear"))
+    return words, words.join(known, "id").join(bindings.labels(spark, sf_dir), "id").select("id", "words", *_LEARNED)
 
 
 @query()
@@ -372,11 +390,27 @@ def predicted_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifiers learned on labelled documents predict the traits of all documents."""
     from feedprofile.operators.model import fit_profiler
 
-    docs = _raw_documents(spark, sf_dir)
-    known = docs.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", traits.birthyear_class(bindings.birthyear()).alias("birthyear")), "id")
-    train = known.join(bindings.labels(spark, sf_dir), "id")
-    profiler = fit_profiler(train.select("id", "document", "quality", "lang", "birthyear"), ("quality", "lang", "birthyear"), max_iter=30, preprocessor="normalise")
-    return profiler.predict(docs)
+    words, train = _taught(spark, sf_dir)
+    return fit_profiler(train, _LEARNED, preprocessor="normalise").predict(words)
+
+
+@query(f"""WITH known AS (
+  SELECT quality::varchar AS quality, lang, ({_CLASS})::varchar AS birthyear FROM (SELECT doc_id, quality FROM labels) JOIN (SELECT doc_id, lang, (1940 + n_chars % 70)::integer AS birthyear FROM documents) USING (doc_id)
+), classes AS (
+  SELECT 'quality' AS trait, quality AS "class" FROM known UNION ALL SELECT 'lang', lang FROM known UNION ALL SELECT 'birthyear', birthyear FROM known
+) SELECT trait, "class", count(*) AS documents, count(*) AS expected, 0.0::double AS gradient FROM classes WHERE "class" IS NOT NULL GROUP BY trait, "class" """)
+def trait_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificate that the learned weights are the optimum: expected class sizes equal the true ones, and the gradient is nought, to two decimals."""
+    from feedprofile.operators.model import fit_profiler, model_weights, optimality
+
+    _, train = _taught(spark, sf_dir)
+    train = shared.kept(train)
+    profiler = fit_profiler(train, _LEARNED, max_iter=200, preprocessor="normalise")
+    n = train.count()
+    vocabulary = model_weights(profiler)[0].select("term", ((1.0 + n) / F.exp(F.col("idf") - 1) - 1).alias("df"))
+    rows = shared.kept(features.tfidf(train, vocabulary, n))
+    found = optimality(profiler, train.select("id", *_LEARNED), rows)
+    return found.select("trait", "class", "documents", F.round("expected").cast("long").alias("expected"), F.abs(F.round("gradient", 2)).alias("gradient"))
 
 
 # ---- evaluation and previews

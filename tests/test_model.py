@@ -26,10 +26,11 @@ def test_fit_predict_save_load(spark, tmp_path):
 
 def test_tfidf_rows_have_length_one(spark):
     docs = documents(spark)
-    terms = features.vocabulary(docs, 3, 50)
+    words = features.word_table(docs)
+    terms = features.vocabulary(words, 3, 50)
     assert terms.count() <= 50
     assert {r["term"]: (r["tf"], r["df"]) for r in terms.collect()}["ball goal"] == (sum(1 + k % 3 for k in range(1, 40, 2)), 20)
-    lengths = features.tfidf(docs, terms, 40).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s"))
+    lengths = features.tfidf(words, terms, 40).groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s"))
     assert lengths.where(F.abs(F.col("s") - 1) > 1e-9).count() == 0 and lengths.count() == 40
 
 
