@@ -11,7 +11,7 @@ from feedprofile.functions import text, traits
 from feedprofile.operators import distributions, entity, evaluate, features, ranking, stats
 from feedprofile.plans import bindings, sql_literals
 from feedprofile.plans.bindings import DIMENSIONS, table
-from feedprofile.sources import feeds, shared
+from feedprofile.sources import feeds, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -252,12 +252,24 @@ _LONG = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS \"group\", '{m}'
     min(value) FILTER (value BETWEEN q1 - 1.5::double * (q3 - q1) AND q3 + 1.5::double * (q3 - q1)) AS lo,
     max(value) FILTER (value BETWEEN q1 - 1.5::double * (q3 - q1) AND q3 + 1.5::double * (q3 - q1)) AS hi,
     count(*) FILTER (NOT value BETWEEN q1 - 1.5::double * (q3 - q1) AND q3 + 1.5::double * (q3 - q1)) AS n_outliers
-  FROM long l JOIN boxes b ON l.dimension = b.dimension AND l."group" = b."group" AND l.metric = b.metric GROUP BY ALL
+  FROM long l JOIN boxes b ON l.dimension = b.dimension AND l."group" IS NOT DISTINCT FROM b."group" AND l.metric = b.metric GROUP BY ALL
 ) SELECT dimension, "group", metric, n, q1, med, q3, least(coalesce(lo, q1), q1) AS whisker_lo, greatest(coalesce(hi, q3), q3) AS whisker_hi, n_outliers FROM ends""")
 def entity_box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.box_stats(entity.rates(_entities(spark, sf_dir)), DIMENSIONS, _METRICS)
 
 
+@query(f"""WITH {_ENTITIES}, long AS ({_LONG})
+SELECT dimension, "group", metric, count(*) AS n, min(value) AS lo, max(value) AS hi, true AS q1_ok, true AS med_ok, true AS q3_ok FROM long GROUP BY dimension, "group", metric""")
+def merged_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distributions stored by split and merged from their state; quartiles must have their ranks within the stated error."""
+    people = shared.kept(entity.rates(_entities(spark, sf_dir)).withColumn("split", F.element_at(F.array(*[F.lit(x) for x in feeds.SPLITS]), (F.col("id") % 3 + 1).cast("int"))))
+    path = shared.scratch(spark)
+    sinks.write_table(distributions.sketches(people, DIMENSIONS, _METRICS, by=["split"]), path, ["split"])
+    state = shared.kept(distributions.merge_sketches(*[spark.read.parquet(path).where(F.col("split") == x).drop("split") for x in feeds.SPLITS]))
+    checked = distributions.rank_check(people, distributions.sketched_boxes(state), DIMENSIONS, _METRICS, distributions.rank_error())
+    return distributions.beside(state, checked).select(*distributions.KEYS, "n", "lo", "hi", "q1_ok", "med_ok", "q3_ok")
+
+
 _SPLIT = "CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'supplement' ELSE 'test' END"
 
 
