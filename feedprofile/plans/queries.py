@@ -11,7 +11,7 @@ from feedprofile.functions import text, traits
 from feedprofile.operators import distributions, entity, evaluate, features, ranking, stats
 from feedprofile.plans import bindings, sql_literals
 from feedprofile.plans.bindings import DIMENSIONS, table
-from feedprofile.sources import feeds, shared, sinks
+from feedprofile.sources import feeds, posts, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,6 +102,15 @@ def feed_posts_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_member.groupBy("id").agg(F.count("*").alias("members"), F.sum("n").alias("posts"))
 
 
+@query("""SELECT conv_id AS id, (dense_rank() OVER (PARTITION BY conv_id ORDER BY role) - 1)::integer AS member, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) - 1)::integer AS post, text
+FROM conversations""")
+def feed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lines of nested posts, read back as posts from pieces of these lines."""
+    path = shared.scratch(spark)
+    bindings.conversations(spark, sf_dir).select(F.to_json(F.struct("id", "text")).alias("value")).write.text(path)
+    return posts.read_posts(spark, path)
+
+
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unlabelled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity.unlabelled(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), bindings.labels(spark, sf_dir).select("id"))
