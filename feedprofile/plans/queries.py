@@ -11,7 +11,7 @@ from feedprofile.functions import text, traits
 from feedprofile.operators import distributions, entity, evaluate, features, ranking, stats
 from feedprofile.plans import bindings, sql_literals
 from feedprofile.plans.bindings import DIMENSIONS, table
-from feedprofile.sources import feeds, posts, shared, sinks
+from feedprofile.sources import feeds, posts, records, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -483,6 +483,26 @@ def prediction_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.validation(predictions, bindings.labels(spark, sf_dir), "record", feeds.PREDICTION_KEYS)
 
 
+_MIXED = """CASE doc_id % 6
+  WHEN 0 THEN '{"id": ' || doc_id || ', "lang": "' || lang || '", "size": ' || n_chars || '}'
+  WHEN 1 THEN '{"id": "' || doc_id || '", "size": {"chars": ' || n_chars || ', "unit": null}}'
+  WHEN 2 THEN '{"id": ' || doc_id || '.5, "tags": ["' || lang || '", ' || n_chars || ', {"deep": [true]}]}'
+  WHEN 3 THEN '[' || doc_id || ', "' || lang || '"]'
+  WHEN 4 THEN '{"id": ' || doc_id || ', "lang": '
+  ELSE '{"lang": ' || CASE WHEN n_chars % 2 = 0 THEN 'null' ELSE 'false' END || '}' END"""
+
+
+@query(f"""WITH lines AS (SELECT {_MIXED} AS line FROM documents), nodes AS (
+  SELECT regexp_replace(fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS type
+  FROM (SELECT line FROM lines WHERE json_valid(line)) l, json_tree(l.line)
+) SELECT path, type, count(*) AS n FROM nodes GROUP BY path, type""")
+def record_key_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of unknown, nested and mixed shape, read back from lines without a schema: how often each path holds each type."""
+    path = shared.scratch(spark)
+    table(spark, sf_dir, "documents").select(F.expr(_MIXED).alias("value")).where("value IS NOT NULL").write.text(path)
+    return records.key_types(records.read_records(spark, path))
+
+
 @query("SELECT doc_id, to_json({'doc_id': doc_id, 'lang': lang, 'source': source, 'n_chars': n_chars})::varchar AS record FROM documents ORDER BY doc_id LIMIT 100")
 def preview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.preview_rows(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
