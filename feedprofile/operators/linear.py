@@ -8,7 +8,7 @@ optimum. Here steps are taken in the terms' own coordinates, and one job adds up
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Gradients of tasks go to the driver up to so many bytes; more are first added up in Spark.
 GATHERED_BYTES = 64 << 20
+#: Entries of rows that are worked on at a time.
+ENTRIES = 1 << 18
 #: Steps that the optimiser remembers.
 MEMORY = 12
 
@@ -38,8 +40,18 @@ def sparse(batch: pa.RecordBatch, column: str = "features") -> tuple[np.ndarray,
     return counts, indices.flatten().to_numpy(), values.flatten().to_numpy()
 
 
-def margins(counts: np.ndarray, terms: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """``rows x classes``: each row's entries times the weights, ``terms x classes``."""
+def pieces(counts: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Rows, and their entries, in pieces of some ENTRIES entries."""
+    ends = np.cumsum(counts)
+    s = 0
+    while s < len(counts):
+        first = ends[s] - counts[s]
+        t = max(s + 1, int(np.searchsorted(ends, first + ENTRIES, "right")))
+        yield slice(s, t), slice(int(first), int(ends[t - 1]))
+        s = t
+
+
+def _margins(counts: np.ndarray, terms: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     out = np.zeros((len(counts), weights.shape[1]))
     some = np.flatnonzero(counts)
     if len(some):
@@ -48,32 +60,40 @@ def margins(counts: np.ndarray, terms: np.ndarray, values: np.ndarray, weights:
     return out
 
 
-def _loss(batch: pa.RecordBatch, blocks: list[slice], theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def margins(counts: np.ndarray, terms: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``rows x classes``: each row's entries times the weights, ``terms x classes``."""
+    return np.concatenate([_margins(counts[r], terms[e], values[e], weights) for r, e in pieces(counts)] or [np.zeros((0, weights.shape[1]))])
+
+
+def _loss(batch: pa.RecordBatch, traits: list[int], blocks: list[slice], theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Summed log loss of each trait, and its gradient by weights and, in the last row, intercepts."""
     counts, terms, values = sparse(batch)
-    y = np.stack([batch.column(f"y{t}").to_numpy(zero_copy_only=False) for t in range(len(blocks))], axis=1)
-    z = margins(counts, terms, values, theta[:-1]) + theta[-1]
-    losses, rest = np.zeros(len(blocks)), np.zeros_like(z)
-    for t, block in enumerate(blocks):
-        known = np.flatnonzero(y[:, t] >= 0)
-        m = z[known, block]
-        m = m - m.max(axis=1, keepdims=True) if len(known) else m
-        p = np.exp(m)
-        total = p.sum(axis=1, keepdims=True)
-        hit = np.arange(len(known)), y[known, t].astype(int)
-        losses[t] = (np.log(total[:, 0]) - m[hit]).sum()
-        p /= total
-        p[hit] -= 1
-        rest[known, block] = p
-    slope = np.zeros_like(theta)
-    each = np.repeat(rest, counts, axis=0) * values[:, None]
-    for k in range(rest.shape[1]):
-        slope[:-1, k] = np.bincount(terms, weights=each[:, k], minlength=len(theta) - 1)
-    slope[-1] = rest.sum(axis=0)
+    y = np.stack([batch.column(f"y{t}").to_numpy(zero_copy_only=False) for t in traits], axis=1)
+    losses, slope = np.zeros(len(blocks)), np.zeros_like(theta)
+    for rows, entries in pieces(counts):
+        z = _margins(counts[rows], terms[entries], values[entries], theta[:-1]) + theta[-1]
+        rest = np.zeros_like(z)
+        for t, block in enumerate(blocks):
+            known = np.flatnonzero(y[rows, t] >= 0)
+            if not len(known):
+                continue
+            m = z[known, block]
+            m -= m.max(axis=1, keepdims=True)
+            p = np.exp(m)
+            total = p.sum(axis=1, keepdims=True)
+            hit = np.arange(len(known)), y[rows, t][known].astype(int)
+            losses[t] += (np.log(total[:, 0]) - m[hit]).sum()
+            p /= total
+            p[hit] -= 1
+            rest[known, block] = p
+        owner = np.repeat(np.arange(len(z)), counts[rows])
+        for k in range(z.shape[1]):
+            slope[:-1, k] += np.bincount(terms[entries], weights=rest[owner, k] * values[entries], minlength=len(theta) - 1)
+        slope[-1] += rest.sum(axis=0)
     return losses, slope
 
 
-def total_loss(rows: DataFrame, blocks: list[slice], theta: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+def total_loss(rows: DataFrame, traits: list[int], blocks: list[slice], theta: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """``_loss`` over all rows, one job."""
     shape = theta.shape
 
@@ -81,11 +101,11 @@ def total_loss(rows: DataFrame, blocks: list[slice], theta: np.ndarray, tasks: i
         losses, slope = np.zeros(len(blocks)), np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
-                more, steeper = _loss(batch, blocks, theta)
+                more, steeper = _loss(batch, traits, blocks, theta)
                 losses, slope = losses + more, slope + steeper
         yield pa.RecordBatch.from_pydict({"m": pa.array([np.concatenate((losses, slope.ravel())).tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(task, "m binary")
+    parts = rows.select("features", *[f"y{t}" for t in traits]).mapInArrow(task, "m binary")
     size = len(blocks) + theta.size
     if tasks * size * 8 > GATHERED_BYTES:
 
@@ -97,25 +117,49 @@ def total_loss(rows: DataFrame, blocks: list[slice], theta: np.ndarray, tasks: i
     return added[: len(blocks)], added[len(blocks) :].reshape(shape)
 
 
-def descend(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, done: Callable[[np.ndarray], bool], steps: int) -> np.ndarray:
-    """Limited-memory quasi-Newton steps with backtracking, until ``done`` accepts the gradient or ``steps`` are taken."""
-    value, slope = loss(theta)
+def _squares(rows: DataFrame, terms: int) -> np.ndarray:
+    """Summed squares of each term's values."""
+
+    def task(batches):
+        total = np.zeros(terms)
+        for batch in batches:
+            _, at, values = sparse(batch)
+            total += np.bincount(at, weights=values * values, minlength=terms)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(some, pa.int32()), "s": pa.array(total[some], pa.float64())})
+
+    out = np.zeros(terms)
+    for r in rows.select("features").mapInArrow(task, "term int, s double").groupBy("term").agg(F.sum("s").alias("s")).collect():  # a row for each term
+        out[r["term"]] = r["s"]
+    return out
+
+
+#: Asks for value and gradient at a point, and returns the last point.
+Descent = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
+
+
+def descend(theta: np.ndarray, tol: float, steps: int, curvature: np.ndarray) -> Descent:
+    """Limited-memory quasi-Newton steps with backtracking, from a diagonal guess of the curvature, until the gradient is ``tol`` times the first one."""
+    value, slope = yield theta
+    target = tol * max(float(np.linalg.norm(slope)), 1e-300)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        if done(slope):
+        if np.linalg.norm(slope) <= target:
             break
         way, shares = slope.copy(), []
         for s, y in reversed(past):
             shares.append((s * way).sum() / (s * y).sum())
             way -= shares[-1] * y
-        way *= (past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2).sum() if past else 1 / max(np.linalg.norm(slope), 1.0)
+        way /= curvature
+        if past:
+            way *= (past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2 / curvature).sum()
         for (s, y), share in zip(past, reversed(shares), strict=True):
             way += (share - (y * way).sum() / (s * y).sum()) * s
         fall, rate = (slope * way).sum(), 1.0
         if fall <= 0:
             break
         while True:
-            next_value, next_slope = loss(theta - rate * way)
+            next_value, next_slope = yield theta - rate * way
             if next_value <= value - 1e-4 * rate * fall or rate < 1e-8:
                 break
             rate /= 2
@@ -128,34 +172,49 @@ def descend(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.nd
     return theta
 
 
-def fit_linear(rows: DataFrame, classes: list[int], counts: list[list[int]], terms: int, tol: float, steps: int) -> list[Linear]:
-    """One model for each trait of ``rows(features, y0, y1...)``, where ``yt`` is the class or -1 for unknown.
+def together(descents: list[Descent], evaluate: Callable[[dict[int, np.ndarray]], dict[int, tuple[float, np.ndarray]]]) -> list[np.ndarray]:
+    """Run several descents side by side: what they ask for in a round is evaluated at once."""
+    asked = {k: next(d) for k, d in enumerate(descents)}
+    found: dict[int, np.ndarray] = {}
+    while asked:
+        answers, now = evaluate(asked), {}
+        for k, answer in answers.items():
+            try:
+                now[k] = descents[k].send(answer)
+            except StopIteration as end:
+                found[k] = end.value
+        asked = now
+    return [found[k] for k in range(len(descents))]
+
+
+def fit_linear(rows: DataFrame, counts: list[list[int]], terms: int, tol: float, steps: int) -> list[Linear]:
+    """One model for each trait of ``rows(features, y0, y1...)``, where ``yt`` is the class or -1 for unknown; ``counts`` are the class sizes.
 
     Mean log loss over the known rows of a trait plus half the squared weights over their number, so that each sum of
     losses has a penalty of half the squared weights. A trait is done when its gradient is ``tol`` times that at the
-    start, where weights are zero and intercepts fit the class sizes ``counts``.
+    start, where weights are zero and intercepts fit the class sizes. Traits that are not done yet share their jobs.
     """
-    ends = np.cumsum(classes)
-    blocks = [slice(int(e - c), int(e)) for c, e in zip(classes, ends, strict=True)]
-    theta = np.zeros((terms + 1, int(ends[-1])))
-    for block, some in zip(blocks, counts, strict=True):
-        share = np.log(np.maximum(some, 0.5))
-        theta[-1, block] = share - share.mean()
     tasks = rows.select(F.spark_partition_id().alias("task")).agg(F.max("task").alias("last")).first()["last"]
     tasks = 1 + (tasks or 0)
-    first: list[np.ndarray] = []
-    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
-        losses, slope = total_loss(rows, blocks, at, tasks)
-        slope[:-1] += at[:-1]
-        return float(losses.sum() + 0.5 * (at[:-1] ** 2).sum()), slope
-
-    def lengths(slope: np.ndarray) -> np.ndarray:
-        return np.array([np.linalg.norm(slope[:, block]) for block in blocks])
-
-    def done(slope: np.ndarray) -> bool:
-        if not first:
-            first.append(np.maximum(lengths(slope), 1e-300))
-        return bool((lengths(slope) <= tol * first[0]).all())
-
-    theta = descend(loss, theta, done, steps)
-    return [Linear(theta[:-1, block].T.copy(), theta[-1, block].copy()) for block in blocks]
+    squares = _squares(rows, terms)
+
+    def evaluate(asked: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+        ends = np.cumsum([at.shape[1] for at in asked.values()])
+        blocks = [slice(int(e) - at.shape[1], int(e)) for at, e in zip(asked.values(), ends, strict=True)]
+        losses, slope = total_loss(rows, list(asked), blocks, np.concatenate(list(asked.values()), axis=1), tasks)
+        out = {}
+        for (t, at), block, loss in zip(asked.items(), blocks, losses, strict=True):
+            steep = slope[:, block].copy()
+            steep[:-1] += at[:-1]
+            out[t] = (float(loss + 0.5 * (at[:-1] ** 2).sum()), steep)
+        return out
+
+    descents = []
+    for some in counts:
+        theta = np.zeros((terms + 1, len(some)))
+        shares = np.array(some, float) / max(sum(some), 1)
+        theta[-1] = np.log(np.maximum(some, 0.5)) - np.log(np.maximum(some, 0.5)).mean()
+        # the diagonal of the second derivative at the start: terms that many documents have are far steeper than rare ones
+        spread = shares * (1 - shares)
+        descents.append(descend(theta, tol, steps, np.concatenate((1 + np.outer(squares, spread), np.maximum(sum(some) * spread, 1.0)[None]))))
+    return [Linear(theta[:-1].T.copy(), theta[-1].copy()) for theta in together(descents, evaluate)]

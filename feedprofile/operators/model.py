@@ -109,7 +109,7 @@ def fit_profiler(documents: DataFrame, traits: Sequence[str], min_df: int = MIN_
     # memory and disk, and made anew from the documents where an executor is lost
     rows = features.transform(documents.select(*code, terms)).drop("terms", "counts", "scaled").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fitted = fit_linear(rows, [len(named[t]) for t in traits], [[n for _, n in named[t]] for t in traits], len(features.stages[0].vocabulary), tol, max_iter)
+        fitted = fit_linear(rows, [[n for _, n in named[t]] for t in traits], len(features.stages[0].vocabulary), tol, max_iter)
     finally:
         rows.unpersist()
     return Profiler(features, {t: (m, [n for n, _ in named[t]]) for t, m in zip(traits, fitted, strict=True)}, preprocessor)
