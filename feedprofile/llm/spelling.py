@@ -23,7 +23,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A document loses one letter of about one in so many of its words.
 LOSS = 199
 MIN_LETTERS, MIN_COUNT, RATIO = 6, 5, 5
-#: Words that the coarse trees are built on at most, words of a box, and of a block (larger boxes are cut into blocks).
+#: Words that the coarse trees are built on, about, words of a box, and of a block (larger boxes are cut into blocks).
 SAMPLE, BOX, BLOCK = 1 << 16, 1 << 13, 1 << 14
 #: Letters of a block at most, for very long words.
 BLOCK_LETTERS = 1 << 24
@@ -221,7 +221,8 @@ def _searched(batches):
 def near_words(vocabulary: DataFrame, sample: int = SAMPLE, box: int = BOX, block: int = BLOCK) -> DataFrame:
     """Rows ``(word, n_near, best_n, best)`` for words of ``vocabulary(word, n)`` that have another word one edit away."""
     total = vocabulary.count()
-    drawn = [r["word"] for r in vocabulary.select("word").orderBy(F.xxhash64("word"), "word").limit(sample).collect()]
+    # a draw by hash of some ``sample`` words; tasks send what they draw and no more
+    drawn = [r["word"] for r in vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < (sample << 30) / max(total, 1)).select("word").collect()]
     trees = _coarse(drawn, max(8, box * len(drawn) // max(total, 1)))
     routed = materialize(mapped(vocabulary, _routed(trees), "length int, box int, kind int, word string, n long"))
     spot = ["length", "box"]
