@@ -187,8 +187,44 @@ WITH q AS (
 SELECT query_id, r::integer AS rank, vec_id, score FROM ranked WHERE r <= 20
 """
 
+#: The crc32 is worked out over a word's bytes: its table of 256 entries by its rule, then one step for each byte.
+_OP11_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) AS c FROM range(256) r(i))
+), runs AS (
+  SELECT d, run, count(*) AS k FROM (
+    SELECT doc_id::varchar AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents)
+  GROUP BY d, run
+), hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(d || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::bigint] ELSE [192 + (unicode(c) >> 6)::bigint, 128 + (unicode(c) & 63)::bigint] END))), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) AS h
+  FROM runs, steps
+), vocabulary AS (
+  SELECT word, sum(k)::bigint AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::integer) || substr(run, (h % length(run))::integer + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5
+), gaps AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1))::integer AS i FROM vocabulary)
+), near AS (
+  SELECT DISTINCT * FROM (
+    SELECT a.word, b.word AS other, b.n FROM gaps a JOIN gaps b ON a.i = b.i AND a.short = b.short AND a.word <> b.word
+    UNION ALL SELECT a.word, b.word, b.n FROM gaps a JOIN vocabulary b ON a.short = b.word
+    UNION ALL SELECT b.word, a.word, a.n FROM gaps a JOIN vocabulary b ON a.short = b.word)
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS best_n, min(other) FILTER (n = most) AS best FROM (SELECT *, max(n) OVER (PARTITION BY word) AS most FROM near) GROUP BY word
+), forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM vocabulary v LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, word AS root, form AS next FROM forms
+  UNION ALL SELECT c.word, c.next, f.form FROM chain c JOIN forms f ON f.word = c.next
+)
+SELECT f.word, n, n_near, f.form, form_n, c.root FROM forms f JOIN chain c ON c.word = f.word AND c.next IS NULL
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_text_dedup": _OP2_SQL,
     "op8_vector_dedup": _OP8_SQL,
     "op9_top_k": _OP9_SQL,
+    "op11_spelling": _OP11_SQL,
 }
