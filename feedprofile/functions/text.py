@@ -100,6 +100,11 @@ def ngrams_of(words: Column) -> Column:
     return F.concat(words, pairs)
 
 
+def ngrams(text: Column) -> Column:
+    """Words of two characters or more, and pairs of neighbours among them."""
+    return ngrams_of(long_words(text))
+
+
 def posts_of(members: Column) -> Column:
     """All posts of nested members; null members and posts are left out, null is empty."""
     kept = F.filter(F.coalesce(members, F.array().cast("array<array<string>>")), lambda m: m.isNotNull())
