@@ -271,7 +271,9 @@ def entity_box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT dimension, "group", metric, count(*) AS n, min(value) AS lo, max(value) AS hi, true AS q1_ok, true AS med_ok, true AS q3_ok FROM long GROUP BY dimension, "group", metric""")
 def merged_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distributions stored by split and merged from their state; quartiles must have their ranks within the stated error."""
-    people = shared.kept(entity.rates(_entities(spark, sf_dir)).withColumn("split", F.element_at(F.array(*[F.lit(x) for x in feeds.SPLITS]), (F.col("id") % 3 + 1).cast("int"))))
+    # counters are joined with the labels, so that no text is shuffled however many labels there are
+    counted = entity.labelled(entity.entity_counts(bindings.people(spark, sf_dir)), bindings.labels(spark, sf_dir))
+    people = shared.kept(entity.rates(counted).withColumn("split", F.element_at(F.array(*[F.lit(x) for x in feeds.SPLITS]), (F.col("id") % 3 + 1).cast("int"))))
     path = shared.scratch(spark)
     sinks.write_table(distributions.sketches(people, DIMENSIONS, _METRICS, by=["split"]), path, ["split"])
     state = shared.kept(distributions.merge_sketches(*[spark.read.parquet(path).where(F.col("split") == x).drop("split") for x in feeds.SPLITS]))
