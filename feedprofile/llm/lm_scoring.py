@@ -142,16 +142,17 @@ def _counted(batches):
 
 
 def _run(keys: np.ndarray, c: np.ndarray) -> bytes:
-    """Sorted grams and their counts as byte planes, which compress well."""
-    planes = keys.view(np.uint8).reshape(-1, 8)[:, :7], np.minimum(c, 2**32 - 1).astype(np.uint32).view(np.uint8).reshape(-1, 4)
-    return b"".join(p.T.tobytes() for p in planes)
+    """Sorted grams and their counts as byte planes, which compress well; counts have as many bytes as the largest needs, as the first byte tells."""
+    wide = max(1, (int(c.max()).bit_length() + 7) // 8)
+    planes = keys.view(np.uint8).reshape(-1, 8)[:, :7], c.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :wide]
+    return bytes([wide]) + b"".join(p.T.tobytes() for p in planes)
 
 
 def _read(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(raw, np.uint8).reshape(11, -1)
-    keys, c = np.zeros((planes.shape[1], 8), np.uint8), np.empty((planes.shape[1], 4), np.uint8)
-    keys[:, :7], c[:] = planes[:7].T, planes[7:].T
-    return keys.view(np.uint64).ravel(), c.view(np.uint32).ravel().astype(np.int64)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(7 + raw[0], -1)
+    keys, c = np.zeros((planes.shape[1], 8), np.uint8), np.zeros((planes.shape[1], 8), np.uint8)
+    keys[:, :7], c[:, : raw[0]] = planes[:7].T, planes[7:].T
+    return keys.view(np.uint64).ravel(), c.view(np.int64).ravel()
 
 
 def _runs(keys: np.ndarray, c: np.ndarray, bucket: np.ndarray) -> tuple[list[int], list[bytes]]:
@@ -358,9 +359,14 @@ def _scored(hot_grams, hot, keep: list[str]):
 
 
 def _least(rows: DataFrame, count: str, most: int) -> int:
-    """The least count from which at most so many rows are left, from how many rows have each count."""
-    steps = rows.groupBy(F.least(count, F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
-    least, so_far = 100_001, 0
+    """A count from which on there are at most ``most`` rows, from how many rows have each count.
+
+    Counts above 4,095 are told apart by their first 12 binary digits, so that the driver gets some 110,000 numbers at
+    most; rows of a class that would exceed the bound are all below.
+    """
+    width = F.expr(f"shiftleft(1L, greatest(length(bin({count})) - 12, 0))")
+    steps = rows.groupBy((F.col(count) - F.col(count) % width).alias("c")).count().orderBy(F.desc("c")).collect()
+    least, so_far = 2**63 - 1, 0
     for step in steps:
         if so_far + step["count"] > most:
             break

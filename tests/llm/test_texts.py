@@ -323,6 +323,88 @@ def test_lm_scores_use_every_context_across_words(spark, monkeypatch, hot):
     assert got[52] != pytest.approx(got[53], rel=1e-3)
 
 
+class PlainPpm:
+    """Prediction by partial matching byte by byte over dictionaries, in plain Python."""
+
+    def __init__(self, texts, order, dense):
+        self.order, self.dense = order, dense
+        self.seen = collections.defaultdict(collections.Counter)
+        for text in texts:
+            data = bytes(order) + text
+            for at in range(order, len(data)):
+                for k in range(order + 1):
+                    self.seen[data[at - k : at]][data[at]] += 1
+
+    def short(self, context):
+        """All bytes' probabilities after a short context: each escape leaves the bytes seen so far out of what follows."""
+        out, mass, left = {}, 1.0, set(range(256))
+        for k in range(len(context), -1, -1):
+            open_ = {b: c for b, c in self.seen.get(context[len(context) - k :], {}).items() if b in left}
+            total = sum(open_.values())
+            for b, c in open_.items():
+                out[b] = mass * (c - 0.5) / total
+            if total:
+                mass *= len(open_) / (2 * total)
+            left -= set(open_)
+        for b in left:
+            out[b] = mass / len(left)
+        whole = sum(out.values())
+        return {b: p / whole for b, p in out.items()}
+
+    def probability(self, context, byte):
+        if len(context) <= self.dense:
+            return self.short(context)[byte]
+        seen = self.seen.get(context)
+        if not seen:
+            return self.probability(context[1:], byte)
+        total = sum(seen.values())
+        if byte in seen:
+            return (seen[byte] - 0.5) / total
+        unseen = 1 - sum(self.probability(context[1:], b) for b in seen)
+        return len(seen) / (2 * total) * self.probability(context[1:], byte) / max(unseen, 1e-9)
+
+    def score(self, text):
+        data = bytes(self.order) + text
+        return sum(math.log10(self.probability(data[at - self.order : at], data[at])) for at in range(self.order, len(data)))
+
+
+@pytest.mark.parametrize("hot", [1 << 21, 25])
+def test_lm_scores_equal_a_plain_model(spark, monkeypatch, hot):
+    """Scores equal a model that shares no code with the operator, repeated, empty and unseen texts among them."""
+    from feedprofile.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "HOT_GRAMS", hot)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 300)
+    rnd = random.Random(12)
+    texts = [words(rnd, rnd.randint(0, 12)) for _ in range(25)] + [None, "", "abab abab", "abab abab", "zq\u00e9 \n\tzq"]
+    raw = [(t or "").encode() + b"\0" for t in texts]
+    plain = PlainPpm([raw[k] for k in range(len(raw)) if zlib.crc32(str(k).encode()) % 5 != 1], lm_scoring.ORDER, lm_scoring.DENSE)
+    got = {r["doc_id"]: r["score"] for r in score_texts(spark.createDataFrame(list(enumerate(texts)), DOCS), fold(5) != 1, ["doc_id"]).collect()}
+    for k, data in enumerate(raw):
+        assert got[k] == pytest.approx(plain.score(data), rel=1e-5), texts[k]
+
+
+def test_frequent_rows_stay_within_their_bound(spark):
+    """However many rows share a large count, no more than the bound are taken for frequent."""
+    from feedprofile.llm.lm_scoring import _least
+
+    for counts, most, kept in (
+        ([200_000 + k for k in range(50)], 3, 0), ([10**12] * 5 + [7] * 4, 4, 0), ([10**12] * 3 + [10**6] * 5 + [7] * 4, 4, 3), ([2**62, 2**40 - 1, 2**40, 5, 4, 0], 4, 4),
+        ([3, 2, 2, 1], 3, 3), ([3, 2, 2, 1], 2, 1), ([], 2, 0), ([0, 0, 9], 0, 0),
+    ):
+        rows = spark.createDataFrame([(c,) for c in counts], "c long")
+        assert rows.where(F.col("c") >= _least(rows, "c", most)).count() == kept <= most
+
+
+def test_counts_of_grams_are_kept_whole():
+    from feedprofile.llm.lm_scoring import _read, _run
+
+    for counts in ([6_000_000_000, 1, 0], [1, 255], [0], [256], [2**62, 3]):
+        keys = np.arange(len(counts), dtype=np.uint64) + np.uint64(2**55)
+        got = _read(_run(keys, np.array(counts, np.int64)))
+        assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts
+
+
 def test_byte_model_is_a_distribution():
     """Probabilities of all bytes after any context add to one."""
     from feedprofile.llm import lm_scoring
