@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedprofile.functions import lexicon, text
 
 COUNTS = ("posts", "pronouns", "det_quant", "hashtags", "links", "emojis", "posts_with_hashtag", "posts_with_link", "posts_with_emoji")
+#: Labels are broadcast up to this number, some 10 MB.
+BROADCAST_LABELS = 250_000
 
 
 def _with(posts: Column, pattern: str) -> Column:
@@ -34,9 +38,24 @@ def entity_counts(feeds: DataFrame, posts: str = "posts") -> DataFrame:
     }).drop(posts, "_posts", "_text", "_tokens").withColumnRenamed("posts_n", "posts")
 
 
-def labelled(feeds: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
-    """Feeds that have a label, with their traits; join before the costly text work. Catalyst broadcasts small labels."""
-    return feeds.join(labels, key, "inner")
+def few(labels: DataFrame) -> bool:
+    """Whether labels are counted to be few enough for a broadcast."""
+    return labels.count() <= BROADCAST_LABELS
+
+
+def labelled(feeds: DataFrame, labels: DataFrame, key: str = "id", work: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Feeds that have a label, with their traits, after ``work``, which takes features of each feed and drops its texts.
+
+    Few labels are broadcast before the work, so that only labelled feeds cost any. Where there are more, the work goes
+    first and its features are joined, so that no text is shuffled. ``work`` goes row by row and leaves ``key`` alone, so
+    rows are the same either way; an id with several labels comes once for each. Without ``work`` feeds are joined as
+    they are.
+    """
+    if work is None:
+        return feeds.join(labels, key, "inner")
+    if few(labels):
+        return work(feeds.join(F.broadcast(labels), key))
+    return work(feeds).join(labels, key)
 
 
 def unlabelled(feeds: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:

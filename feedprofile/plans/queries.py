@@ -78,7 +78,7 @@ _STATS = f"WITH {_ENTITIES}, stats AS ({_grouped(entity.COUNTS)})"
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity.entity_counts(entity.labelled(bindings.people(spark, sf_dir), bindings.labels(spark, sf_dir)))
+    return entity.labelled(bindings.people(spark, sf_dir), bindings.labels(spark, sf_dir), work=entity.entity_counts)
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +235,7 @@ _FOUND = f"""WITH {_PEOPLE}, found AS (
 
 @query(f'{_FOUND} SELECT * FROM (SELECT dimension, "group", emoji, n, row_number() OVER (PARTITION BY dimension, "group" ORDER BY n DESC, emoji)::integer AS rank FROM counts) WHERE rank <= 10')
 def emoji_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = entity.labelled(bindings.people(spark, sf_dir), bindings.labels(spark, sf_dir))
+    people = entity.labelled(bindings.people(spark, sf_dir), bindings.labels(spark, sf_dir), work=ranking.emoji_lists)
     return ranking.top_n(ranking.emoji_frequencies(people, DIMENSIONS), 10)
 
 
@@ -271,9 +271,7 @@ def entity_box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT dimension, "group", metric, count(*) AS n, min(value) AS lo, max(value) AS hi, true AS q1_ok, true AS med_ok, true AS q3_ok FROM long GROUP BY dimension, "group", metric""")
 def merged_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distributions stored by split and merged from their state; quartiles must have their ranks within the stated error."""
-    # counters are joined with the labels, so that no text is shuffled however many labels there are
-    counted = entity.labelled(entity.entity_counts(bindings.people(spark, sf_dir)), bindings.labels(spark, sf_dir))
-    people = shared.kept(entity.rates(counted).withColumn("split", F.element_at(F.array(*[F.lit(x) for x in feeds.SPLITS]), (F.col("id") % 3 + 1).cast("int"))))
+    people = shared.kept(entity.rates(_entities(spark, sf_dir)).withColumn("split", F.element_at(F.array(*[F.lit(x) for x in feeds.SPLITS]), (F.col("id") % 3 + 1).cast("int"))))
     path = shared.scratch(spark)
     sinks.write_table(distributions.sketches(people, DIMENSIONS, _METRICS, by=["split"]), path, ["split"])
     state = shared.kept(distributions.merge_sketches(*[spark.read.parquet(path).where(F.col("split") == x).drop("split") for x in feeds.SPLITS]))
@@ -345,11 +343,12 @@ _NORMAL = f"WITH {_PEOPLE}, normal AS (SELECT id, source, {_normal_sql('array_to
 
 
 def _raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bindings.people(spark, sf_dir).select("id", "source", F.array_join("posts", "\n").alias("document"))
+    year = traits.birthyear_class(F.col("birthyear")).alias("birthyear")
+    return bindings.people(spark, sf_dir).select("id", "source", "lang", year, F.array_join("posts", "\n").alias("document"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw_documents(spark, sf_dir).withColumn("document", text.normalise(F.col("document")))
+    return _raw_documents(spark, sf_dir).select("id", text.normalise(F.col("document")).alias("document"))
 
 
 @query(f"{_NORMAL} SELECT id, document FROM normal")
@@ -403,9 +402,10 @@ def _taught(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All documents as words, and the labelled ones with their traits."""
     from feedprofile.operators.model import prepared
 
-    words = prepared(_raw_documents(spark, sf_dir).select("id", "document"), "normalise")
-    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", traits.birthyear_class(bindings.birthyear()).alias("birthyear"))
-    return words, words.join(known, "id").join(bindings.labels(spark, sf_dir), "id").select("id", "words", *_LEARNED)
+    # traits that stand beside the text come along; only labels are joined
+    words = prepared(_raw_documents(spark, sf_dir).drop("source"), "normalise")
+    labels = bindings.labels(spark, sf_dir).select("id", "quality")
+    return words, words.join(F.broadcast(labels) if entity.few(labels) else labels, "id").select("id", "words", *_LEARNED)
 
 
 @query()

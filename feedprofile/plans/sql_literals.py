@@ -27,5 +27,12 @@ NORMALISER = (
     ("re", r"[^\x{00}-\x{7F}]+", ""),
     ("re", r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "),
 )
-PRONOUNS = "i you he she it we they me him her us them my your his their our mine yours".split()
-DETERMINERS_AND_QUANTIFIERS = "the a an this that these those my your his her its our their all some many few several much more most less least two three four five".split()
+# fixed values
+PRONOUNS = (
+    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "their", "our", "mine", "yours",
+)
+# fixed values
+DETERMINERS_AND_QUANTIFIERS = (
+    "the", "a", "an", "this", "that", "these", "those", "my", "your", "his", "her", "its", "our", "their", "all", "some", "many", "few",
+    "several", "much", "more", "most", "less", "least", "two", "three", "four", "five",
+)

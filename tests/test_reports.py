@@ -45,6 +45,27 @@ def test_stats_keep_entities_without_posts(entities):
     assert not stats.chart_table(sums, {"x": ("emojis", "posts")}).where(F.col("group") == "50+").count()
 
 
+@pytest.mark.parametrize("most", [250_000, 0])
+def test_labels_are_joined_with_features(spark, monkeypatch, most):
+    """Rows are the same whether labels are few or many, and no text is shuffled where they are many."""
+    monkeypatch.setattr(entity, "BROADCAST_LABELS", most)
+    rows = spark.createDataFrame([(1, ["i #a \U0001f600", None], 5), (1, ["she"], 6), (2, None, 7), (3, [], 8), (None, ["you"], 9)], "id long, posts array<string>, gender_hint int")
+    labels = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (4, "x"), (None, "z")], "id long, gender string")
+    plain = entity.entity_counts(entity.labelled(rows, labels))
+    got = entity.labelled(rows, labels, work=entity.entity_counts).select(plain.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect())) and got.count() == 5
+    lists = entity.labelled(rows, labels, work=ranking.emoji_lists)
+    assert sorted(map(repr, ranking.emoji_frequencies(lists, ("gender",)).collect())) == sorted(map(repr, ranking.emoji_frequencies(entity.labelled(rows, labels), ("gender",)).collect()))
+    assert entity.labelled(rows, labels.where("id > 9"), work=entity.entity_counts).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = entity.labelled(rows, labels, work=ranking.emoji_lists)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [node for node in plan.split("\n\n") if ") Exchange\n" in node]
+    assert not any("posts#" in node for node in moved) and len(moved) == (0 if most else 2)
+
+
 def test_merge_equals_union(entities):
     whole = stats.profile_stats(entities, ("gender",), entity.COUNTS)
     parts = stats.merge_stats(*[stats.profile_stats(entities.where(F.col("id") % 2 == k), ("gender",), entity.COUNTS) for k in (0, 1)])
