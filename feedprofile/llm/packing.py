@@ -175,7 +175,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     A document's ids are its text's, then id 0; a null text is empty and so gives the one id 0. Pieces carry
     ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. Each input partition is one stream (no
-    shuffle), of which some 2 MB of text are held at a time. Windows keep the order of rows. Rows with equal or null ids
+    shuffle), of which some 2 MB of text are held at a time. Windows keep the order of rows in a partition, so that how the
+    table is cut into partitions (by its files, and by the cores where these are more) decides which documents meet. Rows with equal or null ids
     are packed each on its own; other columns are ignored; an empty table gives no rows.
     """
     kind = dict(docs.dtypes)["doc_id"]

@@ -4,7 +4,7 @@ Voters are words and word beginnings, mined from all labelled rows because they
 votes for its side or abstains. A generative label model estimates by expectation maximisation, over the vote patterns of
 all rows, labelled or not, how often each voter fires on toxic and on clean texts, how right given labels are, and how
 strongly voters are correlated within a class (a word and its beginnings are); correlated voters count for less. The
-posterior labels of a bounded sample of rows, of toxic and clean ones alike, then train a linear classifier; features
+posterior labels of a bounded sample of labelled rows, of toxic and clean ones alike, then train a linear classifier; features
 that the sample hardly holds keep the weight that all rows' votes give.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from feedprofile.llm.bytestext import LOWER, Slice, distinct_sorted, mix, prefix_hashes, range_hashes, slices
 from feedprofile.llm.storage import mapped, materialize
 
-#: Rows of the training sample, labelled and unlabelled, about; voters for toxic and for clean; features of the classifier.
-LABELLED, UNLABELLED, VOTERS, CLEAN_VOTERS, FEATURES = 12_000, 6_000, 256, 64, 4096
+#: Labelled rows of the training sample, about; voters for toxic and for clean; features of the classifier.
+LABELLED, VOTERS, CLEAN_VOTERS, FEATURES = 12_000, 256, 64, 4096
 #: Word beginnings of so many bytes are features beside whole words.
 BEGINNINGS = (4, 5, 6, 7, 8, 10)
 #: Correlations within a class below this, or below so many standard errors, are noise; rounds of their estimation.
@@ -308,12 +308,12 @@ def _matched(columns: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Classifier | None:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABELLED) -> Classifier | None:
     """Fit on rows of ``docs(doc_id, text)`` that ``learn`` allows, with ``labels(doc_id, toxic)`` where they have one.
 
     Features are counted over all labelled rows, and the label model's votes over all rows. The driver sees FEATURES of
     the features and, of each text in the sample for the linear fit, those. The sample takes toxic and clean rows alike,
-    weighted back to their shares.
+    weighted back to their shares; rows without a label teach through the label model.
     """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = materialize(marks)
@@ -337,13 +337,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, labelled: int = LABEL
     order = np.argsort(voters)
     columns, voters, side = np.sort(columns), voters[order], np.array([1 if r["odds"] > 0 else -1 for r in leads])[order]
     model = label_model(rows.select("text", "toxic"), voters, side, (toxic + 1) / (n + 2)) if len(voters) else None
-    shares = {c: min(1.0, most / max(sizes.get(c, 0), 1)) for c, most in ((1, labelled / 2), (0, labelled / 2), (-1, unlabelled))}
+    shares = {c: min(1.0, most / max(sizes.get(c, 0), 1)) for c, most in ((1, labelled / 2), (0, labelled / 2))}
     level = max(shares[0], shares[1]) if min(shares[0], shares[1]) < 1 else 1.0
-    share, weight = (F.when(F.col("toxic") == 1, F.lit(a)).when(F.col("toxic") == 0, F.lit(b)).otherwise(F.lit(c)) for a, b, c in (
-        (shares[1], shares[0], shares[-1]), (level / shares[1], level / shares[0], 1.0),
-    ))
+    share, weight = (F.when(F.col("toxic") == 1, F.lit(a)).otherwise(F.lit(b)) for a, b in ((shares[1], shares[0]), (level / shares[1], level / shares[0])))
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.where(u < share).select("text", "toxic", weight.alias("w"))
+    drawn = known.where(u < share).select("text", "toxic", weight.alias("w"))
     got = mapped(drawn, _matched(columns), "toxic int, w double, f binary").collect()
     given, weights = np.array([r["toxic"] for r in got]), np.array([r["w"] for r in got])
     return Classifier([np.frombuffer(r["f"], np.uint64) for r in got], given, weights, columns, voters, model) if got else None

@@ -76,7 +76,7 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
         rows.append((k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 5 == 1)) for k in range(1500)], "doc_id long, toxic int")
-    model = fit(docs, labels, F.lit(True), labelled=60, unlabelled=10).ready()
+    model = fit(docs, labels, F.lit(True), labelled=60).ready()
     new = pa.array([text(rnd, "en", 6) + " grobian " + text(rnd, "en", 5) for _ in range(40)])
     assert (model.score(next(slices(new))) >= 0.5).mean() >= 0.9
 
