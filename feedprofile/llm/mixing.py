@@ -8,13 +8,16 @@ the document's size class; in its bounded form
 
 and the dual in lambda is convex. Newton's method solves it for all sources at once, each step one Spark
 aggregation over counts by source and size class; a bracket guards the steps. Rates become copies by systematic
-rounding: within a source, in order of size, running sums of the fractional parts decide who gets one copy more.
+rounding: within a source, in order of size, running sums of the fractional parts decide who gets one copy more. What
+a source then lacks or has too much is at most about its largest document; some copies of single documents settle it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,10 @@ PARTS, PART_ROWS = 64, 1 << 18
 #: Fractional parts of rates are counted in units of 1 / UNIT copies.
 UNIT_BITS = 26
 UNIT = 1 << UNIT_BITS
-#: Starting points of the systematic rounding that are tried; each source takes the one that ends nearest its target.
-SHIFTS = tuple((2 * k + 1) * (UNIT // 32) for k in range(16))
+#: How often two documents' copies are changed at once to bring a source nearer its target.
+EXCHANGES = 32
+#: Where two do not help, a third is tried, one of so many along the sizes.
+THIRDS = 64
 NEWTON_STEPS, STEPS_A_JOB, TOLERANCE = 48, 6, 1e-10
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -109,12 +114,63 @@ def _solve(classes: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("s", "mean", "lam")
 
 
+def _two_steps(doc: np.ndarray, words: np.ndarray, gap: float, but: int) -> tuple[float, int, int]:
+    """What is left of ``gap`` after the best two steps of different documents, neither that of ``but``, and these steps."""
+    at = np.searchsorted(words, gap - words)
+    near = np.clip(np.stack([at - 2, at - 1, at, at + 1]), 0, len(words) - 1)
+    # -1 stands for no step and may come twice
+    taken = ((doc[near] == doc) | (doc == but)) & (doc >= 0) | (doc[near] == but) & (but >= 0)
+    left = np.where(taken, np.inf, np.abs(gap - words - words[near]))
+    k, one = np.unravel_index(left.argmin(), left.shape)
+    return float(left[k, one]), int(one), int(near[k, one])
+
+
+def settle(size: np.ndarray, held: np.ndarray, gap: float) -> np.ndarray:
+    """Copies to add to, or take from, documents of these sizes that have ``held`` copies, so that words near ``gap`` are added.
+
+    Sizes fall. Large documents take what they can, smaller ones what is left; then copies of two at a time are changed.
+    """
+    move = np.zeros(len(size), np.int64)
+    for k in range(len(size)):
+        step = int(np.clip(round(gap / size[k]), -held[k], MOST - held[k]))
+        move[k] = step
+        gap -= step * int(size[k])
+    for _ in range(EXCHANGES):
+        up, down = np.flatnonzero(held + move < MOST), np.flatnonzero(held + move > 0)
+        # one copy more or less of a document, or none
+        doc, sign = np.concatenate(([-1], up, down)), np.concatenate(([0], np.ones(len(up), np.int64), -np.ones(len(down), np.int64)))
+        words = sign * np.concatenate(([0], size[up], size[down]))
+        order = np.argsort(words, kind="stable")
+        doc, sign, words = doc[order], sign[order], words[order]
+        least, steps = abs(gap), ()
+        none = int(np.flatnonzero(doc < 0)[0])
+        for third in (none, *range(0, len(doc), 1 + len(doc) // THIRDS)):
+            left, one, two = _two_steps(doc, words, gap - words[third], doc[third])
+            if left < least:
+                least, steps = left, (one, two, third)
+            if third == none and steps:
+                break
+        if not steps or abs(gap) < 0.5:
+            break
+        for step in steps:
+            move[max(doc[step], 0)] += sign[step]
+            gap -= float(words[step])
+    return move
+
+
+def _settled(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["first", "c", "part"], ascending=[False, True, True])
+    move = settle(rows["first"].to_numpy(), rows["held"].to_numpy(), float(rows["gap"].iloc[0]))
+    return rows[["s", "c", "part"]].assign(move=move).loc[move != 0]
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id") -> DataFrame:
     """Copies of each document for the target mix: ``docs`` plus ``size, source_size, target, rate, copies, taken``.
 
     ``size`` counts words; sources in order of code point, null last (null is a source of its own), take the weights
     in turn and share the total. ``copies`` is 0 to 3 and the same in each run. Empty and null texts have size 0 and
-    are kept once (rate 1, taken 0). Rows with repeated or null ids are documents like any other. Columns of ``docs``
+    are kept once (rate 1, taken 0). The first document of each of up to PARTS parts of a size class may be given other
+    copies than rounding gives, to bring its source to its target as near as whole copies allow. Rows with repeated or null ids are documents like any other. Columns of ``docs``
     with the names of the new ones are replaced. An empty table gives no rows.
     """
     made = ["size", "source_size", "target", "rate", "copies", "taken"]
@@ -129,7 +185,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_
     in_parts = lambda x: x.withColumn(part_, F.pmod(F.xxhash64(mark), F.lit(parts)))
     slim, rows = in_parts(slim), in_parts(rows)
     groups = materialize(
-        slim.groupBy(F.col(own).alias("s"), F.col(kind).alias("c"), F.col(part_).alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+        slim.groupBy(F.col(own).alias("s"), F.col(kind).alias("c"), F.col(part_).alias("part")).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.max("size").alias("first"))
     )
     targets = materialize(source_targets(groups.groupBy("s").agg(F.sum("words").alias("source_size")), weights))
     classes = groups.where("c > 0").groupBy("s", "c").agg(F.sum("words").alias("words"))
@@ -140,30 +196,33 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_
         .when(full, F.lit(float(MOST)))
         .otherwise(_rate(F.col("lam"), F.col("c") / F.col("mean")))
     )
-    part = groups.join(known, "s").select("s", "c", "part", "n", "source_size", "target", rate.alias("rate"))
+    part = groups.join(known, "s").select("s", "c", "part", "n", "first", "source_size", "target", rate.alias("rate"))
     # fractional parts are whole numbers of UNIT, whose running sums are exact
     part = part.withColumn("extra", F.floor((F.col("rate") - F.floor("rate")) * UNIT).cast("long"))
     ahead = Window.partitionBy("s").orderBy(F.desc("c"), "part").rowsBetween(Window.unboundedPreceding, -1)
     part = materialize(part.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("extra")).over(ahead), F.lit(0).cast("long"))))
-    extra, before = fresh("_extra", rows.columns), fresh("_before", rows.columns)
-    part = part.select(F.col("s").alias(own), F.col("c").alias(kind), F.col("part").alias(part_), "source_size", "target", "rate", F.col("extra").alias(extra), F.col("before").alias(before))
+    extra, before, move = (fresh(x, rows.columns) for x in ("_extra", "_before", "_move"))
     order = Window.partitionBy(*key).orderBy(F.desc("size"), id_col, mark)
-    shift = fresh("_shift", rows.columns)
 
-    def copies(by: Column) -> Column:
-        upto = F.col(before) + F.col(rank) * F.col(extra) + by
-        steps = F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - F.col(extra), UNIT_BITS)
+    def rounded(before: Column, extra: Column, rank: Column) -> Column:
+        upto = before + rank * extra + UNIT // 2
+        steps = F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - extra, UNIT_BITS)
         return F.least(F.floor("rate") + steps, F.lit(MOST)).cast("long")
 
-    ranked = slim.withColumn(rank, F.row_number().over(order)).join(part, key)
-    trials = [F.struct(F.abs(F.sum(copies(F.lit(u)) * F.col("size")) - F.first("target")).alias("off"), F.lit(u).alias(shift)) for u in SHIFTS]
-    shifts = ranked.groupBy(own).agg(*[t.alias(f"t{k}") for k, t in enumerate(trials)])
-    shifts = shifts.select(own, F.least(*[F.col(f"t{k}") for k in range(len(SHIFTS))])[shift].alias(shift))
-    part = materialize(part.join(shifts, own))
+    dealt = part.select(F.col("s").alias(own), F.col("c").alias(kind), F.col("part").alias(part_), "source_size", "target", "rate", F.col("extra").alias(extra), F.col("before").alias(before))
+    counted = rounded(F.col(before), F.col(extra), F.col(rank))
+    ranked = slim.withColumn(rank, F.row_number().over(order)).join(dealt, key)
+    gaps = ranked.groupBy(F.col(own).alias("s"), "target").agg(F.sum(counted * F.col("size")).alias("got")).select("s", (F.col("target") - F.col("got")).alias("gap"))
+    # a source has some thousands of these rows at most, whatever its size
+    firsts = part.where((F.col("c") > 0) & (F.col("part") < PARTS)).join(gaps, "s")
+    firsts = firsts.select("s", "c", "part", "first", rounded(F.col("before"), F.col("extra"), F.lit(1)).alias("held"), "gap")
+    moves = firsts.groupBy("s").applyInPandas(_settled, "s string, c long, part long, move long")
+    moves = moves.select(F.col("s").alias(own), F.col("c").alias(kind), F.col("part").alias(part_), F.col("move").alias(move))
+    part = materialize(dealt.join(moves, key, "left").fillna(0, [move]))
     return (
         rows.withColumn(rank, F.row_number().over(order))
         .join(part, key)
-        .withColumn("copies", copies(F.col(shift)))
+        .withColumn("copies", counted + F.when(F.col(rank) == 1, F.col(move)).otherwise(F.lit(0)))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select(*[c for c in docs.columns if c not in made], *made)
     )

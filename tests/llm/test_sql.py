@@ -28,6 +28,8 @@ def test_mixing_sizes_and_targets(spark, con):
     assert len(got) == len(rows)
     for k, s, n, total in rows:
         assert (got[k]["size"], got[k]["source_size"]) == (n, total) and got[k]["target"] == pytest.approx(target[s], rel=1e-9)
+    for s in order:
+        assert abs(sum(got[k]["taken"] for k, t, _, _ in rows if t == s) - target[s]) <= max(min(n for _, t, n, _ in rows if t == s), 0.005 * target[s])
 
 
 def test_personal_data_counts(spark, con):
