@@ -133,8 +133,7 @@ def _counted(batches):
             if len(held[WORDS][0]) >= TOGETHER_BYTES // 16:
                 yield from rows(WORDS, *held[WORDS])
                 held[WORDS] = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if words:
-        yield from rows(WORDS, *_merged(held[WORDS], words))
+    yield from rows(WORDS, *(_merged(held[WORDS], words) if words else held[WORDS]))
     seen = np.flatnonzero(short)
     yield from rows(SHORT, seen.astype(np.uint64), short[seen])
     yield from rows(TEXTS, np.zeros(1, np.uint64), np.array([texts]))

@@ -296,6 +296,16 @@ def test_lm_base_scores_equal_brute_force(spark, monkeypatch):
     assert score_texts(spark.createDataFrame([], DOCS), F.lit(True), ["doc_id"]).count() == 0
 
 
+def test_lm_counts_words_of_a_last_long_text(spark):
+    """Words are summed up now and then; what was summed up at a task's very end counts too."""
+    texts = ["few words", "a b " * 150_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(1)
+    got = {r["doc_id"]: r for r in score_texts(docs, F.lit(True), ["doc_id"]).collect()}
+    assert [tuple(got[k][c] for c in ("n_tokens", "n_known", "train_tokens")) for k in (0, 1)] == [(3, 3, 300_004), (300_001, 300_001, 300_004)]
+    each = math.log10(1.5) * 2 + math.log10(2.5) - 3 * math.log10(300_004 + 0.5 * 6)
+    assert got[0]["base_score"] == pytest.approx(each, rel=1e-9)
+
+
 @pytest.mark.parametrize("hot", [1 << 21, 30, 0])
 def test_lm_scores_use_every_context_across_words(spark, monkeypatch, hot):
     """Scores equal one undivided model of all grams of whole texts, however few of them are broadcast."""
