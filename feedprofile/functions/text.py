@@ -1,15 +1,22 @@
 """Text expressions: tokens, hashtags, links, emojis and the normaliser.
 
 Character classes are spelled out, because ``\\w`` and ``\\s`` differ between regular-expression engines. No group is
-repeated over single characters, so long texts cannot exhaust the matcher's stack.
+repeated over single characters, so long texts cannot exhaust the matcher's stack. What goes over every character of
+every text, the normaliser, long words and the counts of posts, takes Arrow's patterns in tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+
+from feedprofile.functions.lexicon import DETERMINERS_AND_QUANTIFIERS, PRONOUNS
 
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
@@ -74,12 +81,18 @@ NORMALISER = (
 )
 
 
+def _normalised(texts: pa.Array) -> pa.Array:
+    for kind, what, by in NORMALISER[:-1]:
+        texts = pc.replace_substring_regex(texts, what, by) if kind == "re" else pc.replace_substring(texts, what, by)
+    # the last step, where it changes anything: a single space stays
+    _, spaces, by = NORMALISER[-1]
+    texts = pc.replace_substring_regex(texts, f"{spaces[:-1]}{{2,}}|[\\t-\\r\\x{{1c}}-\\x{{1f}}]", by)
+    return pc.utf8_trim(texts, " ")
+
+
 def normalise(text: Column) -> Column:
     """Lower-case, put placeholders for links, hashtags, mentions and numbers, keep ASCII, collapse white space."""
-    out = F.lower(text)
-    for kind, what, by in NORMALISER:
-        out = F.regexp_replace(out, what, by) if kind == "re" else F.replace(out, F.lit(what), F.lit(by))
-    return F.trim(out)
+    return F.arrow_udf(_normalised, StringType())(F.lower(text))
 
 
 def assemble(members: Column, most_members: int = 10, most_posts: int = 10_000) -> Column:
@@ -88,9 +101,43 @@ def assemble(members: Column, most_members: int = 10, most_posts: int = 10_000)
     return F.array_join(joined, " <eofollower> ")
 
 
+def _long_words(texts: pa.Array) -> pa.Array:
+    # separators become spaces; most are single spaces already
+    lists = pc.split_pattern(pc.replace_substring_regex(texts, r"[^\p{L}\p{N}_ ]+", " "), " ")
+    words = lists.flatten()
+    long = pc.greater_equal(pc.utf8_length(words), 2)
+    before = np.concatenate(([0], np.cumsum(long.to_numpy(zero_copy_only=False))))
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+    return pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), words.filter(long), mask=lists.is_null())
+
+
 def long_words(text: Column) -> Column:
     """Words of two characters or more, in order."""
-    return F.regexp_extract_all(text, F.lit(WORD + "{2,}"), F.lit(0))
+    return F.arrow_udf(_long_words, ArrayType(StringType()))(text)
+
+
+#: What ``post_counts`` counts.
+COUNTED = ("posts", "pronouns", "det_quant", "hashtags", "links", "emojis", "posts_with_hashtag", "posts_with_link", "posts_with_emoji")
+
+
+def _post_counts(lists: pa.Array) -> pa.Array:
+    posts = lists.flatten()
+    # every word stands between spaces of its own
+    apart = pc.replace_substring_regex(pc.replace_substring(pc.utf8_lower(posts), " ", "  "), r"[^\p{L}\p{N}_ ]", "  ")
+    apart = pc.binary_join_element_wise("", apart, "", " ")
+    found = {n: pc.count_substring_regex(apart, f" (?:{'|'.join(words)}) ") for n, words in (("pronouns", PRONOUNS), ("det_quant", DETERMINERS_AND_QUANTIFIERS))}
+    found |= {n: pc.count_substring_regex(posts, p) for n, p in (("hashtags", HASHTAG), ("links", LINK), ("emojis", EMOJI))}
+    each = {n: pc.fill_null(c, 0).to_numpy(zero_copy_only=False).astype(np.int64) for n, c in found.items()}
+    each |= {f"posts_with_{n}": (each[f"{n}s"] > 0).astype(np.int64) for n in ("hashtag", "link", "emoji")}
+    each["posts"] = posts.is_valid().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+    sums = {n: np.concatenate(([0], np.cumsum(each[n])))[ends] for n in COUNTED}
+    return pa.StructArray.from_arrays([pa.array(np.diff(sums[n])) for n in COUNTED], list(COUNTED))
+
+
+def post_counts(posts: Column) -> Column:
+    """Counts of an array of posts, a struct of COUNTED; null posts are left out, and a null array has none."""
+    return F.arrow_udf(_post_counts, StructType([StructField(n, LongType()) for n in COUNTED]))(posts)
 
 
 def ngrams_of(words: Column) -> Column:
