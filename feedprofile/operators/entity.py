@@ -4,38 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedprofile.functions import lexicon, text
+from feedprofile.functions import text
 
-COUNTS = ("posts", "pronouns", "det_quant", "hashtags", "links", "emojis", "posts_with_hashtag", "posts_with_link", "posts_with_emoji")
+COUNTS = text.COUNTED
 #: Labels are broadcast up to this number, some 10 MB.
 BROADCAST_LABELS = 250_000
 
 
-def _with(posts: Column, pattern: str) -> Column:
-    return F.size(F.filter(posts, lambda p: p.rlike(pattern)))
-
-
 def entity_counts(feeds: DataFrame, posts: str = "posts") -> DataFrame:
-    """Add the COUNTS of an array of posts. Entities without posts stay, with zeros.
-
-    Tokens, hashtags, links and emojis never span a line feed, so their counts are taken over the joined posts.
-    """
-    each = F.filter(F.coalesce(F.col(posts), F.array().cast("array<string>")), lambda p: p.isNotNull())
-    rows = feeds.withColumn("_posts", each).withColumn("_text", F.array_join("_posts", "\n")).withColumn("_tokens", text.tokens(F.col("_text")))
-    return rows.withColumns({
-        "posts_n": F.size("_posts").cast("long"),
-        "pronouns": text.count_in(F.col("_tokens"), lexicon.PRONOUNS).cast("long"),
-        "det_quant": text.count_in(F.col("_tokens"), lexicon.DETERMINERS_AND_QUANTIFIERS).cast("long"),
-        "hashtags": text.hashtag_count(F.col("_text")).cast("long"),
-        "links": text.link_count(F.col("_text")).cast("long"),
-        "emojis": F.regexp_count("_text", F.lit(text.EMOJI)).cast("long"),
-        "posts_with_hashtag": _with(F.col("_posts"), text.HASHTAG).cast("long"),
-        "posts_with_link": _with(F.col("_posts"), text.LINK).cast("long"),
-        "posts_with_emoji": _with(F.col("_posts"), text.EMOJI).cast("long"),
-    }).drop(posts, "_posts", "_text", "_tokens").withColumnRenamed("posts_n", "posts")
+    """Add the COUNTS of an array of posts. Entities without posts stay, with zeros."""
+    rows = feeds.withColumn("_counts", text.post_counts(F.col(posts))).drop(posts)
+    return rows.withColumns({c: F.col("_counts")[c] for c in COUNTS}).drop("_counts")
 
 
 def few(labels: DataFrame) -> bool:
