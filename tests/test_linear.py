@@ -1,5 +1,6 @@
 """The classifier's optimum and its certificate, and the vocabulary's filter."""
 
+import math
 import random
 
 import duckdb
@@ -113,3 +114,19 @@ def test_filter_loses_no_term(spark, monkeypatch, most):
 def test_no_documents(spark):
     words = features.word_table(spark.createDataFrame([], "id long, document string"))
     assert features.vocabulary(words).count() == 0 and features.vocabulary(words, filtered=True).count() == 0
+
+
+def test_terms_are_counted_and_weighed_in_tasks(spark):
+    """Terms are numbers until they are counted, and a document is weighed where it is read; rows of one id count as one document's."""
+    rows = [(1, ["aa", "bb", "aa", "bb"]), (2, ["bb"]), (2, ["aa", "cc"]), (3, []), (4, None), (None, ["aa"]), (None, ["aa", "bb"])]
+    words = spark.createDataFrame(rows, "id long, words array<string>")
+    counts = features.term_counts(words).groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    assert {tuple(r) for r in counts.collect()} == {("aa", 5, 4), ("bb", 4, 3), ("cc", 1, 1), ("aa bb", 3, 2), ("bb aa", 1, 1), ("aa cc", 1, 1)}
+    plan = features.term_counts(words)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "zip_with" not in plan
+    terms = spark.createDataFrame([("aa", 1), ("bb", 2), ("aa bb", 3)], "term string, df long")
+    got = {(r["id"], r["term"]): r["weight"] for r in features.tfidf(words, terms, 7).collect()}
+    idf = {t: math.log(8 / (1 + d)) + 1 for t, d in (("aa", 1), ("bb", 2), ("aa bb", 3))}
+    want = {1: {"aa": 2, "bb": 2, "aa bb": 2}, 2: {"aa": 1, "bb": 1}, None: {"aa": 2, "bb": 1, "aa bb": 1}}
+    expected = {(k, t): n * idf[t] / math.sqrt(sum((m * idf[u]) ** 2 for u, m in of.items())) for k, of in want.items() for t, n in of.items()}
+    assert got == pytest.approx(expected)
