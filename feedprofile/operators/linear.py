@@ -22,6 +22,8 @@ GATHERED_BYTES = 64 << 20
 ENTRIES = 1 << 18
 #: Steps that the optimiser remembers.
 MEMORY = 12
+#: How often intercepts are settled, and in how many steps, at most.
+ROUNDS = 6
 
 
 @dataclass
@@ -138,13 +140,12 @@ def _squares(rows: DataFrame, terms: int) -> np.ndarray:
 Descent = Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]
 
 
-def descend(theta: np.ndarray, tol: float, steps: int, curvature: np.ndarray) -> Descent:
-    """Limited-memory quasi-Newton steps with backtracking, from a diagonal guess of the curvature, until the gradient is ``tol`` times the first one."""
+def descend(theta: np.ndarray, steps: int, curvature: np.ndarray, small: Callable[[np.ndarray], bool]) -> Descent:
+    """Limited-memory quasi-Newton steps with backtracking, from a diagonal guess of the curvature, until the gradient is ``small``."""
     value, slope = yield theta
-    target = tol * max(float(np.linalg.norm(slope)), 1e-300)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        if np.linalg.norm(slope) <= target:
+        if small(slope):
             break
         way, shares = slope.copy(), []
         for s, y in reversed(past):
@@ -187,12 +188,52 @@ def together(descents: list[Descent], evaluate: Callable[[dict[int, np.ndarray]]
     return [found[k] for k in range(len(descents))]
 
 
+def _class_sizes(rows: DataFrame, thetas: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each trait the expected class sizes of its known rows, and their derivative by the intercepts; one job."""
+
+    def task(batches):
+        sums = [(np.zeros(at.shape[1]), np.zeros((at.shape[1], at.shape[1]))) for at in thetas]
+        for batch in batches:
+            counts, terms, values = sparse(batch)
+            for t, at in enumerate(thetas):
+                known = batch.column(f"y{t}").to_numpy(zero_copy_only=False) >= 0
+                z = margins(counts, terms, values, at[:-1])[known] + at[-1]
+                p = np.exp(z - z.max(axis=1, keepdims=True, initial=-1e300))
+                p /= p.sum(axis=1, keepdims=True)
+                sums[t] = sums[t][0] + p.sum(axis=0), sums[t][1] + np.diag(p.sum(axis=0)) - p.T @ p
+        yield pa.RecordBatch.from_pydict({"m": pa.array([np.concatenate([np.concatenate((a, b.ravel())) for a, b in sums]).tobytes()], pa.binary())})
+
+    parts = rows.select("features", *[f"y{t}" for t in range(len(thetas))]).mapInArrow(task, "m binary").collect()  # a few numbers of each task
+    added = sum((np.frombuffer(r["m"]) for r in parts), np.zeros(sum(at.shape[1] * (at.shape[1] + 1) for at in thetas)))
+    out, k = [], 0
+    for at in thetas:
+        n = at.shape[1]
+        out.append((added[k : k + n], added[k + n : k + n + n * n].reshape(n, n)))
+        k += n + n * n
+    return out
+
+
+def settle(rows: DataFrame, thetas: list[np.ndarray], sizes: list[np.ndarray], gap: float = 0.01) -> None:
+    """Newton steps by the intercepts alone, in place, until all expected class sizes are within ``gap`` rows of the true ones."""
+    if not any(at.shape[1] for at in thetas):
+        return
+    for _ in range(ROUNDS):
+        gaps = [(some - expected, slope) for some, (expected, slope) in zip(sizes, _class_sizes(rows, thetas), strict=True)]
+        if all(np.abs(g).max(initial=0.0) <= gap for g, _ in gaps):
+            break
+        for at, (g, slope) in zip(thetas, gaps, strict=True):
+            if at.shape[1]:
+                at[-1] += np.linalg.pinv(slope, hermitian=True) @ g
+
+
 def fit_linear(rows: DataFrame, counts: list[list[int]], terms: int, tol: float, steps: int) -> list[Linear]:
     """One model for each trait of ``rows(features, y0, y1...)``, where ``yt`` is the class or -1 for unknown; ``counts`` are the class sizes.
 
     Mean log loss over the known rows of a trait plus half the squared weights over their number, so that each sum of
-    losses has a penalty of half the squared weights. A trait is done when its gradient is ``tol`` times that at the
-    start, where weights are zero and intercepts fit the class sizes. Traits that are not done yet share their jobs.
+    losses has a penalty of half the squared weights. A trait is done when the gradient of each of its classes is ``tol``
+    times that at the start, where weights are zero and intercepts fit the class sizes; then its intercepts are settled,
+    so that expected class sizes are the true ones however many rows there are, and it goes on where that left a
+    gradient too large. Traits that are not done yet share their jobs.
     """
     tasks = rows.select(F.spark_partition_id().alias("task")).agg(F.max("task").alias("last")).first()["last"]
     tasks = 1 + (tasks or 0)
@@ -209,12 +250,34 @@ def fit_linear(rows: DataFrame, counts: list[list[int]], terms: int, tol: float,
             out[t] = (float(loss + 0.5 * (at[:-1] ** 2).sum()), steep)
         return out
 
-    descents = []
-    for some in counts:
+    sizes = [np.array(some, float) for some in counts]
+    thetas, curvatures, limits, used = [], [], {}, [0] * len(sizes)
+    for some in sizes:
         theta = np.zeros((terms + 1, len(some)))
-        shares = np.array(some, float) / max(sum(some), 1)
+        shares = some / max(some.sum(), 1)
         theta[-1] = np.log(np.maximum(some, 0.5)) - np.log(np.maximum(some, 0.5)).mean()
         # the diagonal of the second derivative at the start: terms that many documents have are far steeper than rare ones
         spread = shares * (1 - shares)
-        descents.append(descend(theta, tol, steps, np.concatenate((1 + np.outer(squares, spread), np.maximum(sum(some) * spread, 1.0)[None]))))
-    return [Linear(theta[:-1].T.copy(), theta[-1].copy()) for theta in together(descents, evaluate)]
+        thetas.append(theta)
+        curvatures.append(np.concatenate((1 + np.outer(squares, spread), np.maximum(some.sum() * spread, 1.0)[None])))
+
+    def small(t: int) -> Callable[[np.ndarray], bool]:
+        def judge(slope: np.ndarray) -> bool:
+            now = np.linalg.norm(slope, axis=0)
+            limits.setdefault(t, tol * now)  # the first gradient is that at the start
+            used[t] += 1
+            return bool((now <= limits[t]).all())
+
+        return judge
+
+    todo = list(range(len(thetas)))
+    for _ in range(ROUNDS):
+        found = together([descend(thetas[t], steps - used[t], curvatures[t], small(t)) for t in todo], lambda asked: {k: v for k, v in zip(asked, evaluate({todo[k]: at for k, at in asked.items()}).values(), strict=True)})
+        for t, theta in zip(todo, found, strict=True):
+            thetas[t] = theta
+        settle(rows, thetas, sizes)
+        slopes = evaluate(dict(enumerate(thetas)))
+        todo = [t for t in slopes if not small(t)(slopes[t][1]) and used[t] < steps]
+        if not todo:
+            break
+    return [Linear(theta[:-1].T.copy(), theta[-1].copy()) for theta in thetas]

@@ -130,3 +130,16 @@ def test_terms_are_counted_and_weighed_in_tasks(spark):
     want = {1: {"aa": 2, "bb": 2, "aa bb": 2}, 2: {"aa": 1, "bb": 1}, None: {"aa": 2, "bb": 1, "aa bb": 1}}
     expected = {(k, t): n * idf[t] / math.sqrt(sum((m * idf[u]) ** 2 for u, m in of.items())) for k, of in want.items() for t, n in of.items()}
     assert got == pytest.approx(expected)
+
+
+def test_expected_sizes_are_true_ones_for_many_rows(spark):
+    """The intercepts are settled to a share of a row, and the gradient of every class is small, not only that of all together."""
+    docs = documents(spark).crossJoin(spark.range(150).select(F.col("id").alias("k"))).withColumn("id", F.col("id") * 150 + F.col("k")).drop("k")
+    words = prepared(docs)
+    traits = [c for c in docs.columns if c not in ("id", "document")]
+    profiler = fit_profiler(words, traits)
+    n = words.count()
+    vocabulary = model_weights(profiler)[0].select("term", ((1.0 + n) / F.exp(F.col("idf") - 1) - 1).alias("df"))
+    found = optimality(profiler, words.select("id", *traits), features.tfidf(words, vocabulary, n)).collect()
+    assert found and max(r["documents"] for r in found) > 5000
+    assert all(abs(r["expected"] - r["documents"]) < 0.05 and r["gradient"] < 0.0035 for r in found)
