@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from feedprofile.functions import text, traits
-from feedprofile.operators.features import MAX_FEATURES, MIN_DF, vocabulary, word_table
+from feedprofile.operators.features import MAX_FEATURES, MIN_DF, vectors, vocabulary, word_table
 from feedprofile.operators.linear import Linear, fit_linear, margins, sparse
 from feedprofile.sources.shared import kept
 
@@ -52,7 +52,7 @@ class Profiler:
         """Rows ``(id, trait...)`` with predicted class names, for documents or what ``prepared`` made of them."""
         if "words" not in documents.columns:
             documents = documents.select(key, text.long_words(PREPROCESSORS[self.preprocessor](F.col("document"))).alias("words"))
-        rows = self.features.transform(documents.select(key, text.ngrams_of(F.col("words")).alias("terms"))).select(key, "features")
+        rows = vectors(documents, self.features.stages[0].vocabulary, self.features.stages[1].getScalingVec(), [key])
         kinds = [(names, np.ascontiguousarray(model.weights.T), model.intercepts) for model, names in self.traits.values()]
 
         def task(batches):
@@ -100,14 +100,13 @@ def fit_profiler(documents: DataFrame, traits: Sequence[str], min_df: int = MIN_
     over the number of rows; ``optimality`` tells how near the fit came to its optimum.
     """
     documents = prepared(documents.select("id", *[c for c in ("document", "words") if c in documents.columns], *traits), preprocessor)
-    terms = text.ngrams_of(F.col("words")).alias("terms")
     features = fit_features(documents, min_df, most, preprocessor)
     known = documents.select(*[F.col(t).cast("string").alias(t) for t in traits])
     sizes = known.select(F.inline(F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("name")) for t in traits]))).where("name IS NOT NULL").groupBy("trait", "name").agg(F.count("*").alias("n")).collect()
     named = {t: sorted((r["name"], r["n"]) for r in sizes if r["trait"] == t) for t in traits}
     code = [F.coalesce(F.array_position(F.array(*[F.lit(n) for n, _ in named[t]]).cast("array<string>"), F.col(t).cast("string")) - 1, F.lit(-1)).cast("int").alias(f"y{k}") for k, t in enumerate(traits)]
     # memory and disk, and made anew from the documents where an executor is lost
-    rows = features.transform(documents.select(*code, terms)).drop("terms", "counts", "scaled").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = vectors(documents.select(*code, "words"), features.stages[0].vocabulary, features.stages[1].getScalingVec(), [f"y{k}" for k in range(len(traits))]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = fit_linear(rows, [[n for _, n in named[t]] for t in traits], len(features.stages[0].vocabulary), tol, max_iter)
     finally:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from feedprofile.functions import text
 from feedprofile.operators import distributions, evaluate, features
 from feedprofile.operators.model import TRAITS, Profiler, fit_profiler, profile, register_preprocessor
 from feedprofile.sources import feeds, sinks
@@ -34,6 +35,18 @@ def test_tfidf_rows_have_length_one(spark):
     assert lengths.where(F.abs(F.col("s") - 1) > 1e-9).count() == 0 and lengths.count() == 40
 
 
+def test_vectors_equal_the_saved_features(spark):
+    """Vectors are made in tasks from the words; they are those of the feature stages that a model saves."""
+    docs = documents(spark)
+    words = features.word_table(docs.unionByName(spark.createDataFrame([(90, "none of these", None, None), (91, "", None, None)], docs.schema)))
+    stages = fit_profiler(docs, ("occupation",), max_iter=2).features
+    got = features.vectors(words, stages.stages[0].vocabulary, stages.stages[1].getScalingVec(), ["id"])
+    want = stages.transform(words.select("id", text.ngrams_of(F.col("words")).alias("terms")))
+    plain = {r["id"]: dict(zip(r["features"].indices.tolist(), r["features"].values.tolist(), strict=True)) for r in want.collect()}
+    found = {r["id"]: dict(zip(r["features"]["indices"], r["features"]["values"], strict=True)) for r in got.collect()}
+    assert set(found) == set(plain) and all(found[k] == pytest.approx(plain[k]) for k in plain) and found[91] == {}
+
+
 def test_a_model_keeps_its_preprocessor(spark, tmp_path):
     register_preprocessor("first_word", lambda d: F.substring_index(d, " ", 1))
     docs = documents(spark)
