@@ -62,15 +62,41 @@ def has_letter(piece: Slice) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by accelerated gradient descent; y is -1 or 1, classes weigh the same."""
+#: Rows of the training sample that are dense at once.
+BLOCK_ROWS = 256
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def _blocks(rows: list[Row]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows in blocks: their number, and place and share's root of each trigram."""
+    out = []
+    for low in range(0, len(rows), BLOCK_ROWS):
+        some = rows[low : low + BLOCK_ROWS]
+        spots = [at.astype(np.uint32) + np.uint32(k * DIMENSIONS) for k, (at, _) in enumerate(some)]
+        out.append((len(some), np.concatenate(spots), np.concatenate([np.sqrt(n / max(n.sum(), 1)) for _, n in some])))
+    return out
+
+
+def fit_svm(rows: list[Row], y: np.ndarray, decay: float = 1e-4, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine by accelerated gradient descent; y is -1 or 1, classes weigh the same.
+
+    ``rows`` are places and counts of the trigrams that occur. One block at a time is dense, so that the driver's memory
+    follows the sample's trigrams and not DIMENSIONS.
+    """
     weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x.shape[1], np.float32)
-    ahead, rate = w, 0.25  # rows have length sqrt(2), so the loss is 4-smooth
+    blocks, dense = _blocks(rows), np.zeros((min(BLOCK_ROWS, len(rows)), DIMENSIONS), np.float32)
+    w = np.zeros(DIMENSIONS + 1, np.float32)
+    ahead, rate = w, 0.25  # rows have length sqrt(2) with the intercept's one, so the loss is 4-smooth
     for k in range(steps):
-        gap = np.maximum(0, 1 - y * (x @ ahead))
-        slope = -2 * x.T @ (weight * y * gap) + decay * ahead
+        slope, low = decay * ahead, 0
+        for n, spots, values in blocks:
+            dense.fill(0)
+            dense.ravel()[spots] = values
+            sign, x = y[low : low + n], dense[:n]
+            pull = weight[low : low + n] * sign * np.maximum(0, 1 - sign * (x @ ahead[:-1] + ahead[-1]))
+            slope[:-1] -= 2 * (pull @ x)
+            slope[-1] -= 2 * pull.sum()
+            low += n
         now = ahead - rate * slope
         ahead, w = now + k / (k + 3) * (now - w), now
     return w[:-1], float(w[-1])
@@ -79,7 +105,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 150)
 class Identifier:
     """Fitted machines: one for each pair of families, and of languages within a family."""
 
-    def __init__(self, x: np.ndarray, languages: list[str]) -> None:
+    def __init__(self, rows: list[Row], languages: list[str]) -> None:
         known = sorted(set(languages))
         family = {code: _FAMILY_OF.get(code, code) for code in known}
         self.families = sorted(set(family.values()))
@@ -92,7 +118,7 @@ class Identifier:
         for level, a, b in self.pairs:
             names = owners if level == "" else tags
             at = np.flatnonzero((names == a) | (names == b))
-            fitted.append(fit_svm(x[at], np.where(names[at] == a, 1, -1).astype(np.float32)))
+            fitted.append(fit_svm([rows[k] for k in at], np.where(names[at] == a, 1, -1).astype(np.float32)))
         self.weights = np.stack([w for w, _ in fitted], axis=1) if fitted else np.zeros((DIMENSIONS, 0), np.float32)
         self.bias = np.array([b for _, b in fitted], np.float32)
 
@@ -156,10 +182,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Identifier | No
     if missed := sorted(set(sizes) - {r["lang"] for r in got}):
         got += first(rows.where(F.col("lang").isin(missed)), sample)
     got.sort(key=lambda r: (r["lang"], r["at"], r["n"]))
-    x = np.zeros((len(got), DIMENSIONS), np.float32)
-    for k, r in enumerate(got):
-        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    return Identifier(features(x), [r["lang"] for r in got])
+    return Identifier([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in got], [r["lang"] for r in got])
 
 
 def _named(model: bytes, keep: list[str]):

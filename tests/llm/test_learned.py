@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from feedprofile.llm import stages
 from feedprofile.llm.bytestext import slices
+from feedprofile.llm import language
 from feedprofile.llm.language import identify
 from feedprofile.llm.mixing import mix, settle
 from feedprofile.llm.text_dedup import near_texts
@@ -43,6 +45,37 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in identify(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_fit_is_sparse_on_the_driver(spark):
+    rnd = random.Random(9)
+    rows = [(k, text(rnd, lang, 20), lang) for k, lang in enumerate(list(SYLLABLES) * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        fitted = language.fit(docs, F.lit(True), 500)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # one dense sample would take 2000 * 4096 * 4 bytes
+    assert len(fitted.pairs) == 3 and most < 20e6
+
+
+def test_language_machine_equals_a_dense_one():
+    rng = np.random.default_rng(4)
+    y = np.where(np.arange(600) % 3 > 0, 1, -1).astype(np.float32)
+    rows = [(np.sort(rng.choice(np.arange(0 if s > 0 else 20, 60), 9, replace=False)).astype("<u2"), rng.integers(1, 5, 9).astype("<f4")) for s in y]
+    x = np.zeros((len(y), language.DIMENSIONS))
+    for k, (at, n) in enumerate(rows):
+        x[k, at] = np.sqrt(n / n.sum())
+    x = np.hstack([x, np.ones((len(y), 1))])
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    w = ahead = np.zeros(x.shape[1])
+    for k in range(150):
+        now = ahead - 0.25 * (1e-4 * ahead - 2 * x.T @ (share * y * np.maximum(0, 1 - y * (x @ ahead))))
+        ahead, w = now + k / (k + 3) * (now - w), now
+    weights, bias = language.fit_svm(rows, y)
+    assert np.abs(weights - w[:-1]).max() < 1e-3 and abs(bias - w[-1]) < 1e-3
+
+
 def test_toxicity(spark):
     rnd = random.Random(3)
     bad = ("clodpole", "numskull", "dunderhead")
