@@ -39,8 +39,8 @@ HOT, HOT_GRAMS = 1 << 20, 1 << 21
 BUCKET_BYTES = 4 << 20
 #: About so many bytes of text are counted at once, and sorted at once.
 TOGETHER_BYTES, SORTED_BYTES = 32 << 20, 2 << 20
-#: About so many bytes of text are scored at once.
-SCORED_BYTES = 1 << 20
+#: About so many bytes of text are scored at once, and texts at most, whose number has the 8 bits that a gram leaves.
+SCORED_BYTES, SCORED_TEXTS = 1 << 20, 1 << 8
 WORDS, SHORT, TEXTS, BYTES = 0, 1, 2, 3
 MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Marks grams of texts that are not learned from while they are counted.
@@ -71,11 +71,13 @@ def units(piece: Slice) -> Units:
 
 def grams(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each byte its context of ORDER bytes within the text, zeros before the text's start, and the byte: 56 bits."""
-    sizes = np.diff(np.concatenate(([0], ends)))
-    place = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
-    out = data.astype(np.uint64)
-    for k in range(1, ORDER + 1):
-        out[k:] |= np.where(place[k:] >= k, data[:-k], 0).astype(np.uint64) << np.uint64(8 * k)
+    padded = np.concatenate((np.zeros(7, np.uint8), data))
+    out = np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64)  # each byte and the seven before it
+    out &= np.uint64((1 << 8 * (ORDER + 1)) - 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    for k in range(ORDER):
+        at = starts[starts + k < ends] + k
+        out[at] &= np.uint64((1 << 8 * (k + 1)) - 1)
     return out
 
 
@@ -95,18 +97,27 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(held: tuple[np.ndarray, np.ndarray], fresh: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of distinct keys, with those of further keys added."""
+    """Counts of distinct keys, ascending, with those of further keys added; the counts held are given up."""
     keys, n = _distinct(np.concatenate(fresh))
     fresh.clear()
-    return _summed(np.concatenate([held[0], keys]), np.concatenate([held[1], n])) if len(held[0]) else (keys, n)
+    known, counts = held
+    if not len(known):
+        return keys, n
+    at = np.searchsorted(known, keys)
+    old = known[np.minimum(at, len(known) - 1)] == keys
+    counts[at[old]] += n[old]
+    new = ~old
+    return np.insert(known, at[new], keys[new]), np.insert(counts, at[new], n[new])
 
 
 def _ended(piece: Slice) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a slice, each with a zero byte for its end, and where the ends are."""
     n = len(piece.offsets) - 1
-    data = np.zeros(len(piece.data) + n, np.uint8)
-    data[np.arange(len(piece.data)) + np.repeat(np.arange(n), np.diff(piece.offsets))] = piece.data
-    return data, piece.offsets[1:] + np.arange(1, n + 1)
+    data, ends = np.zeros(len(piece.data) + n, np.uint8), piece.offsets[1:] + np.arange(1, n + 1)
+    inside = np.ones(len(data), bool)
+    inside[ends - 1] = False
+    data[inside] = piece.data
+    return data, ends
 
 
 def _counted(batches):
@@ -158,7 +169,7 @@ def _runs(keys: np.ndarray, c: np.ndarray, bucket: np.ndarray) -> tuple[list[int
     """Ascending grams and counts as one run for each bucket that has some."""
     if not len(keys):
         return [], []
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")  # 16 bits sort by digits
     keys, c, bucket = keys[order], c[order], bucket[order]
     first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
     ends = np.append(first[1:], len(keys))
@@ -305,18 +316,38 @@ class ByteModel:
         return out
 
 
+def _looked_up(hot: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each key is a frequent one, and its value (0 where it is not)."""
+    frequent, values = hot
+    if not len(frequent):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+    hit = frequent[at] == keys
+    return hit, np.where(hit, values[at], 0.0)
+
+
 def _text_scores(hot: tuple[np.ndarray, np.ndarray], piece: Slice) -> tuple[np.ndarray, pa.ListArray]:
-    """Sums of the frequent grams' log10 probabilities by text, and the other grams of each text."""
-    frequent, logs = hot
+    """Sums of the frequent grams' log10 probabilities by text, and the other grams of each text, of SCORED_TEXTS texts at most.
+
+    Grams are sorted with the numbers of their texts behind them, and looked up once and in ascending order: in the
+    order of a text each lookup would read the frequent grams at some twenty far places.
+    """
     found = units(piece)
-    which, distinct = pd.factorize(grams(found.data, found.ends))
-    at = np.minimum(np.searchsorted(frequent, distinct), max(len(frequent) - 1, 0))
-    hit = frequent[at] == distinct if len(frequent) else np.zeros(len(distinct), bool)
-    value = np.where(hit, logs[at], 0.0) if len(frequent) else np.zeros(len(distinct))
-    rare = np.flatnonzero(~hit[which])
-    ends = np.concatenate(([0], np.searchsorted(rare, found.ends)))
-    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(distinct[which[rare]].view(np.int64)))
-    return total_by(value[which], np.diff(found.ends, prepend=0))[found.which], lists.take(pa.array(found.which))
+    n, sizes = len(found.ends), np.diff(found.ends, prepend=0)
+    placed = grams(found.data, found.ends)
+    placed <<= np.uint64(8)
+    placed |= np.repeat(np.arange(n, dtype=np.uint64), sizes)
+    placed.sort()
+    keys, text = placed >> np.uint64(8), placed.astype(np.uint8)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    hit, value = _looked_up(hot, keys[first])
+    times = np.diff(np.append(first, len(keys)))
+    sums = np.bincount(text, np.repeat(value, times), n)
+    rare = np.flatnonzero(np.repeat(~hit, times))
+    rare = rare[np.argsort(text[rare], kind="stable")]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(text[rare], minlength=n))))
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[rare].view(np.int64)))
+    return sums[found.which], lists.take(pa.array(found.which))
 
 
 def _valued(dense):
@@ -333,17 +364,14 @@ def _valued(dense):
 
 def _scored(hot_grams, hot, keep: list[str]):
     def run(batches):
-        frequent, logs = hot.value
         made = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for piece in slices(batch.column("text"), SCORED_BYTES):
+            for piece in slices(batch.column("text"), SCORED_BYTES, SCORED_TEXTS):
                 n = len(piece.offsets) - 1
                 sums, grams_left = _text_scores(hot_grams.value, piece)
                 words, counts = word_hashes(piece)
                 which, distinct = pd.factorize(words)
-                at = np.minimum(np.searchsorted(frequent, distinct), max(len(frequent) - 1, 0))
-                hit = frequent[at] == distinct if len(frequent) else np.zeros(len(distinct), bool)
-                value = np.where(hit, logs[at], 0.0) if len(frequent) else np.zeros(len(distinct))
+                hit, value = _looked_up(hot.value, distinct)
                 known = hit[which]
                 n_known = total_by(known, counts).astype(np.int64)
                 rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts - n_known))).astype(np.int32)), pa.array(words[~known].view(np.int64)))

@@ -415,6 +415,53 @@ def test_counts_of_grams_are_kept_whole():
         assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts
 
 
+def test_lm_looks_grams_up_once_and_in_ascending_order():
+    """A slice's grams are looked up distinct and ascending, which keeps the reads near each other; sums and rare grams are those of each text."""
+    import pyarrow as pa
+
+    from feedprofile.llm import lm_scoring
+
+    asked = []
+
+    class Watched(np.ndarray):
+        def searchsorted(self, keys, *args, **kwargs):
+            asked.append(np.asarray(keys))
+            return np.asarray(self).searchsorted(keys, *args, **kwargs)
+
+    rnd = random.Random(17)
+    texts = [words(rnd, rnd.randint(0, 9)) for _ in range(600)] + [None, "", "same text", "same text", "a\x00b", "\x00\x00", "\u00e9" * 700]
+    rnd.shuffle(texts)
+
+    def of(text):
+        data = bytes(lm_scoring.ORDER) + (text or "").encode() + b"\0"
+        return [int.from_bytes(data[at : at + lm_scoring.ORDER + 1], "big") for at in range(len(data) - lm_scoring.ORDER)]
+
+    value = {g: -rnd.random() for g in {g for t in texts for g in of(t)} if rnd.random() < 0.7}
+    keys = np.array(sorted(value), np.uint64)
+    hot = keys.view(Watched), np.array([value[int(k)] for k in keys])
+    done = 0
+    for piece in slices(pa.array(texts), lm_scoring.SCORED_BYTES, getattr(lm_scoring, "SCORED_TEXTS", 256)):
+        sums, left = lm_scoring._text_scores(hot, piece)
+        for text, total, rare in zip(texts[piece.first :], sums, left.to_pylist()):
+            assert total == pytest.approx(sum(value.get(g, 0.0) for g in of(text)), rel=1e-9)
+            assert sorted(rare) == sorted(g for g in of(text) if g not in value)
+            done += 1
+    assert done == len(texts) and len(asked) == 3
+    assert all((k[1:] > k[:-1]).all() for k in asked)
+
+
+def test_lm_counts_merge_with_further_keys():
+    from feedprofile.llm.lm_scoring import _merged
+
+    rnd = np.random.default_rng(8)
+    held, want = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), collections.Counter()
+    for size, most in ((0, 9), (50, 30), (1, 3), (400, 900), (0, 9), (30, 2**56)):
+        fresh = [rnd.integers(0, most, size, dtype=np.uint64) for _ in range(2)]
+        want.update(int(k) for part in fresh for k in part)
+        held = _merged(held, fresh)
+        assert held[0].tolist() == sorted(want) and held[1].tolist() == [want[k] for k in sorted(want)] and not fresh
+
+
 def test_byte_model_is_a_distribution():
     """Probabilities of all bytes after any context add to one."""
     from feedprofile.llm import lm_scoring
